@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from claimweave.llm import bpe_codec, host_rules, token_counts
+from claimweave.llm import bpe_codec, host_rules, minmax_dedup, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op5_host_rules": host_rules.query,
+    "op8_minmax_dedup": minmax_dedup.query,
     "op10_bpe_codec": bpe_codec.query,
 }
-ORACLES = {"op5_host_rules": host_rules.ORACLE}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op8_minmax_dedup": minmax_dedup.ORACLE}
