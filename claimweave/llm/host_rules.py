@@ -58,18 +58,17 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     The prior: with m the corpus's rate and v the hosts' variance around it beyond what counts of that size show by
     chance, alpha + beta = m (1 - m) / v - 1, between 1 and 1e6.
     """
-    hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("n_failed"))
-    # Integer sums and one rounding: the verdict doesn't depend on the order of the rows.
-    sums = hosts.agg(F.sum("n").alias("sn"), F.sum("n_failed").alias("sf"), F.count("*").alias("h"))
-    m = F.col("sf") / F.col("sn")
-    spread = hosts.crossJoin(F.broadcast(sums)).agg(
-        F.max(m).alias("m"), F.sum(F.round(F.pow(F.col("n_failed") / F.col("n") - m, 2), 9).cast("decimal(20,9)")).cast("double").alias("around"),
-        F.sum(F.round(m * (1 - m) / F.col("n"), 9).cast("decimal(20,9)")).cast("double").alias("chance"), F.max("h").alias("h"),
-    )
-    v = F.greatest((F.col("around") - F.col("chance")) / F.greatest(F.col("h") - 1, F.lit(1)), F.lit(1e-9))
-    prior = spread.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / v - 1, F.lit(1.0)), F.lit(1e6)).alias("weight"))
-    rate = (F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", "n_failed", F.round(rate, 6).alias("rate"), (F.round(rate, 6) > limit).alias("rejected"))
+    hosts = cut(judged.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("n_failed")))
+    n, failed, h = hosts.agg(F.sum("n"), F.sum("n_failed"), F.count("*")).first()
+    m = F.lit(failed / n if n else 0.0)
+    # Each term is rounded and summed as a decimal: the verdict doesn't depend on the order of the rows.
+    total = lambda c: F.sum(F.round(c, 9).cast("decimal(20,9)")).cast("double")
+    around, chance = hosts.agg(total(F.pow(F.col("n_failed") / F.col("n") - m, 2)), total(m * (1 - m) / F.col("n"))).first()
+    mean = failed / n if n else 0.0
+    spread = max(((around or 0.0) - (chance or 0.0)) / max(h - 1, 1), 1e-9)
+    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
+    rate = F.round((F.col("n_failed") + m * weight) / (F.col("n") + weight), 6)
+    return hosts.select("host", "n", "n_failed", rate.alias("rate"), (rate > limit).alias("rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from claimweave.llm import bpe_codec, host_rules, minmax_dedup, reply_trees, token_counts
+from claimweave.llm import bpe_codec, co_training, host_rules, minmax_dedup, reply_trees, source_mixing, token_counts
 
 QUERIES = {
     "op1_reply_trees": reply_trees.query,
     "op2_token_counts": token_counts.query,
+    "op3_source_mixing": source_mixing.query,
+    "op4_co_training": co_training.query,
     "op5_host_rules": host_rules.query,
     "op8_minmax_dedup": minmax_dedup.query,
     "op10_bpe_codec": bpe_codec.query,
 }
-ORACLES = {"op1_reply_trees": reply_trees.ORACLE, "op5_host_rules": host_rules.ORACLE, "op8_minmax_dedup": minmax_dedup.ORACLE}
+ORACLES = {"op3_source_mixing": source_mixing.ORACLE, "op1_reply_trees": reply_trees.ORACLE, "op5_host_rules": host_rules.ORACLE, "op8_minmax_dedup": minmax_dedup.ORACLE}
