@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimweave.llm import bpe_codec, co_training, host_rules, minmax_dedup, reply_trees, source_mixing, token_counts
+from claimweave.llm import bpe_codec, co_training, host_rules, matroska, minmax_dedup, reply_trees, source_mixing, token_counts, url_filter
 
 QUERIES = {
     "op1_reply_trees": reply_trees.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_source_mixing": source_mixing.query,
     "op4_co_training": co_training.query,
     "op5_host_rules": host_rules.query,
+    "op6_matroska": matroska.query,
+    "op7_url_filter": url_filter.query,
     "op8_minmax_dedup": minmax_dedup.query,
     "op10_bpe_codec": bpe_codec.query,
 }
