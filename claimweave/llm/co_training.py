@@ -197,18 +197,27 @@ def scorer(model: CoTrained | None) -> Callable:
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", carry: tuple[str, ...] = (), **fit) -> DataFrame:
-    """(id_col, carry..., p_text, p_meta, score, kept), one row for each row of docs.
+def classified(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", **fit) -> DataFrame:
+    """(row struct of the carried columns, p_text, p_meta, score, kept), one row for each row of docs.
 
     Null or empty texts have no words, null metadata is a value of its own. Labels that are null or of no document say
     nothing; if a document has several, the least counts. Without held-out labels of both classes nothing is fitted:
     the scores are null and all rows are kept. Rows that share an id each get their own score.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in meta_cols)).alias("meta"))
-    model = co_train(named, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), **fit)
-    rows = docs.select(F.struct(*dict.fromkeys((id_col, *carry))).alias("row"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in meta_cols)).alias("meta"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(scorer(model), f"row {kind}, p_text double, p_meta double, score double, kept boolean").select("row.*", "p_text", "p_meta", "score", "kept")
+    seen = [F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in meta_cols)).alias("meta")]
+    model = co_train(docs.select(F.col(id_col).cast("long").alias("id"), *seen), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), **fit)
+    rows = docs.select(F.struct(*carry).alias("row"), *seen)
+    return rows.mapInArrow(scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, p_text double, p_meta double, score double, kept boolean")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id_col, p_text, p_meta, score, kept) as of classified()."""
+    return classified(docs, labels, [id_col], id_col, **options).select("row.*", "p_text", "p_meta", "score", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs without those that are rejected, all columns as they were."""
+    return classified(docs, labels, docs.columns, **options).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,18 +71,42 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return hosts.select("host", "n", "n_failed", rate.alias("rate"), (rate > limit).alias("rejected"))
 
 
+def fails(n_words, n_repeat_words):
+    """The base rule, on numbers or on columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
+
+
+def _judged(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    return cut(base_figures(named, ["id", "host"]).withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"))))
+
+
+def _rejected(judged: DataFrame, limit: float) -> DataFrame:
+    """Only rejected hosts are joined; texts of a hot host are split by Spark where the join shuffles."""
+    return bounded(cut(host_verdicts(judged, limit).where("rejected").select("host", "rejected")), 100_000)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
     """(id_col, figures, base_failed, kept), one row for each row of docs.
 
     Null texts have no words and fail the base rule; texts without a host are judged by the base rule alone;
     repeated rows each get theirs; other columns are not read.
     """
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    named = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    judged = cut(base_figures(named, ["id", "host"]).withColumn("base_failed", base))
-    # Only rejected hosts are joined; texts of a hot host are split by Spark where the join shuffles.
-    rejected = bounded(cut(host_verdicts(judged, limit).where("rejected").select("host", "rejected")), 100_000)
-    return judged.join(rejected, "host", "left").select(F.col("id").alias(id_col), *FIGURES, "base_failed", (~F.col("base_failed") & F.col("rejected").isNull()).alias("kept"))
+    judged = _judged(docs, id_col, host_col, text_col)
+    joined = judged.join(_rejected(judged, limit), "host", "left")
+    return joined.select(F.col("id").alias(id_col), *FIGURES, "base_failed", (~F.col("base_failed") & F.col("rejected").isNull()).alias("kept"))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+    """docs without those that judge() rejects, all columns as they were."""
+    rejected = _rejected(_judged(docs, id_col, host_col, text_col), limit).withColumnRenamed("host", "rejected_host")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [figures(v.as_py() or "") for v in batch.column(text_col)]
+            yield batch.filter(pa.array([not fails(f[0], f[4]) for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema).join(rejected, F.col(host_col) == F.col("rejected_host"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

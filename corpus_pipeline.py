@@ -3,13 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from claimweave.llm import bpe_codec, co_training, host_rules, minmax_dedup, source_mixing
+from claimweave.llm.common import bounded, cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rule or whose host is rejected."""
+    return host_rules.keep_good(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the co-trained classifiers reject."""
+    return co_training.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each near-duplicate group: five words to a shingle, similarity from 0.8."""
+    found = minmax_dedup.near_duplicates(docs, shingle=5, percent=80)
+    dropped = bounded(cut(found.where("not kept").select(F.col("doc_id").alias("dropped")).distinct()), 1_000_000)
+    return docs.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as its leaf's budget says: a row for each epoch that it is in."""
+    taken = source_mixing.mix_documents(spark, docs)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode each text and decode it again: token counts and digests."""
+    return bpe_codec.encode_and_decode(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("quality classifier", quality_classifier),
+    ("near-dedup", near_dedup),
+    ("source mixing", source_mixture),
+    ("BPE", bpe_tokens),
+]
+#: SQL can't express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages, each reading what the one before it wrote to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = cut(docs) if k < len(STAGES) - 1 else docs
     return docs
