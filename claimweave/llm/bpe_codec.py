@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ from claimweave.llm.lexicon import Lexicon, compile_lexicon
 #: Words in the lexicon.
 WORDS = 131_072
 #: Distinct pieces that a task remembers at a time.
-REMEMBERED = 400_000
-#: A space with white space before it and after it; elsewhere, each space starts a word.
-INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+REMEMBERED = 300_000
+#: Marks that form one word with each other, and none with letters before them.
+MARKS = ".,;:!?%#*$&|"
+#: White space beside white space; elsewhere each space starts a pre-token and each line break is one.
+RUN = re.compile(r"\s\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,26 +53,27 @@ class Codec:
         self.any_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.bytes_of = {i: raw(token) for token, i in vocab.items() if token not in self.special} | {i: t.encode() for t, i in self.special.items()}
         self.of_byte = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.new = [vocab[a + b] for a, b in pairs]
+        self.rank: dict[tuple[int, int], int] = {}
+        for k, (a, b) in enumerate(pairs):
+            self.rank.setdefault((vocab[a], vocab[b]), k)
 
     def merge(self, word: bytes) -> list[int]:
         """Apply the merges of lowest rank first, of equal ones the leftmost."""
         ids = [self.of_byte[b] for b in word]
         if len(ids) > 200:
             return self._merge_long(ids)
-        find = self.merges.get
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, -1
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                if (found := find(pair)) and found[0] < best:
-                    best, new = found
-                    at = i
-            if at < 0:
-                break
-            ids[at : at + 2] = [new]
+        rank, new, none = self.rank.get, self.new, len(self.new)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = new[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -77,19 +82,19 @@ class Codec:
 
         n = len(ids)
         left, right, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(k, i, ids[i], ids[i + 1]) for i in range(n - 1) if (k := self.rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            k, i, a, b = heapq.heappop(heap)
             j = right[i]
             if not live[i] or ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], live[j], right[i] = new, False, right[j]
+            ids[i], live[j], right[i] = self.new[k], False, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q >= 0 and (found := self.merges.get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (found[0], p, ids[p], ids[q], found[1]))
+                if p >= 0 and q >= 0 and (k := self.rank.get((ids[p], ids[q]))) is not None:
+                    heapq.heappush(heap, (k, p, ids[p], ids[q]))
         return [x for x, ok in zip(ids, live, strict=True) if ok]
 
 
@@ -98,12 +103,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def pieces(text: str) -> list[str] | None:
-    """Parts of a text that start words apart from each other, without their leading spaces; None if there are none.
+def lines_of_pieces(text: str) -> list[list[str]] | None:
+    """A text's lines, each as parts that are pre-tokenized apart from each other; None if it has runs of white space.
 
-    A space after a character that isn't white space, or before one, always starts a pre-token.
+    No pre-token goes on from another character to white space, and a single line break before another character
+    is one of its own, while a single space goes with what follows it. So each line's first part stands by itself
+    and the others each follow a space.
     """
-    return None if INNER_SPACE.search(text) else text.split(" ")
+    return None if RUN.search(text) else [line.split(" ") for line in text.split("\n")]
 
 
 def count_words(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -116,20 +123,22 @@ def count_words(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
             words: Counter = Counter()
             for lead, counted in ((" ", seen), ("", firsts)):
                 for piece, n in counted.items():
-                    for w in own.words(lead + piece):
+                    for w in (lead + piece,) if piece.isalpha() else own.words(lead + piece):
                         words[w] += n
             return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
         firsts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in own.any_special.split(text or ""):
-                    if (found := pieces(part)) is None:
+            for value in batch.column(0):
+                for part in own.any_special.split(value.as_py() or ""):
+                    if (found := lines_of_pieces(part)) is None:
                         firsts.update(own.words(part))
                     else:
-                        firsts[found[0]] += 1
-                        seen.update(found[1:])
+                        firsts["\n"] += len(found) - 1
+                        for line in found:
+                            firsts[line[0]] += 1
+                            seen.update(line[1:])
                 if len(seen) + len(firsts) > REMEMBERED:
                     yield out(seen, firsts)
                     seen, firsts = Counter(), Counter()
@@ -145,67 +154,125 @@ def build_lexicon(docs: DataFrame, path: str, pattern: str, words: int = WORDS,
     return compile_lexicon((w, tuple(own.merge(w))) for w in top if w)
 
 
-def encode(docs: DataFrame, lexicon: bytes, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each whole text: (id_col, ids array<int>), one row for each row of docs.
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of which a task can hold several forms at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    Null texts count as empty, empty texts have no ids; special strings in texts become their id; null ids and
-    repeated rows stay as they are; other columns are not read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded: words entries
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = codec(path, pattern), Lexicon(shared.value)
-        word_ids = lambda w: known.get(w) or np.array(own.merge(w), "<u4").tobytes()
+class Pieces(dict):
+    """Ids of pieces that follow lead, as bytes; what isn't remembered is looked up in the lexicon or merged."""
+
+    def __init__(self, lead: str, own: Codec, known: Lexicon) -> None:
+        super().__init__()
+        self.lead, self.own, self.known = lead, own, known
+        self.marks = Words(self.word)
+
+    def word(self, word: str) -> bytes:
+        raw = word.encode()
+        return self.known.get(raw) or array("I", self.own.merge(raw)).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() or not piece:  # letters alone, with or without a space before them, are one word
+            if len(self) >= REMEMBERED:
+                self.clear()
+            found = self[piece] = self.word(self.lead + piece) if self.lead + piece else b""
+            return found
+        body = piece.rstrip(MARKS)
+        if body.isalpha():
+            return self[body] + self.marks[piece[len(body) :]]
+        return b"".join(map(self.marks.__getitem__, self.own.words(self.lead + piece)))
 
-        class Pieces(dict):
-            def __init__(self, lead: str) -> None:
-                super().__init__()
-                self.lead = lead
 
-            def __missing__(self, piece: str) -> bytes:
-                found = b"".join([word_ids(w.encode()) for w in own.words(self.lead + piece)])
-                if len(piece) < 64:
-                    self[piece] = found
-                return found
+class Words(dict):
+    """Ids of single words, as bytes."""
 
-        later, first = Pieces(" "), Pieces("")
+    def __init__(self, word) -> None:
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self.word(word)
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+
+@lru_cache(maxsize=1)
+def _memory(path: str, pattern: str, lexicon: bytes) -> tuple[Pieces, Pieces]:
+    """What a worker keeps from task to task."""
+    own, known = codec(path, pattern), Lexicon(lexicon)
+    return Pieces("", own, known), Pieces(" ", own, known)
+
+
+def _encoder(lexicon: Broadcast, path: str, pattern: str, names: list[str]):
+    """(id, text) to (id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        first, later = _memory(path, pattern, lexicon.value)
 
         def ids(text: str) -> bytes:
-            if (found := pieces(text)) is None:
+            if (found := lines_of_pieces(text)) is None:
                 return b"".join(map(first.__getitem__, own.words(text)))
-            return first[found[0]] + b"".join(map(later.__getitem__, found[1:]))
+            return first["\n"].join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in found])
 
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                parts, at = [], 0
+            for value in batch.column(1):
+                text, parts, at = value.as_py() or "", [], 0
                 for m in own.any_special.finditer(text):
-                    parts += [ids(text[at : m.start()]), np.uint32(own.special[m[0]]).tobytes()]
+                    parts += [ids(text[at : m.start()]), array("I", [own.special[m[0]]]).tobytes()]
                     at = m.end()
                 rows.append(b"".join([*parts, ids(text[at:])]))
-                if len(later) + len(first) > REMEMBERED:
-                    later.clear(), first.clear()
             offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
             flat = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names[:2])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """Turn ids back into text: (id_col, ids, text). Bytes that aren't UTF-8 become U+FFFD; null ids give null."""
+def _decoder(path: str, pattern: str, names: list[str]):
+    """(id, ids) to (id, ids, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path, pattern).bytes_of
-        for batch in batches:
+        for batch in _small(batches):
             texts = []
-            for i in range(batch.num_rows):
-                row = batch.column(1)[i]
+            for row in batch.column(1):
                 texts.append(b"".join(map(of.__getitem__, row.values.to_numpy().tolist())).decode("utf-8", "replace") if row.is_valid else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names)
+
+    return run
+
+
+def encode(docs: DataFrame, lexicon: bytes, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode each whole text: (id_col, ids array<int>), one row for each row of docs.
+
+    Null texts count as empty, empty texts have no ids; special strings in texts become their id; null ids and
+    repeated rows stay as they are; other columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the lexicon's number of words
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(_encoder(shared, path, pattern, [id_col, "ids"]), f"`{id_col}` {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """Turn ids back into text: (id_col, ids, text). Bytes that aren't UTF-8 become U+FFFD; null ids give null."""
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, "ids").mapInArrow(_decoder(path, pattern, [id_col, "ids", "text"]), f"`{id_col}` {kind}, ids array<int>, text string")
+
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, ids array<int>, text string")
+def round_trip(docs: DataFrame, lexicon: bytes, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) by one Python worker: (id_col, ids, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = [id_col, "ids", "text"]
+    there, back = _encoder(shared, path, pattern, names), _decoder(path, pattern, names)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: back(there(batches)), f"`{id_col}` {kind}, ids array<int>, text string")
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -216,7 +283,7 @@ def encode_and_decode(docs: DataFrame, words: int = WORDS) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    return digests(decode(encode(docs, build_lexicon(docs, path, pattern, words), path, pattern), path, pattern))
+    return digests(round_trip(docs, build_lexicon(docs, path, pattern, words), path, pattern))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 
 MAGIC = b"MATL0001"
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> bytes:
@@ -90,9 +91,10 @@ class Lexicon:
         if self.map[:8] != MAGIC:
             raise ValueError("not a compiled lexicon")
         sizes = struct.unpack("<7I", self.map[8:36])
-        at = np.cumsum([36, *sizes])
-        self.first, self.targets, self.skips, self.starts, self.ids = (np.frombuffer(self.map, "<u4", n // 4, int(p)) for n, p in zip(sizes[:5], at, strict=False))
-        self.final, self.labels = int(at[5]), int(at[6])
+        at = [sum(sizes[:i]) + 36 for i in range(7)]
+        whole = memoryview(self.map)
+        self.first, self.targets, self.skips, self.starts = (whole[p : p + n].cast("I") for n, p in zip(sizes[:4], at, strict=False))
+        self.ids, self.final, self.labels = at[4:]
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -100,16 +102,16 @@ class Lexicon:
     def number(self, word: bytes) -> int:
         """The word's place in sorted order, or -1."""
         state = rank = 0
-        find, base, first = self.map.find, self.labels, self.first
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + int(first[state]), base + int(first[state + 1])) - base
+        find, base, first, targets, skips = self.map.find, self.labels, self.first, self.targets, self.skips
+        for byte in word:
+            arc = find(_BYTES[byte], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return -1
-            rank += int(self.skips[arc])
-            state = int(self.targets[arc])
+            rank += skips[arc]
+            state = targets[arc]
         return rank if self.map[self.final + state] else -1
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None."""
         k = self.number(word)
-        return None if k < 0 else self.ids[int(self.starts[k]) : int(self.starts[k + 1])].tobytes()
+        return None if k < 0 else self.map[self.ids + 4 * self.starts[k] : self.ids + 4 * self.starts[k + 1]]
