@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import cut, table
+from claimweave.llm.common import bounded, cut, table
 
 BLOCK, OVERLAP, MARGIN = 16_384, 512, 16
 STABLE = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
@@ -84,13 +84,17 @@ def _encode(path: str, pattern: str, special: tuple[tuple[str, int], ...], overl
 
 
 def _pieces(texts: DataFrame, block: int, overlap: int) -> DataFrame:
-    """Chunks of texts (id, n_bytes, text, sha): regexp_extract_all cuts all blocks in one pass over the text."""
+    """Chunks of texts (id, n_bytes, text, sha): regexp_extract_all cuts all blocks in one pass over the text.
+
+    A last block that isn't longer than the overlap is whole in the chunk before it, and is no chunk of its own.
+    """
     blocks = F.expr(f"regexp_extract_all(text, '(?s).{{1,{block}}}', 0)")
-    chunks = texts.select("id", "sha", "n_bytes", blocks.alias("blocks")).select(
+    n = F.size("blocks") - F.when((F.size("blocks") > 1) & (F.length(F.get("blocks", F.size("blocks") - 1)) <= overlap), 1).otherwise(0)
+    chunks = texts.select("id", "sha", "n_bytes", blocks.alias("blocks")).withColumn("n", n).select(
         "id", "sha", "n_bytes",
-        F.posexplode(F.transform("blocks", lambda b, i: F.struct(
+        F.posexplode(F.transform(F.slice("blocks", F.lit(1), F.col("n")), lambda b, i: F.struct(
             F.concat(b, F.coalesce(F.substring(F.get("blocks", i + 1), 1, overlap), F.lit(""))).alias("piece"),
-            (i == F.size("blocks") - 1).alias("last"),
+            (i == F.col("n") - 1).alias("last"),
         ))).alias("chunk", "c"),
     )
     return chunks.select("id", "sha", F.col("chunk").cast("long").alias("chunk"), "n_bytes", "c.piece", "c.last", F.lit(block).alias("block"))
@@ -130,10 +134,10 @@ def token_counts(docs: DataFrame, path: str, pattern: str, special: dict[str, in
         )
         result = cut(spliced.groupBy("id", "sha").agg(F.max("n_bytes").alias("n_bytes"), F.sum(F.col("to") - F.col("from")).alias("n_tokens"), F.max("copies").alias("copies"), F.bool_or("failed").alias("failed")))
         done.append(result.where(~F.col("failed")).select("id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col"))
-        failed = result.where("failed").select("id", "sha")
+        failed = result.where("failed").select(F.col("id").alias("f_id"), F.col("sha").alias("f_sha"))
         if failed.isEmpty():
             break
-        todo = todo.join(failed.withColumnsRenamed({"id": "f_id", "sha": "f_sha"}), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("sha") == F.col("f_sha")), "left_semi")
+        todo = todo.join(bounded(failed, 100_000), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("sha") == F.col("f_sha")), "left_semi")
         block, overlap = 2 * block, 2 * overlap
     out = done[0]
     for part in done[1:]:
