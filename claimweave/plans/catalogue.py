@@ -5,6 +5,272 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimweave.functions import periods, scope
+from claimweave.functions.text import normalise_measure, normalise_subject
+from claimweave.functions.units import canonicalise, parse_unit
+from claimweave.operators import extract, ground, reconcile, registry, triage
+from claimweave.plans import oracles as sql
+from claimweave.plans import pipeline, views
+from claimweave.plans.samples import balance_claims, event_claims, revenue_claims, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@query(sql.UNITS)
+def q_units_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of parts in units that change from part to part."""
+    units = F.array(*(F.lit(u) for u, *_ in sql.UNIT_ROWS))
+    priced = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("value"), F.get(units, (F.col("p_partkey") % len(sql.UNIT_ROWS)).cast("int")).alias("unit_raw"))
+    parsed = priced.select("unit_raw").distinct().withColumn("u", parse_unit(F.col("unit_raw")))
+    return priced.join(parsed, priced["unit_raw"].eqNullSafe(parsed["unit_raw"])).select("p_partkey", "u.dimension", "u.base", "u.currency", canonicalise(F.col("value"), F.col("u")).alias("canonical"))
+
+
+@query(sql.PERIODS)
+def q_period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written as periods in nine ways, and parsed."""
+    d, fy = F.col("day"), F.year(F.add_months("day", 9)).cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    year, half = F.year(d).cast("string"), F.when(F.month(d) <= 6, "1").otherwise("2")
+    forms = [
+        F.concat(F.lit("FY"), fy), F.concat(F.lit("Q"), F.quarter(F.add_months(d, 9)).cast("string"), F.lit(" FY"), F.substring(fy, 3, 2)), F.concat(year, F.lit("Q"), F.quarter(d).cast("string")), year,
+        F.concat(F.lit("as at "), F.date_format(d, "MMMM d, yyyy")), F.concat(F.lit("quarter ended "), F.date_format(d, "d MMM yyyy")), F.concat(F.lit("H"), half, F.lit(" "), year),
+        F.concat((fy.cast("int") - 1).cast("string"), F.lit("-"), F.substring(fy, 3, 2)), F.concat(F.lit("April-"), F.date_format(d, "MMMM yyyy")),
+    ]
+    labelled = orders.withColumn("label", F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int")))
+    return periods.with_period(labelled, "label").select("o_orderkey", F.col("period.start").cast("string").alias("start"), F.col("period.end").cast("string").alias("end"))
+
+
+@query(sql.RELATES)
+def q_period_relate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year of an order's date to its fiscal quarter."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    fy = F.year(F.add_months("day", 9)).cast("string")
+    labelled = orders.select("o_orderkey", F.concat(F.lit("FY"), fy).alias("a"), F.when(F.col("o_orderkey") % 2 == 0, F.year("day").cast("string")).otherwise(F.concat(F.lit("Q"), F.quarter(F.add_months("day", 9)).cast("string"), F.lit(" FY"), fy)).alias("b"))
+    both = periods.with_period(periods.with_period(labelled, "a", "pa"), "b", "pb")
+    return both.select("o_orderkey", periods.relate(F.col("pa"), F.col("pb")).alias("rel"), periods.relate(F.col("pb"), F.col("pa")).alias("reverse"))
+
+
+@query(sql.SCOPES)
+def q_scope_relate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' market segments as scopes, against named scopes."""
+    names = F.array(*(F.lit(s) for s in sql.SCOPE_NAMES))
+    pairs = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("a"), F.get(names, (F.col("c_custkey") % len(sql.SCOPE_NAMES)).cast("int")).alias("b"))
+    return pairs.select("c_custkey", scope.relate_scope(F.col("a"), F.col("b")).alias("rel"), scope.relate_scope(F.col("b"), F.lit("Consolidated")).alias("to_group"))
+
+
+@query(sql.PAIRS)
+def q_reconcile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconcile(revenue_claims(spark, sf_dir)).select("claim_a_id", "claim_b_id", "verdict", "confidence", "cross_doc")
+
+
+@query(sql.VERDICTS)
+def q_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.counts(reconcile.reconcile(revenue_claims(spark, sf_dir)), "verdict")
+
+
+@query(sql.NEGATIVE)
+def q_negative_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.negative_measures(balance_claims(spark, sf_dir))
+
+
+@query(sql.VIOLATIONS)
+def q_containment_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters stated three times too high: those above their year."""
+    claims = revenue_claims(spark, sf_dir)
+    raised = claims.withColumns({c: F.when(F.col("doc_id") == "C", 3 * F.col(c)).otherwise(F.col(c)) for c in ("low", "high", "canonical_low", "canonical_high")})
+    return reconcile.reconcile(raised).where(F.exists("trace", lambda s: (s["check"] == "period-containment") & (s["outcome"] == "fail"))).select("claim_a_id", "claim_b_id", "verdict")
+
+
+@query(sql.CAPPED)
+def q_block_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.capped(reconcile.with_blocks(revenue_claims(spark, sf_dir)), 20).select("id", "block_subject", "block_measure")
+
+
+@query(sql.SUPERSEDES)
+def q_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconcile(event_claims(spark, sf_dir)).select("claim_a_id", "claim_b_id", "verdict", "confidence")
+
+
+@query(sql.INCREMENTAL)
+def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarters as a new document, after the pairs of the two yearly ones were seen."""
+    claims = revenue_claims(spark, sf_dir)
+    old, new = claims.where("doc_id <> 'C'"), claims.where("doc_id = 'C'")
+    seen = spark.createDataFrame([], "claim_a_id string, claim_b_id string")
+    return reconcile.reconcile_incremental(new, old, seen).select("claim_a_id", "claim_b_id", "verdict")
+
+
+@query(sql.REVIEW)
+def q_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.relations(reconcile.reconcile(revenue_claims(spark, sf_dir)), limit=200).select("id", "claim_a_id", "claim_b_id", "verdict", "confidence", "cross_doc")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their sources."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+
+
+@query(sql.SCORES)
+def q_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.score_pages(_pages(spark, sf_dir)).select("page_no", "score")
+
+
+@query(sql.TOP_PAGES)
+def q_triage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.choose(triage.score_pages(_pages(spark, sf_dir)), budget=5).select("doc_id", "page_no")
+
+
+@query(sql.COVERAGE)
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.coverage(triage.score_pages(_pages(spark, sf_dir)), by=("doc_id",))
+
+
+@query(sql.PRINTED)
+def q_printed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = F.when(F.col("page_no") % 3 == 0, F.concat("text", F.lit("\n\n "), (F.col("page_no") % 10000).cast("string"), F.lit(" \n"))).otherwise(F.col("text"))
+    return _pages(spark, sf_dir).select("page_no", triage.printed_page(numbered).alias("printed_page"))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text")
+    part = F.substring("text", 11, 60)
+    quote = F.when(F.col("doc_id").cast("long") % 3 == 0, part).when(F.col("doc_id").cast("long") % 3 == 1, F.replace(part, F.lit(" "), F.lit("  "))).otherwise(F.substring("text", 11, 5))
+    claims = pages.select(F.col("doc_id").alias("id"), "doc_id", "page_no", quote.alias("quote"), F.lit("Group").alias("scope"), F.lit("audited").alias("basis"))
+    from claimweave.functions.schema import CLAIM, conform
+
+    return conform(claims, CLAIM), pages
+
+
+@query(sql.GROUNDING)
+def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.ground(*_quotes(spark, sf_dir)).select("id", "grounding", "status", F.coalesce(F.col("char_start").cast("long"), F.lit(-1).cast("long")).alias("char_start"))
+
+
+@query()
+def q_grounding_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages without their third word, against the documents that a shared start finds for them."""
+    items = table(spark, sf_dir, "benchmark").withColumn("lead", F.substring("text", 1, 40))
+    words = F.split("text", " ")
+    elided = F.array_join(F.concat(F.slice(words, 1, 2), F.slice(words, 4, 12)), " ")
+    docs = table(spark, sf_dir, "documents").withColumn("lead", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 40)))))
+    found = items.select("item_id", "lead", elided.alias("quote")).join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lead"), "lead").select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"), "quote").dropDuplicates(["id"])
+    from claimweave.functions.schema import CLAIM, conform
+
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text")
+    return ground.ground(conform(found, CLAIM), pages).select("id", "grounding")
+
+
+@query(sql.QUALIFIERS)
+def q_qualifier_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualifiers against part names that end in one of their spellings."""
+    endings = F.array(*(F.lit(x) for x, *_ in sql.QUALIFIER_ROWS))
+    values = F.array(*(F.lit(x[1]) for x in sql.QUALIFIER_ROWS))
+    k = (F.col("p_partkey") % len(sql.QUALIFIER_ROWS)).cast("int")
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.get(endings, k)).alias("page"), F.get(values, k).alias("value"))
+    return named.select("p_partkey", ground.qualifier_supported(F.col("value"), F.col("page")).alias("supported"))
+
+
+@query(sql.MEASURES)
+def q_measure_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", normalise_measure(F.concat(F.lit("FY24 Adjusted "), "p_name", F.lit(" ("), "p_type", F.lit("), Q1"))).alias("norm"))
+
+
+@query(sql.SUBJECTS)
+def q_subject_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Mr. "), "c_name")).otherwise(F.concat("c_name", F.lit(" Pvt. Ltd.")))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalise_subject(name).alias("norm"))
+
+
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+
+
+@query(sql.CANDIDATES)
+def q_trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part name's two most alike ones."""
+    forms = registry.named(_part_names(spark, sf_dir))
+    return registry.candidates(forms, forms).select("norm", "candidate", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(sql.MERGED)
+def q_registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as they are and with their words turned round: each pair is one measure."""
+    names = _part_names(spark, sf_dir)
+    turned = names.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), (F.col("ord") + 1_000_000_000).alias("ord"))
+    measures, keys, _ = registry.resolve(names.unionByName(turned))
+    return keys.select("name", "key")
+
+
+@query(sql.SUMMARY)
+def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = revenue_claims(spark, sf_dir)
+    return views.summary(claims, reconcile.reconcile(claims))
+
+
+@query(sql.MISSING)
+def q_audit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.audit(revenue_claims(spark, sf_dir).unionByName(balance_claims(spark, sf_dir)))["missing_qualifiers"]
+
+
+@query(sql.GENERIC)
+def q_audit_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.audit(balance_claims(spark, sf_dir))["generic_measures"]
+
+
+@query(sql.STATUS)
+def q_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grounded = ground.ground(*_quotes(spark, sf_dir))
+    return views.audit(grounded)["by_status"].select("status", "grounding", "n")
+
+
+@query()
+def q_grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.report(ground.ground(*_quotes(spark, sf_dir)))
+
+
+@query()
+def q_dropped_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground.dropped_qualifiers(ground.ground(*_quotes(spark, sf_dir)))
+
+
+@query(sql.HIGHLIGHTS)
+def q_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.highlights(reconcile.reconcile(revenue_claims(spark, sf_dir))).select("case", "claim_a_id", "claim_b_id")
+
+
+@query(sql.REFRESHED)
+def q_refresh_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = revenue_claims(spark, sf_dir)
+    old = spark.createDataFrame([("A", "SUPPLIER#000000001 Ltd")], "doc_id string, subject string")
+    new = spark.createDataFrame([("A", "Renamed Works")], "doc_id string, subject string")
+    return pipeline.refresh_subjects(claims, old, new).select("id", "subject_raw", "subject_key")
+
+
+@query(sql.REBUILT)
+def q_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose parsed columns were lost, parsed again from their labels."""
+    claims = revenue_claims(spark, sf_dir)
+    blank = claims.withColumns({c: F.lit(None).cast(claims.schema[c].dataType) for c in ("period_start", "period_end", "canonical_low", "canonical_high", "dimension", "currency")})
+    return pipeline.reparsed(blank).select("id", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), "canonical_low", "dimension", "currency")
+
+
+@query(sql.SALVAGED)
+def q_json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn numbers in JSON in four wrappings."""
+    body = F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))
+    k = F.col("conv_id") % 4
+    wrapped = F.when(k == 0, body).when(k == 1, F.concat(F.lit("so:\n```json\n"), body, F.lit("\n```\nend"))).when(k == 2, F.concat(F.lit("x "), body, F.lit(" y"))).otherwise("none")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(extract.salvage_json(wrapped), "$.turn").alias("found"))

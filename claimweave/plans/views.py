@@ -94,17 +94,19 @@ def pick(stored: DataFrame, verdict: str, cross_doc: bool | None = None, check:
 
 
 def highlights(stored: DataFrame) -> DataFrame:
-    """One relation for each way that claims can relate, chosen by how it was derived: (case, relation columns)."""
+    """One relation for each way that claims can relate, chosen by how it was derived: (case, relation columns).
+
+    Each case's first relation in the order of review, from one pass over the relations.
+    """
+    step = lambda check, outcome: F.exists("trace", lambda s: (s["check"] == check) & (s["outcome"] == outcome))
+    verdict = lambda v: F.col("verdict") == v
     cases = {
-        "corroborated across documents": pick(stored, "corroborates", cross_doc=True), "contradicted": pick(stored, "contradicts"),
-        "part of a period": pick(stored, "complementary", check="period-containment", outcomes=("pass",)), "another basis": pick(stored, "complementary", check="basis", outcomes=("info",)),
-        "another scope": pick(stored, "complementary", check="scope", outcomes=("info",)),
+        "corroborated across documents": verdict("corroborates") & F.col("cross_doc"), "contradicted": verdict("contradicts"), "part of a period": verdict("complementary") & step("period-containment", "pass"),
+        "another basis": verdict("complementary") & step("basis", "info"), "another scope": verdict("complementary") & step("scope", "info"),
     }
-    out = None
-    for name, found in cases.items():
-        row = found.select(F.lit(name).alias("case"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    fits = stored.select(F.explode(F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in cases.items())))).alias("case"), F.struct("*").alias("r"))
+    order = F.struct(review_rank(F.col("r.verdict")), ~F.col("r.cross_doc"), -F.col("r.confidence"), F.col("r.id"))
+    return fits.groupBy("case").agg(F.min_by("r", order).alias("r")).select("case", "r.*")
 
 
 def audit(claims: DataFrame, measures: DataFrame | None = None) -> dict[str, DataFrame]:
