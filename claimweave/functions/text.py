@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 QUALIFIER_WORDS = ("adjusted", "adj", "reported", "restated", "audited", "unaudited", "provisional", "estimated", "projected", "normalised", "normalized", "consolidated", "standalone")
@@ -16,7 +17,7 @@ HONORIFICS = ("mr", "mrs", "ms", "dr", "shri", "smt", "prof")
 FOLDED = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " ", "﻿": None})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(text: pd.Series) -> pd.Series:
     """Compatibility composition, for which Spark has no function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(FOLDED))

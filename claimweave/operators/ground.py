@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from claimweave.functions.text import with_norm_text
 
@@ -61,7 +62,7 @@ def qualifier_supported(value: Column, norm_text: Column) -> Column:
     return F.coalesce((v != "") & (F.contains(norm_text, v) | known), F.lit(False))
 
 
-@F.pandas_udf("struct<char_start: int, char_end: int>")
+@F.pandas_udf(StructType().add("char_start", IntegerType()).add("char_end", IntegerType()))
 def anchor(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     """The place of the longest common block of at least 8 characters, to highlight quotes that aren't exact."""
     found = []

@@ -45,7 +45,7 @@ def q_period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     year, half = F.year(d).cast("string"), F.when(F.month(d) <= 6, "1").otherwise("2")
     forms = [
-        F.concat(F.lit("FY"), fy), F.concat(F.lit("Q"), F.quarter(F.add_months(d, 9)).cast("string"), F.lit(" FY"), F.substring(fy, 3, 2)), F.concat(year, F.lit("Q"), F.quarter(d).cast("string")), year,
+        F.concat(F.lit("FY"), fy), F.concat(F.lit("Q"), F.quarter(F.add_months(d, 9)).cast("string"), F.lit(" FY"), fy), F.concat(year, F.lit("Q"), F.quarter(d).cast("string")), year,
         F.concat(F.lit("as at "), F.date_format(d, "MMMM d, yyyy")), F.concat(F.lit("quarter ended "), F.date_format(d, "d MMM yyyy")), F.concat(F.lit("H"), half, F.lit(" "), year),
         F.concat((fy.cast("int") - 1).cast("string"), F.lit("-"), F.substring(fy, 3, 2)), F.concat(F.lit("April-"), F.date_format(d, "MMMM yyyy")),
     ]

@@ -70,7 +70,7 @@ one AS (SELECT 'corroborated across documents' AS "case", * FROM rel WHERE verdi
   UNION ALL SELECT 'part of a period', * FROM rel WHERE verdict = 'complementary' AND p IN ('contains', 'during'))
 SELECT "case", claim_a_id, claim_b_id FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY cross_doc DESC, confidence DESC, id) AS k FROM one) WHERE k = 1"""
 REFRESHED = f"WITH {_REVENUE} SELECT id, CASE WHEN doc = 'A' AND s_name = 'Supplier#000000001' THEN 'Renamed Works' ELSE s_name || ' Limited' END AS subject_raw, CASE WHEN doc = 'A' AND s_name = 'Supplier#000000001' THEN 'renamed works' ELSE lower(replace(s_name, '#', ' ')) END AS subject_key FROM known"
-REBUILT = f"""WITH {_REVENUE} SELECT id, (make_date(fy - 1, 4, 1) + to_months(CASE WHEN q = 0 THEN 0 ELSE 3 * (q - 1) END))::DATE AS period_start,
+REBUILT = f"""WITH {_REVENUE} SELECT id, (make_date(fy - 1, 4, 1) + to_months(CASE WHEN q = 0 THEN 0 ELSE 3 * (q - 1) END))::DATE::VARCHAR AS period_start,
   (make_date(fy - 1, 4, 1) + to_months(CASE WHEN q = 0 THEN 12 ELSE 3 * q END) - INTERVAL 1 DAY)::DATE::VARCHAR AS period_end, v AS canonical_low, 'currency' AS dimension, 'INR' AS currency FROM known"""
 NEGATIVE = "SELECT DISTINCT 'balance_' || lower(c_mktsegment) AS measure_key FROM customer WHERE c_acctbal < 0 UNION SELECT 'balance_supplier' FROM supplier WHERE s_acctbal < 0"
 GENERIC = """SELECT measure_key, count(DISTINCT round(v, 4)) AS "values" FROM (SELECT 'balance_' || lower(c_mktsegment) AS measure_key, c_acctbal AS v FROM customer UNION ALL SELECT 'balance_supplier', s_acctbal FROM supplier) GROUP BY 1 HAVING count(DISTINCT round(v, 4)) > 12"""
