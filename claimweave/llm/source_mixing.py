@@ -79,6 +79,8 @@ def mixed(docs: DataFrame, levels: dict[str, Column], tokens: Column, weights: D
     null token counts are 0. Texts without tokens cost nothing and go with the prefix that they stand in.
     """
     names = list(levels)
+    if taken := {"doc", "id", "tokens", "copies", "quota", "epochs", "rest", "h", "range", "border"} & set(names):
+        raise ValueError(f"levels can't be named {sorted(taken)}")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), *(c.cast("string").alias(n) for n, c in levels.items()), F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens"))
     narrow = cut(rows.drop("doc"))
     leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
@@ -94,7 +96,7 @@ def mixed(docs: DataFrame, levels: dict[str, Column], tokens: Column, weights: D
     ranges = cut(placed.groupBy(*names, "range").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest")))
     leaf = Window.partitionBy(*names).orderBy("range")
     upto = ranges.withColumn("upto", F.sum("sum").over(leaf))
-    border = _named(upto.where("upto > rest").groupBy(*names).agg(F.min(F.struct("range", F.expr("upto - sum").alias("before"))).alias("b")).select(*names, F.col("b.range").alias("cut_range"), F.col("b.before").alias("before")), names)
+    border = _named(upto.where("upto > rest").groupBy(*names).agg(F.min(F.struct("range", F.expr("upto - sum").alias("before"))).alias("border")).select(*names, F.col("border.range").alias("cut_range"), F.col("border.before").alias("before")), names)
     border = bounded(cut(border), 200_000)
     inside = placed.join(border, _on(placed, border, names) & (F.col("range") == F.col("cut_range")))
     run = F.sum("tokens").over(Window.partitionBy(*names).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
