@@ -9,7 +9,8 @@ Links are confirmed on full sets. Texts with equal sets are one class from the s
 candidates, and the bands' hot buckets aren't expanded into pairs: members are compared with one member of their
 bucket, then with another, and links merge them into components; what then still lies in different components of one
 bucket is compared exactly, the members outside a bucket's largest component with all others of similar set size.
-So every candidate pair is either compared or already in one component.
+That comparison is part of the join's condition, so what leaves the join are links, not candidates. Every candidate
+pair is either compared or already in one component.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import bounded, cut, table
@@ -89,9 +90,8 @@ def prints(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS, rows
         raise ValueError("permutations must be a multiple of rows, and rows at most 8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, random = Shingler(shingle), np.random.default_rng(8)
-        times = random.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = random.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2)
+        own = Shingler(shingle)
+        times, plus = _permutations(permutations)
         for batch in batches:
             n, classes, bands = [], [], []
             for value in batch.column(1):
@@ -105,6 +105,47 @@ def prints(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS, rows
     return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, class binary, bands array<long>")
 
 
+#: Sets of more shingles than this are compared by a sample of their hashes before they are compared in full.
+WHOLE = 1_024
+
+
+def sketches(docs: DataFrame, shingle: int, permutations: int, rows: int) -> DataFrame:
+    """(id, text) to (id, level, hashes, bands): the set's hashes that are multiples of 2^level, cut to 32 bits.
+
+    level is the least at which about WHOLE hashes or fewer are left; 0 keeps all. Hashes that fall together through
+    the cut can only make two sets look more alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, draw = Shingler(shingle), _permutations(permutations)
+        for batch in batches:
+            level, hashes, bands = [], [], []
+            for value in batch.column(1):
+                found = own.shingles(value.as_py() or "")
+                level.append(max(0, int(np.ceil(np.log2(max(1, len(found)) / WHOLE)))))
+                hashes.append(found[(found & np.uint64((1 << level[-1]) - 1)) == 0].astype(np.uint32).view(np.int32))
+                bands.append(_bands(found, *draw, rows) if len(found) else np.zeros(0, np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))) for x, kind in ((hashes, np.int32), (bands, np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.int32()), *lists], ["id", "level", "hashes", "bands"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, level int, hashes array<int>, bands array<long>")
+
+
+def _likely(x: str, y: str, percent: int) -> Column:
+    """Two sketched sets can be similar enough: by all their hashes, or, sampled, by 0.1 less, six standard deviations."""
+    level = F.greatest(f"{x}.level", f"{y}.level")
+    at_level = lambda s: F.when(F.col(f"{s}.level") < level, F.filter(f"{s}.hashes", lambda h: h.bitwiseAND((F.lit(1) * F.pow(F.lit(2), level)).cast("int") - 1) == 0)).otherwise(F.col(f"{s}.hashes"))
+    a, b = at_level(x), at_level(y)
+    both = F.size(F.array_intersect(a, b))
+    return 1000 * both >= F.when(level == 0, 10 * percent - 1).otherwise(10 * percent - 100) * (F.size(a) + F.size(b) - both)
+
+
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(8)
+    times = random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return times, random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids, those whose full sets have 100 * intersection >= percent * union."""
     pairs = cut(pairs)
@@ -139,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(prints(named, shingle, permutations, rows))
     # One representative for each class of equal sets: its least id.
     classes = signed.where("id is not null and class is not null").groupBy("class").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("class", "r.*")
-    owned = classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    owned = classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = owned.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("first")).where("many > 1").select("key", "first")
     members = cut(owned.join(shared, "key"))
 
@@ -153,22 +194,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def placed(members: DataFrame, nodes: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component."""
-        here = cut(members.join(nodes, members["rep"] == nodes["node"]).select("key", "rep", "n", "component"))
+        here = cut(members.join(nodes, members["rep"] == nodes["node"]).select("key", "band", "rep", "n", "component"))
         open_ = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         return cut(here.join(open_, "key", "left_semi"))
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     nodes = merged(nodes, confirmed(members.where("rep <> first").select(*pair("rep", "first")).distinct(), named, shingle, percent))
-    rest = placed(members.select("key", "rep", "n"), nodes)
+    rest = placed(members, nodes)
     pivots = cut(rest.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep")).alias("p")))
     second = rest.join(pivots, "key").where((F.col("component") != F.col("p.component")) & close(F.col("n"), F.col("p.n")))
     nodes = merged(nodes, confirmed(second.select(*pair(F.col("rep"), F.col("p.rep"))).distinct(), named, shingle, percent))
-    rest = placed(rest.select("key", "rep", "n"), nodes)
+    rest = placed(rest.drop("component"), nodes)
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"))
-    outside = rest.join(cut(sizes), "key").where(F.col("component") != F.col("most.component")).select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("most.component").alias("main"))
+    # What is left is compared within the join: a pair in the first bucket that it shares, by sketches of both sets.
+    open_ids = bounded(cut(rest.select(F.col("rep").alias("id")).distinct()), 1_000_000)
+    sketched = sketches(named.join(open_ids, "id", "left_semi").dropDuplicates(["id"]), shingle, permutations, rows)
+    full = rest.join(sketched.select(F.col("id").alias("rep"), F.struct("level", "hashes", "bands").alias("s")), "rep")
+    outside = full.join(cut(sizes), "key").where(F.col("component") != F.col("most.component")).select(F.col("key").alias("o_key"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("most.component").alias("main"), F.col("s").alias("sx"))
+    before = lambda s: F.slice(F.col(f"{s}.bands"), F.lit(1), F.col("band"))
     # Two members outside the largest component meet once, one outside and one inside it meet once.
-    third = rest.join(outside, "key").where((F.col("component") != F.col("cx")) & ((F.col("component") == F.col("main")) | (F.col("rep") < F.col("x"))) & close(F.col("n"), F.col("nx")))
+    once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("x"))
+    third = full.join(outside, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("cx")) & once & close(F.col("n"), F.col("nx")) & ~F.arrays_overlap(before("s"), before("sx")) & _likely("s", "sx", percent))
     nodes = merged(nodes, confirmed(third.select(*pair("rep", "x")).distinct(), named, shingle, percent))
 
     of_class = cut(classes.select("class", "id").join(nodes, F.col("id") == F.col("node"), "left").select("class", F.coalesce("component", "id").alias("of_class")))
