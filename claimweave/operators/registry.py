@@ -54,7 +54,7 @@ def closure(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(name, ord) and decisions (a, b, same) to (measures, name to key, open questions).
+    """(name, ord), ord of any type that has an order, and decisions (a, b, same) to (measures, name to key, open questions).
 
     Names with one normalised form are one measure; so are names that score from 0.995 on, such as the same words in
     another order, and names that decisions call the same, over chains of them. A pair from 0.45 on without a decision
@@ -118,8 +118,7 @@ def canonicalise_claims(claims: DataFrame, decisions: DataFrame | None = None) -
 
     order = F.struct("doc_id", "page_no", "id")
     names = claims.groupBy(F.col("measure_raw").alias("name")).agg(F.min(order).alias("first"))
-    names = names.withColumn("ord", F.row_number().over(Window.orderBy("first"))).select("name", "ord")  # a row for each measure name
-    measures, keys, questions = resolve(names, decisions)
+    measures, keys, questions = resolve(names.withColumnRenamed("first", "ord"), decisions)
     found = keys.select(F.col("name").alias("_name"), F.col("key").alias("_key"))
     out = claims.join(found, F.col("measure_raw") == F.col("_name"), "left").withColumns({"measure_key": F.col("_key"), "subject_key": normalise_subject(F.col("subject_raw"))})
     return out.select(*claims.columns), measures, questions
