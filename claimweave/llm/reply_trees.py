@@ -73,9 +73,11 @@ def best_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     now = cut(up.select("tree", "node", F.col("r_node").alias("up"), F.lit(1).cast("long").alias("depth"), "score"))
     jumps, count, reach = [], now.count(), 1
     while reach <= 2 * count and not now.where("up is not null").isEmpty():
-        jumps.append(now.where("up is not null").select("tree", "node", "up"))
+        live = now.where("up is not null")  # messages that have reached their root aren't joined again
+        jumps.append(live.select("tree", "node", "up"))
         above = right(now, "up", "depth", "score")
-        now = cut(now.join(above, _same(now, above, "up"), "left").select("tree", "node", F.col("r_up").alias("up"), (F.col("depth") + F.coalesce("r_depth", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score")))
+        moved = live.join(above, _same(live, above, "up"), "left").select("tree", "node", F.col("r_up").alias("up"), (F.col("depth") + F.coalesce("r_depth", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score"))
+        now = cut(now.where("up is null").unionByName(moved))
         reach *= 2
     rooted = now.where("up is null").drop("up")  # what is left hangs on a cycle of replies and has no root
 
