@@ -92,7 +92,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     base = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    urls = cut(base.groupBy("url").agg(F.any_value("ruled").alias("ruled"), F.count("*").alias("n")))
+    # Distinct URLs are few bytes, but each becomes a row for each character: keep them on all partitions.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = cut(base.groupBy("url").agg(F.any_value("ruled").alias("ruled"), F.count("*").alias("n")).repartition(parts, "url"))
     trained = lambda verdict: F.when(~held & (F.col("ruled") == verdict), F.col("n")).otherwise(0)
     spread = urls.select("url", trained("allow").alias("good"), trained("block").alias("bad"), F.explode(windows(F.col("url"), order)).alias("w"))
     counts = cut(spread.groupBy("w").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
