@@ -23,10 +23,10 @@ _FY = "make_date(year(t)::INT - 1, 4, 1)"
 _FQ = "(make_date(year(t)::INT - 1, 4, 1) + to_months((3 * (quarter(t) - 1))::INT))::DATE"
 PERIODS = f"""SELECT o_orderkey,
  (CASE o_orderkey % 9 WHEN 0 THEN {_FY} WHEN 1 THEN {_FQ} WHEN 2 THEN date_trunc('quarter', d) WHEN 3 THEN date_trunc('year', d) WHEN 4 THEN d
-  WHEN 5 THEN date_trunc('month', d - INTERVAL 2 MONTH) WHEN 6 THEN make_date(year(d)::INT, CASE WHEN month(d) <= 6 THEN 1 ELSE 7 END, 1) WHEN 7 THEN {_FY} ELSE make_date(year(d)::INT, 4, 1) END)::DATE::VARCHAR AS start,
+  WHEN 5 THEN date_trunc('month', d - INTERVAL 2 MONTH) WHEN 6 THEN make_date(year(d)::INT, CASE WHEN month(d) <= 6 THEN 1 ELSE 7 END, 1) WHEN 7 THEN CASE WHEN year(t) = 2000 THEN make_date(1999, 1, 1) ELSE {_FY} END ELSE make_date(year(d)::INT, 4, 1) END)::DATE::VARCHAR AS start,
  (CASE o_orderkey % 9 WHEN 0 THEN {_FY} + INTERVAL 12 MONTH - INTERVAL 1 DAY WHEN 1 THEN {_FQ} + INTERVAL 3 MONTH - INTERVAL 1 DAY WHEN 2 THEN date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY
   WHEN 3 THEN make_date(year(d)::INT, 12, 31) WHEN 4 THEN d WHEN 5 THEN d WHEN 6 THEN CASE WHEN month(d) <= 6 THEN make_date(year(d)::INT, 6, 30) ELSE make_date(year(d)::INT, 12, 31) END
-  WHEN 7 THEN {_FY} + INTERVAL 12 MONTH - INTERVAL 1 DAY ELSE last_day(make_date(year(d)::INT + (month(d) < 4)::INT, month(d)::INT, 1)) END)::DATE::VARCHAR AS "end"
+  WHEN 7 THEN CASE WHEN year(t) = 2000 THEN make_date(1999, 12, 31) ELSE {_FY} + INTERVAL 12 MONTH - INTERVAL 1 DAY END ELSE last_day(make_date(year(d)::INT + (month(d) < 4)::INT, month(d)::INT, 1)) END)::DATE::VARCHAR AS "end"
 FROM ({_ORDERS})"""
 RELATES = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'overlaps' ELSE 'contains' END AS rel, CASE WHEN o_orderkey % 2 = 0 THEN 'overlaps' ELSE 'during' END AS reverse FROM ({_ORDERS})"""
 SCOPES = """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'subsumed_by' WHEN 1 THEN 'unknown' WHEN 2 THEN 'subsumed_by'

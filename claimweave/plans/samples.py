@@ -42,7 +42,7 @@ def revenue_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat("s_name", F.lit(" Limited")).alias("subject_raw"))
 
     def stated(sums: DataFrame, doc: str, label, unit: str, per: int, digits: int) -> DataFrame:
-        value = F.round(F.col("net") / per, digits).cast("double")
+        value = F.round(F.col("net").cast("decimal(20,4)") * F.lit(f"{1 / per:.7f}").cast("decimal(8,7)"), digits).cast("double")
         return sums.select("l_suppkey", F.concat_ws("-", F.lit(doc), F.col("l_suppkey").cast("string"), label).alias("id"), F.lit(doc).alias("doc_id"), label.alias("period_label"), value.alias("low"), value.alias("high"), F.lit(unit).alias("unit_raw"))
 
     fy = F.concat(F.lit("FY"), F.col("fy").cast("string"))
