@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import periods, scope
@@ -14,6 +14,7 @@ from claimweave.operators import extract, ground, reconcile, registry, triage
 from claimweave.plans import oracles as sql
 from claimweave.plans import pipeline, views
 from claimweave.plans.samples import balance_claims, event_claims, revenue_claims, table
+from claimweave.sources.store import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,17 +160,42 @@ def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.ground(*_quotes(spark, sf_dir)).select("id", "grounding", "status", F.coalesce(F.col("char_start").cast("long"), F.lit(-1).cast("long")).alias("char_start"))
 
 
+#: Words in a row that a document must share with a passage to be checked for it, and the most shingles to broadcast.
+SHINGLE, BROADCAST_SHINGLES = 8, 1_000_000
+
+
+def _words(text: str) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _shingles(text: str, lengths: list[int]) -> Column:
+    """All runs of words of these lengths in a whole text, which is split only once."""
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return F.flatten(F.transform(F.array(_words(text)), lambda w: F.concat(*(F.coalesce(runs(w, n), F.array().cast("array<string>")) for n in lengths))))
+
+
+def passages_in(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of items and docs (id, text) that share a run of SHINGLE words anywhere; a shorter passage is one run."""
+    sized = items.withColumn("n", F.least(F.lit(SHINGLE), F.size(_words("text")))).where("n > 0")
+    lengths = sorted(r.n for r in sized.select("n").distinct().collect())  # SHINGLE values at most
+    if not lengths:
+        return items.select("item_id").limit(0).crossJoin(docs.select("doc_id").limit(0))
+    of_items = checkpointed(sized.select("item_id", "n", F.explode(_shingles("text", lengths)).alias("shingle")).where(F.size(F.split("shingle", " ")) == F.col("n")).select("item_id", "shingle").distinct())
+    if of_items.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
+        of_items = F.broadcast(of_items)
+    return docs.select("doc_id", F.explode(_shingles("text", lengths)).alias("shingle")).join(of_items, "shingle").select("item_id", "doc_id").distinct()
+
+
 @query()
 def q_grounding_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages without their third word, against the documents that a shared start finds for them."""
-    items = table(spark, sf_dir, "benchmark").withColumn("lead", F.substring("text", 1, 40))
-    words = F.split("text", " ")
-    elided = F.array_join(F.concat(F.slice(words, 1, 2), F.slice(words, 4, 12)), " ")
-    docs = table(spark, sf_dir, "documents").withColumn("lead", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 40)))))
-    found = items.select("item_id", "lead", elided.alias("quote")).join(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "lead"), "lead").select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"), "quote").dropDuplicates(["id"])
+    """Benchmark passages without their third word, against the documents that share a run of words with them."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    elided = F.array_join(F.filter(F.split("text", " "), lambda _, i: i != 2), " ")
+    quotes = items.select("item_id", elided.alias("quote"))
+    found = passages_in(items, docs).join(quotes, "item_id").select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"), "quote").dropDuplicates(["id"])
     from claimweave.functions.schema import CLAIM, conform
 
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text")
+    pages = docs.select("doc_id", F.lit(1).alias("page_no"), "text")
     return ground.ground(conform(found, CLAIM), pages).select("id", "grounding")
 
 

@@ -153,3 +153,33 @@ def test_batches_of_a_stream_are_idempotent(spark, tmp_path):
         add_claims(store, batch)
     assert store.read("claims").count() == 4 and store.read("relations").count() == 6
     assert store.read("relations").where("verdict = 'corroborates'").count() == 2
+
+
+def test_gapped_query_equals_all_pairs(spark, tmp_path):
+    from claimweave.plans import catalogue
+
+    words = lambda seed, n: [f"w{(seed * 7919 + i * i * 31 + i * seed) % 9973}" for i in range(n)]
+    items = {"a": words(1, 14), "b": words(2, 59), "c": words(3, 30), "d": words(4, 5)}
+    texts = {
+        1: "Start of it. " + " ".join(items["a"]) + " end", 2: " ".join(words(50, 6000) + items["b"] + words(51, 300)), 3: "x\n" + " ".join(words(52, 9) + items["c"][:15] + words(53, 40)),
+        4: " ".join(items["a"][:2] + items["a"][3:]), 5: " ".join(words(54, 20) + items["d"] + items["c"]), 6: " ".join(items["a"][:7] + words(55, 3) + items["b"][20:27]), 7: None, 8: "",
+    }
+    spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def by_hand(passage, text):
+        inside = lambda run: f" {' '.join(run)} " in f" {' '.join(text.split())} "
+        n = min(8, len(passage))
+        if not any(inside(passage[i : i + n]) for i in range(len(passage) - n + 1)):
+            return None
+        quote, page, at, matched = passage[:2] + passage[3:], " ".join(text.lower().split()), 0, 0
+        if " ".join(quote) in page:
+            return "exact"
+        for token in quote:
+            place = page.find(token, at)
+            at, matched = (place + len(token), matched + len(token)) if place >= 0 else (at, matched)
+        return "gapped" if matched >= ground.MIN_COVERAGE * sum(map(len, quote)) else "not_found"
+
+    want = {f"{k}-{d}": g for k, w in items.items() for d, t in texts.items() if t and (g := by_hand(w, t))}
+    assert want.keys() == {"a-1", "a-4", "b-2", "c-3", "c-5", "d-5"} and set(want.values()) == {"exact", "gapped", "not_found"}
+    assert {r.id: r.grounding for r in catalogue.QUERIES["q_grounding_gapped"](spark, str(tmp_path)).collect()} == want
