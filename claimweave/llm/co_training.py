@@ -2,13 +2,14 @@
 
 Both are naive Bayes over sets of features, fitted from counts. In each round both are fitted to the labelled rows and
 to what the other one has labelled so far; each is calibrated on labelled rows held out from all fitting, and gives
-the other the rows of an unlabelled pool that it is sure of. At the end the calibrated views are combined by a
+the other the unlabelled rows that it is sure of. At the end the calibrated views are combined by a
 logistic regression on the held-out rows, and all documents are scored in one pass over their whole texts.
 
 A document is kept from a score of 0.5 on, or from a lower one if that is needed to keep all but MISSED of the
 held-out good rows.
 
-The fit takes a bounded sample: about LABELLED labelled rows and POOL unlabelled ones, drawn by a hash of the id.
+Of labelled rows the fit takes a bounded sample, about LABELLED, drawn by a hash of the id. All other rows are
+unlabelled ones: each round after the first reads their whole texts again and keeps only counts of features.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from operator import eq
 
 import numpy as np
@@ -26,16 +27,16 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import cut, table
 
-LABELLED, POOL, ROUNDS, SURE, MISSED = 20_000, 20_000, 3, 0.97, 0.005
+LABELLED, ROUNDS, SURE, MISSED = 20_000, 3, 0.97, 0.005
 WORD_SLOTS, SHAPE_SLOTS, META_SLOTS = 1 << 15, 256, 1 << 14
 #: A feature counts if its log ratio is so many standard errors from 0.
 SIGNIFICANT = 3.0
-SYMBOLS = "#*$%&|<>{}[]~^_=\\"
+SYMBOLS, CAPITALS = "#*$%&|<>{}[]~^_=\\", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def text_features(text: str) -> list[int]:
     """Hashed distinct words, and the text's shape: shares of symbols, digits, repeated lines and repeated words."""
-    words = text.lower().split()
+    words, raw = text.lower().split(), text.encode("utf-8", "surrogatepass")
     next_to = sum(map(eq, words, words[1:]))
     distinct = set(words)
     lines = [x for x in text.split("\n") if x.strip()]
@@ -45,14 +46,11 @@ def text_features(text: str) -> list[int]:
         bucket(sum(map(text.count, SYMBOLS)) / n), bucket(sum(map(text.count, "0123456789")) / n), bucket(1 - len(set(lines)) / max(1, len(lines))),
         bucket(1 - len(distinct) / m), min(15, len(words).bit_length()), min(15, int(n / m)), bucket(sum(map(text.count, "!?")) / n), bucket(sum(map(text.count, ".,;:")) / n),
         bucket(next_to / m), bucket(text.count("|") / m),
-        bucket((len(text) - len(text.translate(_NO_CAPITALS))) / n),
+        bucket((len(raw) - len(raw.translate(None, CAPITALS))) / n),
     )
     return [*{zlib.crc32(w.encode()) % WORD_SLOTS for w in distinct}, *(WORD_SLOTS + 16 * i + b for i, b in enumerate(shape))]
 
 
-_NO_CAPITALS = dict.fromkeys(range(65, 91))
-
-
 def meta_features(row: tuple) -> list[int]:
     """Each metadata column's value, numbers by their order of magnitude, and all pairs of them."""
     values = [f"{i}={x.bit_length() if isinstance(x, int) else x}" for i, x in enumerate(row)]
@@ -121,12 +119,14 @@ def _sampled(ids: str, rate: float):
     return F.pmod(F.xxhash64(F.col(ids), F.lit(4)), F.lit(1_000_000)) < int(rate * 1_000_000)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int, n_pool: int) -> DataFrame:
-    """(id, part, y, text_f, meta_f): part is 0 for fitting, 1 for calibration, 2 for the pool; only ids are shuffled."""
+def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int) -> tuple[DataFrame, DataFrame]:
+    """(id, part, y, text_f, meta_f) of the labelled rows that are taken, and all other rows of docs.
+
+    part is 0 for fitting, 1 for calibration; only ids are shuffled.
+    """
     known = labels.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     known = cut(known.where(_sampled("id", min(1.0, n_labelled / max(1, known.count())))))
-    pool_rate = min(1.0, n_pool / max(1, docs.count()))
-    picked = docs.join(F.broadcast(known), "id", "left").where(F.col("y").isNotNull() | _sampled("id", pool_rate))  # known: about n_labelled rows
+    picked, others = docs.join(F.broadcast(known), "id"), docs.join(F.broadcast(known), "id", "left_anti")  # known: about n_labelled rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,50 +135,62 @@ def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int, n_pool: int) ->
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(texts, kind), pa.array(metas, kind)], ["id", "y", "text_f", "meta_f"])
 
-    part = F.when(F.col("y").isNull(), 2).when(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0, 1).otherwise(0)
+    part = F.when(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0, 1).otherwise(0)
     made = picked.select("id", "y", "text", "meta").mapInArrow(run, "id long, y int, text_f array<int>, meta_f array<int>")
-    return cut(made.select("id", part.alias("part"), "y", "text_f", "meta_f"))
+    return cut(made.select("id", part.alias("part"), "y", "text_f", "meta_f")), others
 
 
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, n_labelled: int = LABELLED, n_pool: int = POOL) -> CoTrained | None:
+def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, n_labelled: int = LABELLED) -> CoTrained | None:
     """Fit to docs (id, text, meta struct) and labels (id, y 0 or 1); None if one of the classes has no labels."""
-    state = _sample(docs, labels, n_labelled, n_pool).withColumns({"y_text": F.when(F.col("part") == 0, F.col("y")), "y_meta": F.when(F.col("part") == 0, F.col("y"))})
+    state, others = _sample(docs, labels, n_labelled)
     held = state.where("part = 1").orderBy("id").select("y", "text_f", "meta_f").toArrow()  # about a fifth of n_labelled
     y = np.array(held.column("y").to_pylist(), dtype=float)
     if not len(y) or y.min() == y.max():
         return None
     features = {v: [np.array(f, dtype=np.int64) for f in held.column(f"{v}_f").to_pylist()] for v in ("text", "meta")}
     views = {"text": View(WORD_SLOTS + SHAPE_SLOTS), "meta": View(META_SLOTS)}
-    for step in range(rounds):
-        long = [state.where(F.col(f"y_{v}").isNotNull()).select(F.lit(v).alias("view"), F.col(f"y_{v}").alias("y"), F.explode(F.array_append(f"{v}_f", -1)).alias("f")) for v in views]
-        counts = long[0].unionByName(long[1]).groupBy("view", "f").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).toPandas()  # a row for each slot at most
+    fitted = [state.where("part = 0").select(F.lit(v).alias("view"), "y", F.explode(F.array_append(f"{v}_f", -1)).alias("f")) for v in views]
+    fitted = cut(fitted[0].unionByName(fitted[1]).groupBy("view", "f").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")))
+    passed: list[dict[str, View]] = []
+    for _ in range(rounds):
+        given = fitted.unionByName(_exchange(others, passed, sure)) if passed else fitted
+        counts = given.groupBy("view", "f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()  # a row for each slot at most
         for v, view in views.items():
             own = counts[counts["view"] == v][["f", "good", "bad"]].to_numpy(dtype=np.int64)
             total, own = own[own[:, 0] == -1], own[own[:, 0] >= 0]
             view.fit(own, *(map(int, total[0, 1:]) if len(total) else (0, 0)))
             view.slope, view.shift = logistic(np.array([[view.raw(f)] for f in features[v]]), y)
-        if step < rounds - 1:
-            state = cut(_exchange(state, views, sure))
+        passed.append({v: replace(view) for v, view in views.items()})
     both = np.array([[views["text"].odds(a), views["meta"].odds(b)] for a, b in zip(features["text"], features["meta"], strict=True)])
     model = CoTrained(views["text"], views["meta"], logistic(both, y), 0.5)
     model.keep_from = min(0.5, float(np.quantile([model.combined(a, b) for a, b in both[y == 1]], MISSED)))
     return model
 
 
-def _exchange(state: DataFrame, views: dict[str, View], sure: float) -> DataFrame:
-    """Give each view the pool's rows that the other is sure of; what a row was given once stays."""
+def _exchange(others: DataFrame, passed: list[dict[str, View]], sure: float) -> DataFrame:
+    """(view, f, good, bad), a task's partial counts: features of the unlabelled rows that each view is given, -1 for the rows.
+
+    A view is given the rows that the other is sure of. What a row was given once stays, so the views of all rounds
+    so far are asked in turn; no row's features are stored.
+    """
     limit = math.log(sure / (1 - sure))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {v: np.zeros((view.slots + 1, 2), dtype=np.int64) for v, view in passed[0].items()}
         for batch in batches:
-            given = {}
-            for v, other in (("text", "meta"), ("meta", "text")):
-                odds = [views[other].odds(np.array(f, dtype=np.int64)) for f in batch.column(f"{other}_f").to_pylist()]
-                old, part = batch.column(f"y_{v}").to_pylist(), batch.column("part").to_pylist()
-                given[f"y_{v}"] = pa.array([o if o is not None or p != 2 or abs(z) < limit else int(z > 0) for o, p, z in zip(old, part, odds, strict=True)], pa.int32())
-            yield pa.RecordBatch.from_arrays([given.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
-
-    return state.mapInArrow(run, state.schema)
+            for text, meta in zip(batch.column("text").to_pylist(), batch.column("meta").to_pylist(), strict=True):
+                seen = {"text": np.array(text_features(text or ""), dtype=np.int64), "meta": np.array(meta_features(tuple(meta.values())), dtype=np.int64)}
+                for v, other in (("text", "meta"), ("meta", "text")):
+                    odds = next((z for views in passed if abs(z := views[other].odds(seen[other])) >= limit), None)
+                    if odds is not None:
+                        column = sums[v][:, int(odds <= 0)]
+                        column[seen[v]] += 1
+                        column[-1] += 1
+        for v, s in sums.items():
+            f = np.flatnonzero(s.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(f), pa.string()), pa.array(np.where(f == len(s) - 1, -1, f), pa.int32()), pa.array(s[f, 0]), pa.array(s[f, 1])], ["view", "f", "good", "bad"])
+
+    return others.select("text", "meta").mapInArrow(run, "view string, f int, good long, bad long")
 
 
 def scorer(model: CoTrained | None) -> Callable:

@@ -155,3 +155,39 @@ def test_co_training_without_labels_keeps_all(spark):
         got = co_training.classify(docs, labels).collect()
         assert len(got) == 42 and all(r.kept and r.score is None for r in got)
     assert co_training.classify(docs.limit(0), none).isEmpty()
+
+
+def test_all_unlabelled_rows_are_exchanged(spark):
+    import math
+    from dataclasses import replace
+
+    import numpy as np
+
+    n, y = 24_000, {i: int(i % 4 != 0) for i in range(400)}
+    texts = [f"{'junk spam offer' if i % 4 == 0 else 'calm plain prose'} n{i % 900}" for i in range(n)]
+    metas = [("bad" if i % 4 == 0 else "fine", i % 7) for i in range(n)]
+    docs = spark.createDataFrame([(i, t, *m) for i, (t, m) in enumerate(zip(texts, metas, strict=True))], "id long, text string, source string, k long").repartition(6)
+    got = co_training.co_train(docs.select("id", "text", F.struct("source", "k").alias("meta")), spark.createDataFrame(list(y.items()), "id long, y int"))
+
+    held = {r.id for r in spark.range(400).where("pmod(xxhash64(id, 5), 5) = 0").collect()}
+    features = {"text": [co_training.text_features(t) for t in texts], "meta": [co_training.meta_features(m) for m in metas]}
+    views = {"text": co_training.View(co_training.WORD_SLOTS + co_training.SHAPE_SLOTS), "meta": co_training.View(co_training.META_SLOTS)}
+    labels = {v: {i: c for i, c in y.items() if i not in held} for v in views}
+    limit, truth = math.log(co_training.SURE / (1 - co_training.SURE)), np.array([float(y[i]) for i in sorted(held)])
+    for step in range(co_training.ROUNDS):
+        if step:
+            past = {v: replace(view) for v, view in views.items()}
+            for v, other in (("text", "meta"), ("meta", "text")):
+                for i in range(400, n):
+                    if i not in labels[v] and abs(z := past[other].odds(features[other][i])) >= limit:
+                        labels[v][i] = int(z > 0)
+        for v, view in views.items():
+            counts = defaultdict(lambda: [0, 0])
+            for i, c in labels[v].items():
+                for f in features[v][i]:
+                    counts[f][1 - c] += 1
+            view.fit(np.array([[f, *c] for f, c in counts.items()]), sum(labels[v].values()), len(labels[v]) - sum(labels[v].values()))
+            view.slope, view.shift = co_training.logistic(np.array([[view.raw(features[v][i])] for i in sorted(held)]), truth)
+    assert len(labels["text"]) > 20_000
+    for v in views:
+        assert np.allclose(getattr(got, v).weights, views[v].weights)
