@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +61,8 @@ def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
 
     Names with one normalised form are one measure; so are names that score from 0.995 on, such as the same words in
     another order, and names that decisions call the same, over chains of them. A pair from 0.45 on without a decision
-    is a question (norm, candidate, similarity), a pair that was decided against is none. Missing decisions mean
+    is a question (norm, candidate, similarity) if it is among the most alike open ones of either of its names; a pair
+    that was decided against is none. Missing decisions mean
     "different". Measures' keys are the first spelling's normalised form with underscores, 60 characters at most,
     numbered where two of them clash.
     """
@@ -81,9 +85,29 @@ def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
     number = F.row_number().over(Window.partitionBy("short").orderBy("ord", "root"))
     keyed = checkpointed(short.withColumn("n", number).withColumn("key", F.when(F.col("n") == 1, F.col("short")).otherwise(F.concat_ws("_", "short", F.col("n").cast("string")))))
     keys = members.join(keyed.select("root", "key"), "root").select(F.explode("surface_forms").alias("name"), "norm", "key")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    questions = ordered.where("same is null").where(F.col("similarity") < AUTO_ACCEPT).withColumn("rank", rank).where(F.col("rank") <= CANDIDATES)
-    return keyed.select("key", "canonical_name", "aliases", "surface_forms"), keys, questions.select(F.col("a").alias("norm"), F.col("b").alias("candidate"), "similarity")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("similarity"), "other"))
+    open_ = ordered.where("same is null").where(F.col("similarity") < AUTO_ACCEPT)
+    sides = open_.withColumns({"own": F.col("a"), "other": F.col("b")}).unionByName(open_.withColumns({"own": F.col("b"), "other": F.col("a")}))
+    questions = sides.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).select(F.col("a").alias("norm"), F.col("b").alias("candidate"), "similarity").distinct()
+    return keyed.select("key", "canonical_name", "aliases", "surface_forms"), keys, questions
+
+
+PAIRS_PROMPT = (
+    "For each numbered pair below, decide whether both names mean the same measured quantity. The same quantity in other words is the same; separate line items of a report, a measure and its rate of change, and a measure and its ratio are different. "
+    'When unsure, answer false. Answer with a JSON object: {"decisions": [{"n": 1, "same": true or false}, ...]}, one entry for each pair.\n\n'
+)
+
+
+def adjudicator(provider: Callable[[str], str | None]) -> Callable[[list[tuple[str, str]]], list[bool]]:
+    """An answer for adjudicate() that asks a model about a batch of pairs in one prompt. Pairs that its reply leaves out are different."""
+
+    def answer(pairs: list[tuple[str, str]]) -> list[bool]:
+        text = provider(PAIRS_PROMPT + "\n".join(f'{i}. A: "{a}"   B: "{b}"' for i, (a, b) in enumerate(pairs, 1))) or ""
+        found = json.loads(text[text.index("{") : text.rindex("}") + 1])
+        same = {str(d.get("n")): d.get("same") is True for d in found.get("decisions", []) if isinstance(d, dict)}
+        return [same.get(str(i), False) for i in range(1, len(pairs) + 1)]
+
+    return answer
 
 
 def adjudicate(questions: DataFrame, answer, cache: DataFrame | None = None, batch: int = BATCH) -> DataFrame:

@@ -29,7 +29,7 @@ def ingest(spark: SparkSession, store: Store, path: str, provider: Callable[[str
     """Read files, extract, ground and canonicalise their claims, compare them with the stored ones; returns a report.
 
     Documents that are stored are left out unless force is set; their claims have the same ids again and replace the
-    old ones.
+    old ones. The provider is also asked which measure names are the same, once for each pair: its answers are stored.
     """
     documents, pages = read_documents(spark, path, parser, glob)
     new = documents if force else unseen_documents(documents, store)
@@ -49,10 +49,17 @@ def ingest(spark: SparkSession, store: Store, path: str, provider: Callable[[str
     claims = checkpointed(ground.ground(extract.build_claims(rows, new), pages))
     old = checkpointed(store.read("claims").join(new.select("doc_id"), "doc_id", "left_anti"))
     said = store.read("decisions") if decisions is None else store.read("decisions").unionByName(decisions.select("a", "b", "same"))
-    keyed, measures, _ = registry.canonicalise_claims(old.unionByName(claims), said)
+    keyed, measures, questions = registry.canonicalise_claims(old.unionByName(claims), said)
+    if provider is not None and not (answers := checkpointed(registry.adjudicate(questions, registry.adjudicator(provider)))).isEmpty():
+        store.upsert("decisions", answers)
+        keyed, measures, _ = registry.canonicalise_claims(old.unionByName(claims), said.unionByName(answers))
     keyed = checkpointed(keyed)
-    fresh, known = keyed.join(new.select("doc_id"), "doc_id", "left_semi"), keyed.join(new.select("doc_id"), "doc_id", "left_anti")
-    found = checkpointed(reconcile.reconcile_incremental(fresh.select(*keyed.columns), known.select(*keyed.columns), store.read("relations")))
+    fresh = keyed.join(new.select("doc_id"), "doc_id", "left_semi").select(*keyed.columns)
+    # A merge of names can bring stored claims together: those with another key than before are compared as new ones.
+    was = old.select(F.col("id").alias("_id"), F.col("measure_key").alias("_was"))
+    stored = checkpointed(keyed.join(new.select("doc_id"), "doc_id", "left_anti").join(was, F.col("id") == F.col("_id"), "left").withColumn("_moved", ~F.col("measure_key").eqNullSafe(F.col("_was"))))
+    moved, known = (stored.where(c).select(*keyed.columns) for c in (F.col("_moved"), ~F.col("_moved")))
+    found = checkpointed(reconcile.reconcile_incremental(fresh.unionByName(moved), known, store.read("relations")))
 
     store.upsert("documents", new)
     store.write("claims", keyed)

@@ -183,3 +183,35 @@ def test_gapped_query_equals_all_pairs(spark, tmp_path):
     want = {f"{k}-{d}": g for k, w in items.items() for d, t in texts.items() if t and (g := by_hand(w, t))}
     assert want.keys() == {"a-1", "a-4", "b-2", "c-3", "c-5", "d-5"} and set(want.values()) == {"exact", "gapped", "not_found"}
     assert {r.id: r.grounding for r in catalogue.QUERIES["q_grounding_gapped"](spark, str(tmp_path)).collect()} == want
+
+
+def knowing(prompt):
+    """The stand-in, which also knows that three names are the same."""
+    if "numbered pair" not in prompt:
+        return provider(prompt)
+    same = {"revenue from services", "revenue from all services", "revenue from all the services"}
+    pairs = [(line.split(".")[0], line.split('"')[1::2]) for line in prompt.split("\n\n", 1)[1].split("\n")]
+    return "```json\n" + json.dumps({"decisions": [{"n": int(n), "same": set(p) <= same} for n, p in pairs]}) + "\n```"
+
+
+def test_ingest_asks_which_names_are_the_same(spark, tmp_path):
+    files = tmp_path / "files"
+    files.mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    for name, value, measure in (("one.txt", "8142.0 Rs. Cr", "Revenue from services"), ("two.txt", "9000 Rs. Cr", "Revenue from all services"), ("three.txt", "8000 Rs. Cr", "Revenue from all the services")):
+        if name == "three.txt":  # the stand-in says nothing on pairs: different
+            assert pipeline.ingest(spark, store, str(files), provider).first().relations == 0
+            assert [tuple(r) for r in store.read("decisions").collect()] == [("revenue from all services", "revenue from services", False)]
+        write(files, name, value)
+        (files / name).write_text((files / name).read_text().replace("Revenue from services", measure))
+    assert pipeline.ingest(spark, store, str(files), knowing).first().documents == 1
+    assert {r.measure_key for r in store.read("claims").collect()} == {store.read("measures").first().key}
+    assert store.read("decisions").where("same").count() == 2
+    assert store.read("relations").count() == 3  # stored claims that the merge brings together too
+
+
+def test_each_name_keeps_its_questions(spark):
+    names = ["alpha sales growth", "beta sales growth", "gamma sales growth", "delta sales growth", "zeta sales growth"]
+    frame = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
+    asked = [(r.norm, r.candidate) for r in registry.resolve(frame)[2].collect()]
+    assert len(asked) == len(set(asked)) and all(sum(n in p for p in asked) >= 2 for n in names)
