@@ -76,7 +76,8 @@ def mixed(docs: DataFrame, levels: dict[str, Column], tokens: Column, weights: D
     levels: the tree's levels from the top, each with an expression on docs; share: the mixture's tokens as a share of
     all tokens. copies: how often the text occurs, once for each epoch that takes it. A null level is a node of its
     own; null ids share one place in each order; rows of one leaf with the same id are taken together or not at all;
-    null token counts are 0. Texts without tokens cost nothing and go with the prefix that they stand in.
+    null token counts are 0. Texts without tokens cost nothing and go with the prefix that they stand in; those of a
+    leaf without any tokens are taken once.
     """
     names = list(levels)
     if taken := {"doc", "id", "tokens", "copies", "quota", "epochs", "rest", "h", "range", "border"} & set(names):
@@ -107,7 +108,8 @@ def mixed(docs: DataFrame, levels: dict[str, Column], tokens: Column, weights: D
     decided = _named(cut(full_plan.select(*names, "epochs", "cut_range", "last_h")), names)
     decided = bounded(decided, 200_000)
     out = rows.join(decided, _on(rows, decided, names)).withColumn("h", _place(seed))
-    in_prefix = (F.substring("h", 1, RANGE) < F.col("cut_range")) | F.coalesce(F.col("h") <= F.col("last_h"), F.lit(False))
+    # Only a leaf without any tokens has no range that exceeds its rest: all of it is in the prefix.
+    in_prefix = F.col("cut_range").isNull() | (F.substring("h", 1, RANGE) < F.col("cut_range")) | F.coalesce(F.col("h") <= F.col("last_h"), F.lit(False))
     copies = (F.col("epochs") + F.coalesce(in_prefix, F.lit(False)).cast("long")).alias("copies")
     return out.select("doc", *names, "tokens", copies).where("copies > 0")
 

@@ -191,3 +191,14 @@ def test_all_unlabelled_rows_are_exchanged(spark):
     assert len(labels["text"]) > 20_000
     for v in views:
         assert np.allclose(getattr(got, v).weights, views[v].weights)
+
+
+def test_leaves_without_tokens_are_taken_once(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "some words here", "en", f"src{i % 4}", 15) for i in range(40)] + [(40, None, "en", "src9", 0), (41, " ", "xx", None, 1), (42, "", "xx", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r.copies for r in source_mixing.query(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r[-1] for r in con.sql(source_mixing.ORACLE).fetchall()} and got[40] == got[41] == got[42] == 1
