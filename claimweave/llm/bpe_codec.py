@@ -10,8 +10,9 @@ import json
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import table
+from claimweave.llm.common import cut, small, table
 from claimweave.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon.
 WORDS = 131_072
-#: Distinct pieces that a task remembers at a time.
-REMEMBERED = 300_000
+#: Distinct pieces that a task counts before it passes them on; entries and characters of an entry that a worker remembers.
+COUNTED, REMEMBERED, SHORT = 300_000, 60_000, 32
 #: Marks that form one word with each other, and none with letters before them.
 MARKS = ".,;:!?%#*$&|"
 #: White space beside white space; elsewhere each space starts a pre-token and each line break is one.
@@ -55,9 +56,9 @@ class Codec:
         self.of_byte = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.new = [vocab[a + b] for a, b in pairs]
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # of pairs of ids, the first in the upper half
         for k, (a, b) in enumerate(pairs):
-            self.rank.setdefault((vocab[a], vocab[b]), k)
+            self.rank.setdefault(vocab[a] << 32 | vocab[b], k)
 
     def merge(self, word: bytes) -> list[int]:
         """Apply the merges of lowest rank first, of equal ones the leftmost."""
@@ -65,15 +66,15 @@ class Codec:
         if len(ids) > 200:
             return self._merge_long(ids)
         rank, new, none = self.rank.get, self.new, len(self.new)
-        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             ids[i] = new[best]
             del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), none)
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -82,7 +83,7 @@ class Codec:
 
         n = len(ids)
         left, right, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(k, i, ids[i], ids[i + 1]) for i in range(n - 1) if (k := self.rank.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(k, i, ids[i], ids[i + 1]) for i in range(n - 1) if (k := self.rank.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             k, i, a, b = heapq.heappop(heap)
@@ -93,7 +94,7 @@ class Codec:
             if right[j] >= 0:
                 left[right[j]] = i
             for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q >= 0 and (k := self.rank.get((ids[p], ids[q]))) is not None:
+                if p >= 0 and q >= 0 and (k := self.rank.get(ids[p] << 32 | ids[q])) is not None:
                     heapq.heappush(heap, (k, p, ids[p], ids[q]))
         return [x for x, ok in zip(ids, live, strict=True) if ok]
 
@@ -114,98 +115,120 @@ def lines_of_pieces(text: str) -> list[list[str]] | None:
 
 
 def count_words(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """How often each pre-token occurs in all texts: (word binary, n long)."""
+    """How often each pre-token occurs in all texts: (word binary, n long).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-
-        def out(seen: Counter, firsts: Counter) -> pa.RecordBatch:
-            words: Counter = Counter()
-            for lead, counted in ((" ", seen), ("", firsts)):
-                for piece, n in counted.items():
-                    for w in (lead + piece,) if piece.isalpha() else own.words(lead + piece):
-                        words[w] += n
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+    Tasks count pieces of lines; pieces are summed over all tasks before the pattern splits each one, once, into words.
+    A null text has no words, a table without rows gives none.
+    """
 
-        seen: Counter = Counter()
-        firsts: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0):
-                for part in own.any_special.split(value.as_py() or ""):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        later: Counter = Counter()  # pieces that follow a space; first: those that don't; whole: words that are split already
+        first: Counter = Counter()
+        whole: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, seen in enumerate((first, later, whole)):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "piece", "n"])
+                seen.clear()
+
+        for batch in small(batches):
+            for text in batch.column(0).to_pylist():
+                for part in own.any_special.split(text or ""):
                     if (found := lines_of_pieces(part)) is None:
-                        firsts.update(own.words(part))
+                        whole.update(own.words(part))
                     else:
-                        firsts["\n"] += len(found) - 1
+                        whole["\n"] += len(found) - 1
                         for line in found:
-                            firsts[line[0]] += 1
-                            seen.update(line[1:])
-                if len(seen) + len(firsts) > REMEMBERED:
-                    yield out(seen, firsts)
-                    seen, firsts = Counter(), Counter()
-        yield out(seen, firsts)
+                            first[line[0]] += 1
+                            later.update(line[1:])
+                if len(first) + len(later) + len(whole) > COUNTED:
+                    yield from out()
+        yield from out()
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            found: list[bytes] = []
+            counts: list[int] = []
+            for kind, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = " " + piece if kind == 1 else piece
+                split = (text,) if kind == 2 or piece.isalpha() else own.words(text)
+                found += [w.encode() for w in split]
+                counts += [n] * len(split)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.sum("n").alias("n")
+    summed = docs.select(text_col).mapInArrow(pieces, "kind int, piece string, n long").groupBy("kind", "piece").agg(total)
+    return summed.mapInArrow(words, "word binary, n long").where("n > 0").groupBy("word").agg(total)
 
 
 def build_lexicon(docs: DataFrame, path: str, pattern: str, words: int = WORDS, text_col: str = "text") -> bytes:
-    """Compile the most frequent words of all texts. At most words rows of the counts reach the driver."""
-    top = count_words(docs, path, pattern, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column("word").to_pylist()
-    own = codec(path, pattern)
-    return compile_lexicon((w, tuple(own.merge(w))) for w in top if w)
+    """Compile the most frequent words of all texts, words of them at most.
 
+    Frequencies are ranged by steps of a sixteenth of their logarithm to base 2, at most a thousand of them. A range is
+    taken whole, from the top on as long as they fit, so no task sorts the vocabulary, and ties don't matter. Only the
+    words that are taken, with their ids, reach the driver.
+    """
+    step = F.floor(16 * F.log2("n")).cast("int")
+    counts = cut(count_words(docs, path, pattern, text_col).select("word", step.alias("step")))
+    sizes = sorted(((r.step, r.words) for r in counts.groupBy("step").agg(F.count("*").alias("words")).collect()), reverse=True)
+    fits = [k for (k, _), upto in zip(sizes, accumulate(n for _, n in sizes), strict=True) if upto <= words]
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of which a task can hold several forms at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in batches:
+            ids = [own.merge(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    top = counts.where((F.col("step") >= min(fits, default=1 << 20)) & (F.length("word") > 0)).select("word").mapInArrow(merged, "word binary, ids array<int>").toArrow()
+    return compile_lexicon(zip(top.column("word").to_pylist(), map(tuple, top.column("ids").to_pylist()), strict=True))
 
 
-class Pieces(dict):
-    """Ids of pieces that follow lead, as bytes; what isn't remembered is looked up in the lexicon or merged."""
+class Remembered(dict):
+    """What make gives for short texts, as bytes. When REMEMBERED are held, they become the old ones, and older ones go."""
 
-    def __init__(self, lead: str, own: Codec, known: Lexicon) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.lead, self.own, self.known = lead, own, known
-        self.marks = Words(self.word)
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.old = self.copy()
+                self.clear()
+            self[text] = found
+        return found
+
+
+class Ids:
+    """Ids of words and of pieces of lines, as bytes: from the lexicon, else merged."""
+
+    def __init__(self, own: Codec, known: Lexicon) -> None:
+        self.own, self.known = own, known
+        self.words = Remembered(self.word)
+        self.first, self.later = Remembered(lambda piece: self.piece("", piece)), Remembered(lambda piece: self.piece(" ", piece))
 
     def word(self, word: str) -> bytes:
         raw = word.encode()
         return self.known.get(raw) or array("I", self.own.merge(raw)).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha() or not piece:  # letters alone, with or without a space before them, are one word
-            if len(self) >= REMEMBERED:
-                self.clear()
-            found = self[piece] = self.word(self.lead + piece) if self.lead + piece else b""
-            return found
+    def piece(self, lead: str, piece: str) -> bytes:
+        if piece.isalpha():  # letters alone, with or without a space before them, are one word
+            return self.word(lead + piece)
         body = piece.rstrip(MARKS)
         if body.isalpha():
-            return self[body] + self.marks[piece[len(body) :]]
-        return b"".join(map(self.marks.__getitem__, self.own.words(self.lead + piece)))
-
-
-class Words(dict):
-    """Ids of single words, as bytes."""
-
-    def __init__(self, word) -> None:
-        super().__init__()
-        self.word = word
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.word(word)
-        if len(word) < 64:
-            self[word] = found
-        return found
+            return (self.later if lead else self.first)[body] + self.words[piece[len(body) :]]
+        return b"".join(map(self.words.__getitem__, self.own.words(lead + piece)))
 
 
 @lru_cache(maxsize=1)
-def _memory(path: str, pattern: str, lexicon: bytes) -> tuple[Pieces, Pieces]:
-    """What a worker keeps from task to task."""
-    own, known = codec(path, pattern), Lexicon(lexicon)
-    return Pieces("", own, known), Pieces(" ", own, known)
+def _memory(path: str, pattern: str, lexicon: bytes) -> Ids:
+    """What a worker keeps from task to task; REMEMBERED and SHORT bound it."""
+    return Ids(codec(path, pattern), Lexicon(lexicon))
 
 
 def _encoder(lexicon: Broadcast, path: str, pattern: str, names: list[str]):
@@ -213,14 +236,15 @@ def _encoder(lexicon: Broadcast, path: str, pattern: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        first, later = _memory(path, pattern, lexicon.value)
+        memory = _memory(path, pattern, lexicon.value)
+        first, later = memory.first, memory.later
 
         def ids(text: str) -> bytes:
             if (found := lines_of_pieces(text)) is None:
-                return b"".join(map(first.__getitem__, own.words(text)))
+                return b"".join(map(memory.words.__getitem__, own.words(text)))
             return first["\n"].join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in found])
 
-        for batch in _small(batches):
+        for batch in small(batches):
             rows = []
             for value in batch.column(1):
                 text, parts, at = value.as_py() or "", [], 0
@@ -240,7 +264,7 @@ def _decoder(path: str, pattern: str, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path, pattern).bytes_of
-        for batch in _small(batches):
+        for batch in small(batches):
             texts = []
             for row in batch.column(1):
                 texts.append(b"".join(map(of.__getitem__, row.values.to_numpy().tolist())).decode("utf-8", "replace") if row.is_valid else None)

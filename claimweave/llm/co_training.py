@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from operator import eq
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import cut, table
+from claimweave.llm.common import bounded, cut, small, table
 
 LABELLED, ROUNDS, SURE, MISSED = 20_000, 3, 0.97, 0.005
 WORD_SLOTS, SHAPE_SLOTS, META_SLOTS = 1 << 15, 256, 1 << 14
@@ -126,10 +126,11 @@ def _sample(docs: DataFrame, labels: DataFrame, n_labelled: int) -> tuple[DataFr
     """
     known = labels.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     known = cut(known.where(_sampled("id", min(1.0, n_labelled / max(1, known.count())))))
-    picked, others = docs.join(F.broadcast(known), "id"), docs.join(F.broadcast(known), "id", "left_anti")  # known: about n_labelled rows
+    known = bounded(known, 10 * n_labelled)
+    picked, others = docs.join(known, "id"), docs.join(known, "id", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [text_features(t or "") for t in batch.column("text").to_pylist()]
             metas = [meta_features(tuple(m.values())) for m in batch.column("meta").to_pylist()]
             kind = pa.list_(pa.int32())
@@ -177,7 +178,7 @@ def _exchange(others: DataFrame, passed: list[dict[str, View]], sure: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {v: np.zeros((view.slots + 1, 2), dtype=np.int64) for v, view in passed[0].items()}
-        for batch in batches:
+        for batch in small(batches):
             for text, meta in zip(batch.column("text").to_pylist(), batch.column("meta").to_pylist(), strict=True):
                 seen = {"text": np.array(text_features(text or ""), dtype=np.int64), "meta": np.array(meta_features(tuple(meta.values())), dtype=np.int64)}
                 for v, other in (("text", "meta"), ("meta", "text")):
@@ -193,43 +194,54 @@ def _exchange(others: DataFrame, passed: list[dict[str, View]], sure: float) ->
     return others.select("text", "meta").mapInArrow(run, "view string, f int, good long, bad long")
 
 
-def scorer(model: CoTrained | None) -> Callable:
-    """A function for mapInArrow over (row, text, meta): adds p_text, p_meta, score and kept; without a model, nulls and kept."""
+def scored(model: CoTrained | None, texts: pa.Array, metas: list[pa.Array]) -> list[tuple[float | None, float | None, float | None]]:
+    """(p_text, p_meta, score) of each row; without a model, nulls."""
+    if model is None:
+        return [(None, None, None)] * len(texts)
+    return [model.scores(t or "", m) for t, m in zip(texts.to_pylist(), zip(*(m.to_pylist() for m in metas), strict=True), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if model is None:
-                found = [(None, None, None)] * batch.num_rows
-            else:
-                found = [model.scores(t or "", tuple(m.values())) for t, m in zip(batch.column("text").to_pylist(), batch.column("meta").to_pylist(), strict=True)]
-            columns = [pa.array(c, pa.float64()) for c in (zip(*found, strict=True) if found else [[]] * 3)]
-            kept = pa.array([s is None or s >= model.keep_from for _, _, s in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns, kept], ["row", "p_text", "p_meta", "score", "kept"])
 
-    return run
+def keeps(model: CoTrained | None, score: float | None) -> bool:
+    return model is None or score is None or score >= model.keep_from
+
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...], label_col: str, **fit) -> CoTrained | None:
+    seen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in meta_cols)).alias("meta"))
+    return co_train(seen, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), **fit)
 
-def classified(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", **fit) -> DataFrame:
-    """(row struct of the carried columns, p_text, p_meta, score, kept), one row for each row of docs.
 
-    Null or empty texts have no words, null metadata is a value of its own. Labels that are null or of no document say
-    nothing; if a document has several, the least counts. Without held-out labels of both classes nothing is fitted:
-    the scores are null and all rows are kept. Rows that share an id each get their own score.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", **fit) -> DataFrame:
+    """(id_col, p_text, p_meta, score, kept), one row for each row of docs.
+
+    Null or empty texts have no words, null metadata is a value of its own; whole texts are read, however long. Labels
+    that are null or of no document say nothing; if a document has several, the least counts. Without held-out labels
+    of both classes nothing is fitted: the scores are null and all rows are kept. Rows that share an id each get their
+    own score; a score of keep_from itself keeps. An empty table gives no rows. Other columns aren't read.
     """
-    seen = [F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in meta_cols)).alias("meta")]
-    model = co_train(docs.select(F.col(id_col).cast("long").alias("id"), *seen), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), **fit)
-    rows = docs.select(F.struct(*carry).alias("row"), *seen)
-    return rows.mapInArrow(scorer(model), f"row {rows.schema['row'].dataType.simpleString()}, p_text double, p_meta double, score double, kept boolean")
+    model = fitted(docs, labels, id_col, text_col, meta_cols, label_col, **fit)
+    kinds = [pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [(*s, keeps(model, s[2])) for s in scored(model, batch.column("text"), batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], [id_col, "p_text", "p_meta", "score", "kept"])
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(id_col, p_text, p_meta, score, kept) as of classified()."""
-    return classified(docs, labels, [id_col], id_col, **options).select("row.*", "p_text", "p_meta", "score", "kept")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"m{i}") for i, c in enumerate(meta_cols)))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, p_text double, p_meta double, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that are rejected, all columns as they were."""
-    return classified(docs, labels, docs.columns, **options).where("kept").select("row.*")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", **fit) -> DataFrame:
+    """docs without those that classify() rejects, all columns as they were, whatever their names; repeated rows alike."""
+    model = fitted(docs, labels, id_col, text_col, meta_cols, label_col, **fit)
+    text, metas = docs.columns.index(text_col), [docs.columns.index(c) for c in meta_cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            fields = batch.column("row").flatten()
+            yield batch.filter(pa.array([keeps(model, s[2]) for s in scored(model, fields[text], [fields[m] for m in metas])], pa.bool_()))
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

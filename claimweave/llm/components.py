@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     pairs = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if not small:
         pairs = pairs.union(edges.select("lo", "hi"))
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("m")))
+    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("w"), F.least("u", "least").alias("m"))
     found = pairs.join(least, pairs["u"] == least["w"])
     if small:
         out = found.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(least.select("w", "m"))
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     seen = state(now)
     while seen[0]:
-        now = cut(_stars(cut(_stars(now, small=False)), small=True))
+        now = cut(_stars(_stars(now, small=False), small=True))
         last, seen = seen, state(now)
         if seen == last:
             break

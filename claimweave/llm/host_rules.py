@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import bounded, cut, table
+from claimweave.llm.common import bounded, cut, small, table
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, HOST_LIMIT = 50, 50, 0.6
@@ -43,8 +43,8 @@ def base_figures(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     """keys and the figures of each whole text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [figures(t or "") for t in batch.column(len(keys)).to_pylist()]
+        for batch in small(batches):
+            got = [figures(t.as_py() or "") for t in batch.column(len(keys))]
             columns = zip(*got, strict=True) if got else [[]] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, pa.int64()) for c in columns)], [*keys, *FIGURES])
 
@@ -98,15 +98,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
-    """docs without those that judge() rejects, all columns as they were."""
-    rejected = _rejected(_judged(docs, id_col, host_col, text_col), limit).withColumnRenamed("host", "rejected_host")
+    """docs without those that judge() rejects, all columns as they were, whatever their names; repeated rows alike."""
+    rejected = _rejected(_judged(docs, id_col, host_col, text_col), limit)
+
+    rows = docs.select(F.struct("*").alias("row"))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [figures(v.as_py() or "") for v in batch.column(text_col)]
+        for batch in small(batches):
+            found = (figures(v.as_py() or "") for v in batch.column("row").flatten()[at])
             yield batch.filter(pa.array([not fails(f[0], f[4]) for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).join(rejected, F.col(host_col) == F.col("rejected_host"), "left_anti")
+    good = rows.mapInArrow(run, rows.schema)
+    return good.join(rejected, good["row"].getField(host_col) == rejected["host"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

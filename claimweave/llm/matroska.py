@@ -25,7 +25,7 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 #: Elements of the top level, at which a cluster of unknown size ends.
@@ -68,6 +68,8 @@ def laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     """(offset, size) of a block's frames; kind: 0 none, 1 Xiph, 2 fixed, 3 EBML."""
     if kind == 0:
         return [(at, end - at)]
+    if at >= end:
+        raise Malformed("a lace has no count of frames")
     count, at, sizes = data[at] + 1, at + 1, []
     if kind == 2:
         if (end - at) % count:
@@ -105,14 +107,15 @@ class Parsed:
     error: str | None = None
 
 
-def _block(data: bytes, at: int, end: int, base: int, cluster: int, out: Parsed, simple: bool, frame_ns: dict[int, int]) -> None:
+def _block(data: bytes, at: int, end: int, base: int, cluster: int, out: Parsed, key_frame: bool | None, frame_ns: dict[int, int]) -> None:
+    """List a block's frames. key_frame: whether they are, or None where the block's flags say it."""
     track, at, _ = read_vint(data, at, end)
     if at + 3 > end:
         raise Malformed("a block is cut off")
     relative, flags = struct.unpack_from(">hB", data, at)
     time = (base + relative) * out.scale
     for k, (offset, size) in enumerate(laces(data, at + 3, end, flags >> 1 & 3)):
-        out.packets.append((track, time + k * frame_ns.get(track, 0), offset, size, cluster, bool(flags & 0x80) if simple else True))
+        out.packets.append((track, time + k * frame_ns.get(track, 0), offset, size, cluster, bool(flags & 0x80) if key_frame is None else key_frame))
 
 
 def parse(data: bytes) -> Parsed:
@@ -127,11 +130,12 @@ def parse(data: bytes) -> Parsed:
             if ident == CLUSTER_TIMESTAMP:
                 base = number(a, b)
             elif ident == SIMPLE_BLOCK:
-                _block(data, a, b, base, index, out, True, frame_ns)
+                _block(data, a, b, base, index, out, None, frame_ns)
             elif ident == BLOCK_GROUP:
-                for inner, c, d, _ in elements(data, a, b):
-                    if inner == BLOCK:
-                        _block(data, c, d, base, index, out, False, frame_ns)
+                inner = list(elements(data, a, b))
+                for kind, c, d, _ in inner:
+                    if kind == BLOCK:  # a frame that refers to another one is no key frame
+                        _block(data, c, d, base, index, out, all(x[0] != REFERENCE_BLOCK for x in inner), frame_ns)
         return at
 
     def segment(at: int, end: int) -> None:
@@ -260,7 +264,11 @@ def packets(media: DataFrame, keys: list[str], media_col: str = "media") -> Data
 
 
 def sound_column(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, n_bytes, media): each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as samples; null texts as empty ones."""
+    """(keys, n_bytes, media): each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as samples.
+
+    Null texts count as empty; equal texts give equal files; very long ones take more clusters; null keys and repeated
+    rows stay; an empty table gives no rows; keys may have any name but n_bytes and media. Other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -274,19 +282,28 @@ def sound_column(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
 
 
 def sound_features(samples: bytes, n_packets: int) -> str:
+    if not samples:
+        return f"packets={n_packets};ms=0;peak=0;energy=0;crossings=0"
     centred = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
     return f"packets={n_packets};ms={len(samples) * 1000 // RATE};peak={int(np.abs(centred).max())};energy={int((centred * centred).sum()) // len(samples)};crossings={crossings}"
 
 
 def payload_digests(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Digests and features of the samples that the packets' byte ranges hold."""
+    """Digests and features of the samples that the packets' byte ranges hold: one row for each row of parsed.
+
+    A null file has null figures; one without packets, such as a damaged one, those of no samples. Null keys and
+    repeated rows stay; an empty table gives no rows; columns of parsed beyond keys, media and packets aren't read.
+    """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for media, table_ in zip(batch.column("media"), batch.column("ranges"), strict=True):
+                if not media.is_valid:
+                    rows.append((None,) * 6)
+                    continue
                 stored, ranges = media.as_py(), table_.values
                 read = b"".join(stored[a : a + n] for a, n in zip(ranges.field("offset").to_pylist(), ranges.field("size").to_pylist(), strict=True))
                 rows.append((len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), sound_features(read, len(ranges))))

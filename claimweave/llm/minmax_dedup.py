@@ -7,10 +7,9 @@ With 56 permutations and 4 rows there are 28 bands: a pair at J = 0.8 shares non
 
 Links are confirmed on full sets. Texts with equal sets are one class from the start. Classes that share a band are
 candidates, and the bands' hot buckets aren't expanded into pairs: members are compared with one member of their
-bucket, then with another, and links merge them into components; what then still lies in different components of one
-bucket is compared exactly, the members outside a bucket's largest component with all others of similar set size.
-That comparison is part of the join's condition, so what leaves the join are links, not candidates. Every candidate
-pair is either compared or already in one component.
+bucket, and links give them the labels of components. Members of buckets that then still hold several labels are
+compared by their rarest shingles (rare_pairs), which loses no link. So every candidate pair is either compared, or
+known to be no link, or already in one component.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import bounded, cut, table
+from claimweave.llm.common import bounded, cut, table, tidy
 from claimweave.llm.components import components
 
 PERMUTATIONS, ROWS = 56, 4
@@ -84,8 +83,34 @@ def _bands(found: np.ndarray, times: np.ndarray, plus: np.ndarray, rows: int) ->
     return _mix((bands * _MIX[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(len(bands), dtype=np.uint64) * _MIX[5]).view(np.int64)
 
 
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(8)
+    times = random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return times, random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+
+
+def _bitmap(found: np.ndarray) -> bytes:
+    """A bit for each shingle, in a map of eight to sixteen bits a shingle, but 64 at least."""
+    size = 1 << max(6, int(8 * len(found) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[found & np.uint64(size - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _may_link(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """False only if the sets can't be similar enough: a bit that one map lacks is a shingle that its set lacks."""
+    size = min(len(a), len(b))
+    x, y = (np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0) for m in (a, b))
+    both = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * both >= percent * (n_a + n_b - both)
+
+
 def prints(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """(id, text) to (id, n_shingles, class, bands): class is a 128-bit digest of the shingle set; null without one."""
+    """(id, text) to (id, mark, n, class, bits, bands), one row for each row of docs.
+
+    class is a 128-bit digest of the shingle set, bits its bitmap; both are null, and there are no bands, without
+    shingles. mark is a hash of the text: with the id it finds the text again.
+    """
     if permutations % rows or rows > len(_MIX):
         raise ValueError("permutations must be a multiple of rows, and rows at most 8")
 
@@ -93,134 +118,187 @@ def prints(docs: DataFrame, shingle: int, permutations: int = PERMUTATIONS, rows
         own = Shingler(shingle)
         times, plus = _permutations(permutations)
         for batch in batches:
-            n, classes, bands = [], [], []
-            for value in batch.column(1):
+            n, classes, bits, bands = [], [], [], []
+            for value in batch.column("text"):
                 found = own.shingles(value.as_py() or "")
                 n.append(len(found))
                 classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                bits.append(_bitmap(found) if len(found) else None)
                 bands.append(_bands(found, times, plus, rows) if len(found) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)], dtype=np.int32)), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), lists], ["id", "n_shingles", "class", "bands"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, class binary, bands array<long>")
-
-
-#: Sets of more shingles than this are compared by a sample of their hashes before they are compared in full.
-WHOLE = 1_024
-
-
-def sketches(docs: DataFrame, shingle: int, permutations: int, rows: int) -> DataFrame:
-    """(id, text) to (id, level, hashes, bands): the set's hashes that are multiples of 2^level, cut to 32 bits.
-
-    level is the least at which about WHOLE hashes or fewer are left; 0 keeps all. Hashes that fall together through
-    the cut can only make two sets look more alike.
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bits, pa.binary()), lists], ["id", "mark", "n", "class", "bits", "bands"])
+
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, class binary, bits binary, bands array<long>")
+
+
+class Texts:
+    """Texts by the number of their class: each class (node, id, mark, n, bits) has one row of docs that stands for it."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> None:
+        self.docs, self.classes, self.shingle, self.percent = docs, classes, shingle, percent
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node) to (node, text)."""
+        places = cut(self.classes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("r_id"), F.col("mark").alias("r_mark")))
+        places = bounded(places, 1_000_000)
+        found = self.docs.join(places, self.docs["id"].eqNullSafe(places["r_id"]) & (self.docs["mark"] == places["r_mark"]))
+        return found.select("node", "text").dropDuplicates(["node"])
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes without those that the bitmaps rule out: most that are no links, and no link."""
+        percent = self.percent
+        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))
+                keep = [_may_link(*row, percent) for row in zip(*columns, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of written pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union."""
+        shingle, percent = self.shingle, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, last, kept = Shingler(shingle), None, None
+            for batch in batches:
+                keep = []
+                for i, a in enumerate(batch.column("a").to_pylist()):
+                    if a != last:  # rows of one bucket member come together
+                        last, kept = a, own.shingles(batch.column("text_a")[i].as_py())
+                    other = own.shingles(batch.column("text_b")[i].as_py())
+                    both = len(np.intersect1d(kept, other, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(kept) + len(other) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        texts = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node) to (node, hashes): the whole set."""
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Shingler(shingle)
+            for batch in batches:
+                found = [own.shingles(v.as_py()).view(np.int64) for v in batch.column("text")]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "hashes"])
+
+        return self.of(wanted).mapInArrow(run, "node long, hashes array<long>")
+
+
+def rare_pairs(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be links, by the rarest shingles of each set.
+
+    sets: (node, hashes); sizes: (node, n, component). Shingles are ordered by their frequency. Two sets are similar
+    enough only if they share one of the first n - percent * n / 100 + 1 shingles of each, and if from the first that
+    they share on both have as many as they need. What all members of a bucket share, such as a common passage, comes
+    last in the order, so no pairs come from it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, draw = Shingler(shingle), _permutations(permutations)
-        for batch in batches:
-            level, hashes, bands = [], [], []
-            for value in batch.column(1):
-                found = own.shingles(value.as_py() or "")
-                level.append(max(0, int(np.ceil(np.log2(max(1, len(found)) / WHOLE)))))
-                hashes.append(found[(found & np.uint64((1 << level[-1]) - 1)) == 0].astype(np.uint32).view(np.int32))
-                bands.append(_bands(found, *draw, rows) if len(found) else np.zeros(0, np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))) for x, kind in ((hashes, np.int32), (bands, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.int32()), *lists], ["id", "level", "hashes", "bands"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, level int, hashes array<int>, bands array<long>")
-
-
-def _likely(x: str, y: str, percent: int) -> Column:
-    """Two sketched sets can be similar enough: by all their hashes, or, sampled, by 0.1 less, six standard deviations."""
-    level = F.greatest(f"{x}.level", f"{y}.level")
-    at_level = lambda s: F.when(F.col(f"{s}.level") < level, F.filter(f"{s}.hashes", lambda h: h.bitwiseAND((F.lit(1) * F.pow(F.lit(2), level)).cast("int") - 1) == 0)).otherwise(F.col(f"{s}.hashes"))
-    a, b = at_level(x), at_level(y)
-    both = F.size(F.array_intersect(a, b))
-    return 1000 * both >= F.when(level == 0, 10 * percent - 1).otherwise(10 * percent - 100) * (F.size(a) + F.size(b) - both)
-
-
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(8)
-    times = random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return times, random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    ids = bounded(cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")), 1_000_000)
-    texts = docs.join(ids, "id", "left_semi").select("id", "text").dropDuplicates(["id"])
-    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, kept = Shingler(shingle), None, None
-        for batch in batches:
-            keep = []
-            for i, a in enumerate(batch.column("a").to_pylist()):
-                if a != last:  # rows of one bucket member come together
-                    last, kept = a, own.shingles(batch.column("text_a")[i].as_py())
-                other = own.shingles(batch.column("text_b")[i].as_py())
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(kept) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    flat = sets.select("node", F.explode("hashes").alias("h"))
+    often = flat.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    shared = flat.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(sizes, "node")
+    alone = F.col("n") - F.size("shared")  # shingles of this set alone come first
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    prefix = shared.where(first > 0).select("node", "n", "component", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
+    side = lambda x: prefix.select(F.col("s.h").alias("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), (F.col("n") - F.col("alone") - F.col("at")).alias(f"left_{x}"))
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    return side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & enough).select("a", "b").distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes, the least node within a few links: what it tells apart may still be one component."""
+    sides = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
+    now = cut(sides.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")))
+    for _ in range(2):
+        of = now.select(F.col("node").alias("of"), F.col("component").alias("to"))
+        now = now.join(of, now["component"] == of["of"]).select("node", F.col("to").alias("component"))
+    return now
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """docs (id, mark, text) to its prints, and (class, id, component) of all classes."""
+    signed = cut(prints(docs, shingle, permutations, rows))
+    # Texts with equal sets are one class from the start; the row with the least id stands for it.
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "n", "bits", "bands")
+    classes = signed.where("class is not null").groupBy("class").agg(F.min(row).alias("r"))
+    classes = cut(classes.select("class", F.monotonically_increasing_id().alias("node"), "r.id", "r.mark", "r.n", "r.bits", "r.bands"))
+    owned = classes.select("node", "n", F.explode("bands").alias("key"))
+    shared = owned.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("first")).where("many > 1").select("key", "first")
+    members = cut(owned.join(shared, "key"))
+    within = cut(classes.select("node", "id", "mark", "n", "bits").join(members.select("node"), "node", "left_semi"))
+    texts = Texts(docs, within, shingle, percent)
+
+    firsts = members.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    links = texts.links(texts.likely(firsts))
+    tidy(docs.sparkSession)
+    labels = _labels(links).withColumnRenamed("node", "of")
+    here = members.join(labels, members["node"] == labels["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    sizes = cut(here.join(mixed, "key", "left_semi").select("node", "n", "component").distinct())
+    if not sizes.isEmpty():
+        # Each member with the least one that it may be linked with; then what that leaves apart.
+        pairs = texts.likely(rare_pairs(cut(texts.sets(sizes.select("node"))), sizes, percent))
+        some = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = links.union(texts.links(some))
+        tidy(docs.sparkSession)
+        labels = cut(_labels(links))
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        rest = pairs.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = ~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))
+        links = links.union(texts.links(cut(rest.where(apart).select("a", "b"))))
+    tidy(docs.sparkSession)
+    found = components(links).withColumnRenamed("node", "of")
+    grouped = classes.select("class", "node", "id").join(found, classes["node"] == found["of"], "left")
+    return signed, cut(grouped.select("class", "id", F.coalesce("component", "node").alias("component")))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each row of docs; ids are integers.
 
     component_id is the least id that a document reaches over links, its own included; kept: it is its own. A null
-    or empty text, or one without words, has no shingles and is linked with nothing. Rows without an id are linked
-    with nothing that needs one: their component_id is null, and they are kept. Rows that share an id share their
-    links if their texts agree; repeated rows each keep their row. Other columns are not read.
+    or empty text, or one without words, has no shingles and is linked with nothing. Rows with a null id are linked
+    like others, and kept if they reach no id. Rows that share an id are documents of their own: links are between
+    texts, so such rows may lie in different components. Repeated rows each keep their row. Very long texts are
+    compared whole. Ties can't arise: components are sets. An empty table gives no rows. Other columns aren't read.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(prints(named, shingle, permutations, rows))
-    # One representative for each class of equal sets: its least id.
-    classes = signed.where("id is not null and class is not null").groupBy("class").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("r")).select("class", "r.*")
-    owned = classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    shared = owned.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("first")).where("many > 1").select("key", "first")
-    members = cut(owned.join(shared, "key"))
+    signed, grouped = _grouped(_named(docs, id_col, text_col), shingle, percent, permutations, rows)
+    least = grouped.groupBy("component").agg(F.min("id").alias("least"))
+    of_class = cut(grouped.join(least, "component").select(F.col("class").alias("of"), "least"))
+    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least"))
+    found = signed.join(of_class, signed["class"] == of_class["of"], "left")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | component.eqNullSafe(F.col("id"))).alias("kept"))
+
 
-    nodes = cut(members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct())
-
-    def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-        of = lambda side: nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        new = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        return cut(nodes.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-
-    def placed(members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        here = cut(members.join(nodes, members["rep"] == nodes["node"]).select("key", "band", "rep", "n", "component"))
-        open_ = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return cut(here.join(open_, "key", "left_semi"))
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    nodes = merged(nodes, confirmed(members.where("rep <> first").select(*pair("rep", "first")).distinct(), named, shingle, percent))
-    rest = placed(members, nodes)
-    pivots = cut(rest.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep")).alias("p")))
-    second = rest.join(pivots, "key").where((F.col("component") != F.col("p.component")) & close(F.col("n"), F.col("p.n")))
-    nodes = merged(nodes, confirmed(second.select(*pair(F.col("rep"), F.col("p.rep"))).distinct(), named, shingle, percent))
-    rest = placed(rest.drop("component"), nodes)
-    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"))
-    # What is left is compared within the join: a pair in the first bucket that it shares, by sketches of both sets.
-    open_ids = bounded(cut(rest.select(F.col("rep").alias("id")).distinct()), 1_000_000)
-    sketched = sketches(named.join(open_ids, "id", "left_semi").dropDuplicates(["id"]), shingle, permutations, rows)
-    full = rest.join(sketched.select(F.col("id").alias("rep"), F.struct("level", "hashes", "bands").alias("s")), "rep")
-    outside = full.join(cut(sizes), "key").where(F.col("component") != F.col("most.component")).select(F.col("key").alias("o_key"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("most.component").alias("main"), F.col("s").alias("sx"))
-    before = lambda s: F.slice(F.col(f"{s}.bands"), F.lit(1), F.col("band"))
-    # Two members outside the largest component meet once, one outside and one inside it meet once.
-    once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("x"))
-    third = full.join(outside, (F.col("key") == F.col("o_key")) & (F.col("component") != F.col("cx")) & once & close(F.col("n"), F.col("nx")) & ~F.arrays_overlap(before("s"), before("sx")) & _likely("s", "sx", percent))
-    nodes = merged(nodes, confirmed(third.select(*pair("rep", "x")).distinct(), named, shingle, percent))
-
-    of_class = cut(classes.select("class", "id").join(nodes, F.col("id") == F.col("node"), "left").select("class", F.coalesce("component", "id").alias("of_class")))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
-    return signed.join(of_class, "class", "left").select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each near-duplicate group, all columns as they were.
+
+    The row with the least id stays, one without an id only if no other has one; of rows that share it, the one with
+    the least hash of its text; of rows that share that too, one. Texts without words are in no group and all stay.
+    """
+    signed, grouped = _grouped(_named(docs, id_col, text_col), shingle, percent, PERMUTATIONS, ROWS)
+    rows = signed.where("class is not null").select("class", "id", "mark").join(grouped.select("class", "component"), "class")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("k"), F.count("*").alias("rows"))
+    best = cut(best.select("component", F.col("k.id").alias("k_id"), F.col("k.mark").alias("k_mark"), "rows"))
+    # Most groups are one row, which stays: only rows of larger groups are looked up.
+    large = best.where("rows > 1")
+    grown = rows.join(large, "component")
+    stays = grown["id"].eqNullSafe(F.col("k_id")) & (grown["mark"] == F.col("k_mark"))
+    judged = cut(grown.groupBy(F.col("id").alias("j_id"), F.col("mark").alias("j_mark")).agg(F.bool_or(stays).alias("j_stays"), F.count("*").alias("j_rows")))
+    once, goes = judged.where("j_stays and j_rows > 1"), judged.where("not j_stays or j_rows > 1")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"))
+    match = lambda side: marked["id"].eqNullSafe(side["j_id"]) & (marked["mark"] == side["j_mark"])
+    single = marked.join(bounded(goes, 1_000_000), match(goes), "left_anti").select("row")
+    repeated = marked.join(bounded(once, 1_000_000), match(once), "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
-"""WARC records in ZIP packages: write them, and read records by byte ranges without extracting a member.
+"""WARC records in ZIP packages: write them to files, and read records by byte ranges without extracting a member.
 
-A package holds stored (uncompressed) members: a WARC file whose records are gzip members of their own, and an index
-that lists each record's place in it. The reader takes nothing but a function from byte ranges to bytes: it finds the
-end of the central directory, its ZIP64 form where there is one, the members, and then fetches records one at a time.
+A package is a file on shared storage that holds stored (uncompressed) members: WARC files under archive/, whose records
+are gzip members of their own, and CDXJ indexes under indexes/ that say where each record is. The reader seeks: it
+fetches the end of the central directory, its ZIP64 form where there is one, the directory, the indexes, and then
+records one at a time. WARC files that no index names are read from their start on.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,12 +22,13 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import cut, table
+from claimweave.llm.common import cut, shared_folder, table
 
-WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
 #: Payloads from this length on are stored once; a package is closed once it holds so many bytes or records.
 REVISIT_FROM, PACKAGE_BYTES, PACKAGE_RECORDS = 1_000, 4_000_000, 4_000
 Fetch = Callable[[int, int], bytes]
@@ -105,10 +109,26 @@ def stored_at(fetch: Fetch, member: Member) -> int:
     return member.header + 30 + n_name + n_extra
 
 
+def member_bytes(fetch: Fetch, member: Member) -> bytes:
+    """A whole member, such as an index; a deflated one is inflated."""
+    if not member.method:
+        return fetch(stored_at(fetch, member), member.size)
+    if member.method != zipfile.ZIP_DEFLATED:
+        raise BadArchive(f"{member.name} is compressed in a way that isn't known")
+    raw = fetch(stored_at(fetch, Member(member.name, 0, member.header, member.packed, member.packed)), member.packed)
+    return zlib.decompress(raw, -15)
+
+
 def _line(value: str | None) -> str:
     return quote(value or "", safe="%/:=&?~#+!$,;'@()*[]")
 
 
+def surt(url: str | None) -> str:
+    """A URL's sort key: its host's labels from the last to the first, then the rest."""
+    host, slash, rest = _line(url).partition("://")[2].partition("/")
+    return f"{','.join(reversed(host.lower().split('.')))}){slash}{rest}" if host else "-"
+
+
 def record(kind: str, ident: str, uri: str | None, digest: str, length: int, payload: bytes, refers_to: str | None) -> bytes:
     """A WARC record; a revisit holds the HTTP head alone, whose Content-Length is the full payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + payload
@@ -117,39 +137,129 @@ def record(kind: str, ident: str, uri: str | None, digest: str, length: int, pay
     return head.encode() + http + b"\r\n\r\n"
 
 
+def _head(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields by their names in lower case, and what follows the blank line."""
+    head, _, rest = block.partition(b"\r\n\r\n")
+    fields = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {k.strip().lower(): v.strip() for k, _, v in fields}, rest
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """The WARC head, the HTTP head and the payload."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
+    """The WARC head, the HTTP head and the payload; without an HTTP block all of the block is payload."""
+    fields, rest = _head(raw)
+    if "warc-type" not in fields or not fields.get("content-length", "").isdigit():
+        raise BadArchive("a record has no type or no length")
+    block = rest[: int(fields["content-length"])]
+    if not fields.get("content-type", "").startswith("application/http"):
+        return fields, {}, block
+    return fields, *_head(block)
+
 
+def hex_digest(written: str) -> str:
+    """sha1:... as archives write it, in base 32 or in hexadecimal digits, as bare lower-case hexadecimal digits."""
+    value = written.rpartition(":")[2]
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
 
-def package(records: list[tuple[str, bytes]]) -> bytes:
-    """A ZIP of (id, record)s; equal records give equal bytes."""
+
+def package(records: list[tuple[str | None, bytes]], zip64: bool = False, name: str = "data.warc.gz") -> bytes:
+    """A ZIP of (url, record)s with their index; equal records give equal bytes. zip64 writes the directory in that form."""
     body, lines = io.BytesIO(), []
-    for ident, raw in records:
+    for url, raw in records:
         offset = body.tell()
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         body.write(packer.compress(raw) + packer.flush())
-        lines.append(json.dumps({"id": ident, "offset": offset, "length": body.tell() - offset}))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, data in ((WARC, body.getvalue()), (INDEX, "\n".join(lines).encode())):
-            z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), data)
+        entry = {"url": _line(url), "length": str(body.tell() - offset), "offset": str(offset), "filename": name}
+        lines.append(f"{surt(url)} 20240101000000 {json.dumps(entry)}\n")
+    return stored_zip([(ARCHIVES + name, body.getvalue()), (INDEXES + "index.cdxj", "".join(sorted(lines)).encode())], zip64)
+
+
+def stored_zip(members: list[tuple[str, bytes]], zip64: bool) -> bytes:
+    """A ZIP file of stored members; with zip64 all sizes and places stand in ZIP64 fields and records."""
+    out, listing = io.BytesIO(), b""
+    for name, data in members:
+        at, crc, size, full = out.tell(), zlib.crc32(data), len(data), name.encode()
+        shown = 0xFFFFFFFF if zip64 else size
+        both = struct.pack("<2H2Q", 1, 16, size, size) if zip64 else b""
+        three = struct.pack("<2H3Q", 1, 24, size, size, at) if zip64 else b""
+        common = struct.pack("<2H", 0x800, 0) + struct.pack("<2HI2I", 0, 0x5821, crc, shown, shown)  # names in UTF-8, stored, 1 January 2024
+        out.write(b"PK\x03\x04" + struct.pack("<H", 45) + common + struct.pack("<2H", len(full), len(both)) + full + both + data)
+        listing += b"PK\x01\x02" + struct.pack("<2H", 45, 45) + common + struct.pack("<5H2I", len(full), len(three), 0, 0, 0, 0, 0xFFFFFFFF if zip64 else at) + full + three
+    start = out.tell()
+    out.write(listing)
+    if zip64:
+        end = out.tell()
+        out.write(b"PK\x06\x06" + struct.pack("<Q2H2I4Q", 44, 45, 45, 0, 0, len(members), len(members), len(listing), start))
+        out.write(b"PK\x06\x07" + struct.pack("<IQI", 0, end, 1))
+    n, length, place = (0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF) if zip64 else (len(members), len(listing), start)
+    out.write(b"PK\x05\x06" + struct.pack("<4H2IH", 0, 0, n, n, length, place, 0))
     return out.getvalue()
 
 
-def records(fetch: Fetch, size: int) -> Iterator[tuple[str, bytes]]:
-    """(id, record) of a package, each by one range of the WARC member."""
+def _indexed(fetch: Fetch, members: dict[str, Member]) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of records by the WARC file that holds them, from all CDXJ indexes."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for name, member in members.items():
+        if not name.startswith(INDEXES) or not name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+            continue
+        raw = member_bytes(fetch, member)
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+            if "{" in line:
+                entry = json.loads(line[line.index("{") :])
+                found.setdefault(entry["filename"].removeprefix(ARCHIVES), set()).add((int(entry["offset"]), int(entry["length"])))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _members_of_gzip(fetch: Fetch, at: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member of a range, fetched step by step."""
+    begin = read = 0
+    held, out, parser = b"", [], zlib.decompressobj(31)
+    while held or read < size:
+        if not held:
+            held = fetch(at + read, min(step, size - read))
+            read += len(held)
+        out.append(parser.decompress(held))
+        held = parser.unused_data if parser.eof else b""
+        if parser.eof:
+            yield begin, read - len(held) - begin, b"".join(out)
+            begin, out, parser = read - len(held), [], zlib.decompressobj(31)
+    if out:
+        raise BadArchive("the last record is cut off")
+
+
+def records(fetch: Fetch, size: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """(WARC file, offset, length, record) of a package, each record of an indexed file by one range of it."""
     members = directory(fetch, size)
-    if WARC not in members or INDEX not in members:
-        raise BadArchive("the package has no WARC file or no index")
-    index_at, warc_at = stored_at(fetch, members[INDEX]), stored_at(fetch, members[WARC])
-    for line in fetch(index_at, members[INDEX].size).splitlines():
-        entry = json.loads(line)
-        yield entry["id"], gzip.decompress(fetch(warc_at + entry["offset"], entry["length"]))
+    index = _indexed(fetch, members)
+    for name, member in members.items():
+        if not name.startswith(ARCHIVES) or not name.removesuffix(".gz").endswith(".warc"):
+            continue
+        at, short = stored_at(fetch, member), name.removeprefix(ARCHIVES)
+        if short in index:
+            for offset, length in index[short]:
+                if offset + length > member.size:
+                    raise BadArchive(f"the index names bytes beyond the end of {name}")
+                raw = fetch(at + offset, length)
+                yield short, offset, length, gzip.decompress(raw) if name.endswith(".gz") else raw
+        elif name.endswith(".gz"):
+            for offset, length, raw in _members_of_gzip(fetch, at, member.size):
+                yield short, offset, length, raw
+        else:
+            yield from ((short, *found) for found in _plain_records(fetch, at, member.size))
+
+
+def _plain_records(fetch: Fetch, at: int, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of an uncompressed WARC file: each head says how long its record is."""
+    begin = 0
+    while begin < size:
+        step = 4096
+        while b"\r\n\r\n" not in (head := fetch(at + begin, min(step, size - begin))):
+            if step >= size - begin:
+                raise BadArchive("the last record is cut off")
+            step *= 2
+        fields, _ = _head(head)
+        length = head.index(b"\r\n\r\n") + 4 + int(fields.get("content-length", 0)) + 4
+        yield begin, length, fetch(at + begin, length)
+        begin += length
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -163,57 +273,89 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
     return full.join(again, "digest", "left").withColumn("refers_to", revisit).drop("keeper")
 
 
-def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(package binary): all rows as WARC records. Ids are integers; a null id is written as such, a null payload is empty."""
+def _open(uri: str, write: bool = False):
+    files, path = fs.FileSystem.from_uri(uri)
+    return files.open_output_stream(path) if write else files.open_input_file(path)
+
+
+def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Write all rows as WARC records of packages under folder, a URI that all machines share; (path), a row for each package.
+
+    Ids are integers; a null id is written as such, a null payload is empty, a null URL has an empty target; repeated
+    rows each have a record, and very long payloads one each like others. An empty table gives no packages. Other
+    columns aren't read. A task that runs again writes other files, and the rows name those of the one that counts.
+    Each second package of a task has a ZIP64 directory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], ["package"])
+        own, held, size, n = uuid.uuid4().hex, [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            path = f"{folder}/{own}-{n}.wacz"
+            with _open(path, write=True) as f:
+                f.write(package(held, zip64=n % 2 == 1))
+            return pa.RecordBatch.from_arrays([pa.array([path], pa.string())], ["path"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 ident, url, payload, length, digest, refers_to = (batch.column(k)[i].as_py() for k in range(6))
                 name = f"urn:page:{'' if ident is None else ident}"
                 kind = "response" if refers_to is None else "revisit"
                 body = payload.encode() if refers_to is None else b""
-                held.append((name, record(kind, name, url, digest, length, body, None if refers_to is None else f"urn:page:{refers_to}")))
+                held.append((url, record(kind, name, url, digest, length, body, None if refers_to is None else f"urn:page:{refers_to}")))
                 size += len(held[-1][1])
                 if size >= PACKAGE_BYTES or len(held) >= PACKAGE_RECORDS:
                     yield out()
-                    held, size = [], 0
+                    held, size, n = [], 0, n + 1
         if held:
             yield out()
 
+    files, path = fs.FileSystem.from_uri(folder)
+    files.create_dir(path)
     rows = with_revisits(pages, id_col, url_col, payload_col).select("id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "payload_bytes", "digest", "refers_to")
-    return rows.mapInArrow(run, "package binary")
+    return cut(rows.mapInArrow(run, "path string"))
+
 
+RECORD = {"path": "string", "member": "string", "offset": "long", "length": "long", "record_id": "string", "uri": "string", "date": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "string"}
 
-def read_packages(packages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id_col, uri, payload_bytes, payload_digest, record_type, refers_to), one row for each record.
 
-    A response's length and digest are those of the payload that was read; a mismatch with its head is an error.
+def read_packages(packages: DataFrame, path_col: str = "path") -> DataFrame:
+    """Files by their URIs to RECORD, a row for each record of their WARC files, from ranges that are read by seeking.
+
+    Digests are lower-case hexadecimal digits. A response's length and digest are those of the payload that was read,
+    and it is an error if its head says another digest; a revisit's are those that its heads say, or null. Packages
+    without records give no rows, null paths neither; a path that is listed twice is read twice; damage is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda urn: int(x) if (x := urn.strip("<>").removeprefix("urn:page:")) else None
-        for batch in batches:
-            for value in batch.column("package"):
-                raw = memoryview(value.as_buffer())
+        kinds = [pa.string() if kind == "string" else pa.int64() for kind in RECORD.values()]
+        for path in (x for batch in batches for x in batch.column(0).to_pylist() if x is not None):
+            with _open(path) as f:
                 rows = []
-                for ident, found in records(lambda at, n, raw=raw: bytes(raw[at : at + n]), len(raw)):
+                for member, offset, length, found in records(lambda at, n, f=f: f.read_at(n, at), f.size()):
                     head, http, payload = parse_record(found)
-                    length, digest, kind = int(http["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-                        raise BadArchive(f"{ident} doesn't hold what its head says")
-                    rows.append((number(ident), head["WARC-Target-URI"], length, digest, kind, number(head["WARC-Refers-To"]) if kind == "revisit" else None))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [id_col, "uri", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    kind, said = head["warc-type"], hex_digest(head.get("warc-payload-digest", "")) or None
+                    full = http.get("content-length", "")
+                    size, digest = (int(full) if full.isdigit() else None, said) if kind == "revisit" else (len(payload), hashlib.sha1(payload).hexdigest())
+                    if said and said != digest:
+                        raise BadArchive(f"{head.get('warc-record-id')} in {path} doesn't hold what its head says")
+                    strip = lambda k, head=head: head[k].strip("<>") if k in head else None
+                    rows.append((path, member, offset, length, strip("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), kind, size, digest, strip("warc-refers-to")))
+            for at in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], list(RECORD))
 
-    return packages.mapInArrow(run, f"`{id_col}` long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return packages.select(path_col).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in RECORD.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = cut(write_packages(table(spark, sf_dir, "pages")))
-    return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The pages' records as they are read back from packages on shared storage, which are removed then."""
+    folder = shared_folder(spark, "packages")
+    found = read_packages(write_packages(table(spark, sf_dir, "pages"), folder))
+    page = lambda c: F.nullif(F.replace(c, F.lit("urn:page:")), F.lit("")).cast("long")
+    rows = cut(found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
+    files, path = fs.FileSystem.from_uri(folder)
+    files.delete_dir(path)
+    return rows
 
 
 ORACLE = """

@@ -1,9 +1,13 @@
 """Matroska files, ZIP packages, URL verdicts and near-duplicates on small tables, against plain Python."""
 
+import base64
+import gzip
 import hashlib
 import io
+import json
 import math
 import random
+import struct
 import zipfile
 import zlib
 from collections import defaultdict
@@ -46,6 +50,17 @@ def test_unknown_sizes_groups_and_other_tracks():
     assert found.error is None and [(t, ns, media[a : a + n], c) for t, ns, a, n, c, _ in found.packets] == [(1, 6_000_000, b"abc", 0), (300, 8_500_000, b"de", 1), (300, 8_500_000, b"fgh", 1)]
 
 
+def test_damaged_laces_and_frames_that_refer_to_others():
+    e, m = matroska.element, matroska
+    for kind in (1, 2, 3):
+        cut_off = e(m.SIMPLE_BLOCK, m.vint(1) + struct.pack(">hB", 0, kind << 1))
+        good = e(m.SIMPLE_BLOCK, m.lace_block(1, 2, [b"abc"]))
+        found = m.parse(e(m.EBML, b"") + e(m.SEGMENT, e(m.CLUSTER, e(m.CLUSTER_TIMESTAMP, 1) + good + cut_off)))
+        assert len(found.packets) == 1 and "lace" in found.error
+    groups = [e(m.BLOCK_GROUP, e(m.BLOCK, m.lace_block(1, 0, [b"k"]))), e(m.BLOCK_GROUP, e(m.BLOCK, m.lace_block(1, 1, [b"p"])) + e(m.REFERENCE_BLOCK, b"\xff"))]
+    assert [p[-1] for p in m.parse(e(m.SEGMENT, e(m.CLUSTER, b"".join(groups)))).packets] == [True, False]
+
+
 def test_texts_as_sound(spark):
     texts = ["", None, "x" * 63, "x" * 64, "x" * 65, "é" * 20_000, "same", "same"]
     docs = spark.createDataFrame([(i, t, b"clash") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
@@ -58,7 +73,10 @@ def test_texts_as_sound(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert got[6][1:] == got[7][1:]
-    assert matroska.packets(spark.createDataFrame([(1, None), (2, b"\x00junk")], "doc_id long, media binary"), ["doc_id"]).select(F.size("packets"), "error").orderBy("doc_id").collect()[0][:] == (0, None)
+    odd = matroska.packets(spark.createDataFrame([(1, None), (2, b"\x00junk"), (3, matroska.write_sound(b"x" * 64)[:90])], "doc_id long, media binary"), ["doc_id"])
+    assert [tuple(r)[0] for r in odd.select(F.size("packets")).collect()] == [0, 0, 0] and odd.where("doc_id = 1").first().error is None and odd.where("error is not null").count() == 2
+    empty = {r.doc_id: (r.payload_bytes, r.feature) for r in matroska.payload_digests(odd, ["doc_id"]).collect()}
+    assert empty == {1: (None, None), 2: (0, "packets=0;ms=0;peak=0;energy=0;crossings=0"), 3: (0, "packets=0;ms=0;peak=0;energy=0;crossings=0")}
     assert matroska.payload_digests(matroska.packets(matroska.sound_column(docs.limit(0), ["doc_id"]), keys), keys).isEmpty()
 
 
@@ -85,26 +103,72 @@ def test_zip64_directories_and_stored_members():
             zip_warc.directory(lambda at, n, bad=bad: bad[at : at + n], len(bad))
 
 
-def test_records_are_read_by_ranges():
-    held = [(f"urn:page:{i}", zip_warc.record("response", f"urn:page:{i}", "http://x/", hashlib.sha1(b"p" * i).hexdigest(), i, b"p" * i, None)) for i in range(200)]
-    raw, asked = zip_warc.package(held), []
+def a_record(i, kind="response", body=None):
+    body = b"p" * i if body is None else body
+    return zip_warc.record(kind, f"urn:page:{i}", f"http://www.x.org/{i}", hashlib.sha1(body).hexdigest(), len(body), body, None)
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_records_are_read_by_ranges(zip64):
+    held = [(f"http://www.x.org/{i}", a_record(i)) for i in range(200)]
+    raw, asked = zip_warc.package(held, zip64), []
     found = list(zip_warc.records(lambda at, n: asked.append(n) or raw[at : at + n], len(raw)))
-    assert found == held and zip_warc.package(held) == raw
-    warc = zip_warc.directory(lambda at, n: raw[at : at + n], len(raw))[zip_warc.WARC]
+    assert [r for *_, r in found] == [r for _, r in held] and zip_warc.package(held, zip64) == raw
+    warc = zip_warc.directory(lambda at, n: raw[at : at + n], len(raw))["archive/data.warc.gz"]
     assert sum(n < warc.size // 10 for n in asked) >= 200  # no member is read whole but the index
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        assert z.testzip() is None and z.namelist() == ["archive/data.warc.gz", "indexes/index.cdxj"]
+        lines = z.read("indexes/index.cdxj").decode().splitlines()
+        assert lines == sorted(lines) and all(x.startswith("org,x,www)/") and int(json.loads(x.split(" ", 2)[2])["offset"]) >= 0 for x in lines)
+    if zip64:
+        assert raw[-22:][:4] == b"PK\x05\x06" and raw[-42:][:4] == b"PK\x06\x07" and raw.count(b"PK\x06\x06") == 1
+
+
+def test_other_peoples_packages(spark, tmp_path):
+    records = [a_record(i) for i in (0, 3, 70_000)]
+    packed = [gzip.compress(r) for r in records]
+    foreign = f"WARC/1.0\r\nwarc-type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: text/plain\r\nWARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(b'hi').digest()).decode()}\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n".encode()
+    at, lines = 0, []
+    for k, p in enumerate(packed):
+        lines.append(f"org,x)/{k} 2024 {json.dumps({'offset': at, 'length': len(p), 'filename': 'one.warc.gz'})}\n")
+        at += len(p)
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed))
+        z.writestr("archive/two.warc.gz", b"".join(map(gzip.compress, [records[1], foreign])))
+        z.writestr("archive/three.warc", foreign + records[2] + records[0])
+        z.writestr("pages/pages.jsonl", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/index.cdx.gz", gzip.compress("".join(lines).encode()))
+        z.writestr("indexes/again.cdxj", "!meta\n" + lines[0], zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(tmp_path / "empty.wacz", "w") as z:
+        z.writestr("archive/none.warc.gz", b"")
+    paths = [(f"file://{tmp_path}/a.wacz", 1), (f"file://{tmp_path}/empty.wacz", 2), (None, 3)]
+    got = zip_warc.read_packages(spark.createDataFrame(paths, "path string, member int")).collect()
+    assert sorted((r.member, r.record_type, r.payload_bytes) for r in got) == [("one.warc.gz", "response", 0), ("one.warc.gz", "response", 3), ("one.warc.gz", "response", 70_000), ("three.warc", "resource", 2), ("three.warc", "response", 0), ("three.warc", "response", 70_000), ("two.warc.gz", "resource", 2), ("two.warc.gz", "response", 3)]
+    whole = (tmp_path / "a.wacz").read_bytes()
+    stored = {m: zip_warc.stored_at(lambda at, n: whole[at : at + n], x) for m, x in zip_warc.directory(lambda at, n: whole[at : at + n], len(whole)).items() if m.startswith("archive/")}
+    for r in got:
+        begin = stored[f"archive/{r.member}"] + r.offset
+        raw = whole[begin : begin + r.length]
+        assert zip_warc.parse_record(gzip.decompress(raw) if r.member.endswith(".gz") else raw)[0]["warc-record-id"].strip("<>") == r.record_id
+        assert r.payload_digest == (hashlib.sha1(b"hi").hexdigest() if r.record_type == "resource" else hashlib.sha1(b"p" * r.payload_bytes).hexdigest())
+    (tmp_path / "bad.wacz").write_bytes(whole[:-300])
+    with pytest.raises(Exception, match="BadArchive"):
+        zip_warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/bad.wacz",)], "path string")).collect()
 
 
-def test_equal_payloads_are_stored_once(spark):
+def test_equal_payloads_are_stored_once(spark, tmp_path):
     rows = [(1, "u", "x" * 2000), (None, "u\r\nü", "x" * 2000), (2, None, "x" * 2000), (2, None, "x" * 2000), (3, "a", None), (4, "a", "é" * 600), (None, "b", "z" * 3000), (None, "b", "z" * 3000), (5, "c", "s" * 999), (6, "c", "s" * 999)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
-    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0, r.payload_digest) for r in zip_warc.read_packages(zip_warc.write_packages(pages)).collect()))
+    pages = spark.createDataFrame([(*r, "clash", "path") for r in rows], "page_id long, url string, html string, digest string, path string")
+    read = lambda df, name: zip_warc.read_packages(zip_warc.write_packages(df, f"file://{tmp_path}/{name}"))
+    number = lambda urn: int((urn or "urn:page:").removeprefix("urn:page:") or 0)
+    got = sorted(((number(r.record_id), r.payload_bytes, r.record_type, number(r.refers_to), r.payload_digest) for r in read(pages, "all").collect()))
     want = []
     for i, _, html in rows:
         body = (html or "").encode()
         revisit = html == "x" * 2000 and i != 2
         want.append((i or 0, len(body), "revisit" if revisit else "response", 2 if revisit else 0, hashlib.sha1(body).hexdigest()))
     assert got == sorted(want)
-    assert zip_warc.read_packages(zip_warc.write_packages(pages.limit(0))).isEmpty()
+    assert read(pages.limit(0), "none").isEmpty()
 
 
 URLS = [f"https://{h}/{p}" for h in ("a.net", "b.example.net", "c.org", "d.example.com", "spam.example.com", "e.org") for p in ("en/1", "fr/2", "de/3?q=1", "en/44#t", "fr/news/5")]
@@ -214,11 +278,17 @@ def test_near_duplicates_equal_all_pairs(spark, k):
 
 
 def test_null_and_repeated_ids(spark):
-    text = " ".join(f"w{i}" for i in range(30))
-    docs = spark.createDataFrame([(5, text), (5, text), (7, text), (None, text), (None, None), (9, "else where")], "doc_id long, text string")
+    text, near = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}" for i in range(31))
+    rows = [(5, text), (5, text), (7, text), (None, text), (None, None), (9, "else where"), (9, near), (11, "else where"), (None, "far off"), (None, "far off"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
     got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in minmax_dedup.near_duplicates(docs).collect()))
-    assert got == [(0, 0, True), (0, 0, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]
-    assert minmax_dedup.near_duplicates(docs.limit(0)).isEmpty()
+    assert got == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 5, False), (3, 3, True), (3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 9, True), (11, 9, False)]
+    # Rows are judged by their texts: one row of each group stays, the unlike texts of one id are apart, empty ones all stay.
+    clash = docs.withColumns({"row": F.lit(1), "component": F.lit(2), "kept": F.lit(3), "mark": F.lit(4), "node": F.lit(5)})
+    kept = minmax_dedup.keep_one(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "far off"), (3, ""), (3, ""), (5, text), (9, "else where")]
+    assert minmax_dedup.near_duplicates(docs.limit(0)).isEmpty() and minmax_dedup.keep_one(docs.limit(0)).isEmpty()
 
 
 def test_signatures_estimate_without_bias():
@@ -228,17 +298,29 @@ def test_signatures_estimate_without_bias():
     assert len(one) == 2 * 4096 and abs(float(np.mean(one == two)) - 0.8) < 0.02
 
 
-def test_large_sets_are_sketched_without_losing_links(spark):
-    r = random.Random(9)
-    words = [f"w{i}" for i in range(6000)]
-    near = list(words)
-    for i in r.sample(range(6000), 120):
-        near[i] = "other"
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "id long, text string")
-    s = minmax_dedup.sketches(docs, 4, 56, 4)
-    assert all(r.level == 3 and 500 < len(r.hashes) <= 1024 for r in s.collect())
-    both = s.where("id = 1").alias("x").join(s.where("id = 2").alias("y"), F.col("x.level") == F.col("y.level"))
-    assert both.select(minmax_dedup._likely("x", "y", 80)).first()[0]
+def test_bitmaps_never_rule_out_a_link():
+    r, own, ruled_out = random.Random(9), minmax_dedup.Shingler(2), 0
+    for _ in range(400):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.choice([1, 3, 40, 300, 2000]))]
+        near = [w if r.random() > r.choice([0, 0.05, 0.3]) else "x" for w in words][: r.randint(1, 2000)]
+        a, b = own.shingles(" ".join(words)), own.shingles(" ".join(near))
+        both = len(np.intersect1d(a, b))
+        if not minmax_dedup._may_link(minmax_dedup._bitmap(a), minmax_dedup._bitmap(b), len(a), len(b), 80):
+            ruled_out += 1
+            assert 100 * both < 80 * (len(a) + len(b) - both)
+    assert ruled_out > 100
+
+
+def test_rare_shingles_lose_no_link(spark):
+    r, sets = random.Random(7), []
+    for i in range(150):
+        base = sets[r.randrange(len(sets))] if sets and r.random() < 0.7 else set(range(1000, 1040)) | {r.randrange(10**9) for _ in range(r.randint(1, 30))}
+        sets.append({h if r.random() > 0.06 else r.randrange(10**9) for h in base})
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, hashes array<long>")
+    sizes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, n long, component long")
+    got = {(x.a, x.b) for x in minmax_dedup.rare_pairs(rows, sizes, 80).collect()}
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want <= got and len(got) < 150 * 149 // 4 and len(want) > 20
 
 
 def test_components_of_chains_and_stars(spark):

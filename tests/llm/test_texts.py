@@ -191,6 +191,17 @@ def test_all_unlabelled_rows_are_exchanged(spark):
     assert len(labels["text"]) > 20_000
     for v in views:
         assert np.allclose(getattr(got, v).weights, views[v].weights)
+        assert math.isclose(getattr(got, v).slope, views[v].slope, rel_tol=1e-6) and math.isclose(getattr(got, v).shift, views[v].shift, rel_tol=1e-6)
+    # The calibrated views combined, the limit, and the scores of all documents.
+    both = np.array([[views[v].odds(features[v][i]) for v in ("text", "meta")] for i in sorted(held)])
+    mix = co_training.logistic(both, truth)
+    assert np.allclose(got.mix, mix, rtol=1e-5)
+    score = lambda i: 1 / (1 + math.exp(-max(-30, min(30, mix[0] * views["text"].odds(features["text"][i]) + mix[1] * views["meta"].odds(features["meta"][i]) + mix[2]))))
+    limit = min(0.5, float(np.quantile([score(i) for i in sorted(held) if y[i]], co_training.MISSED)))
+    rows = co_training.classify(docs, spark.createDataFrame(list(y.items()), "id long, quality int"), id_col="id", meta_cols=("source", "k")).where("id % 10 = 0").collect()
+    assert len(rows) == n // 10
+    for r in rows:
+        assert math.isclose(r.score, score(r.id), rel_tol=1e-5) and (r.kept == (r.score >= limit) or abs(r.score - limit) < 1e-9)
 
 
 def test_leaves_without_tokens_are_taken_once(spark, tmp_path):
@@ -202,3 +213,16 @@ def test_leaves_without_tokens_are_taken_once(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {r.doc_id: r.copies for r in source_mixing.query(spark, str(tmp_path)).collect()}
     assert got == {r[0]: r[-1] for r in con.sql(source_mixing.ORACLE).fetchall()} and got[40] == got[41] == got[42] == 1
+
+
+def test_rule_filters_keep_rows_whole_whatever_their_columns(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(i, good if i % 9 else bad, "good.org") for i in range(30)] + [(i, bad, "bad.org") for i in range(30, 60)] + [(60, good, "bad.org"), (61, good, None), (None, good, "good.org"), (1, good, "good.org"), (62, None, None), (63, "", "good.org")]
+    docs = spark.createDataFrame([(*r, "en", 5, "x", True, "h") for r in rows], "doc_id long, text string, source string, lang string, n_chars long, rejected_host string, rejected boolean, host string")
+    kept = host_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    want = [r[0] for r in rows if r[1] == good and r[2] != "bad.org"]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i in want) and host_rules.keep_good(docs.limit(0)).isEmpty()
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    same = co_training.keep_good(docs.withColumn("row", F.lit(1)), labels)
+    assert same.columns == [*docs.columns, "row"] and same.count() == len(rows)
