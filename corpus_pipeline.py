@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm import bpe_codec, co_training, host_rules, minmax_dedup, source_mixing
-from claimweave.llm.common import bounded, cut, table
+from claimweave.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group: five words to a shingle, similarity from 0.8."""
-    found = minmax_dedup.near_duplicates(docs, shingle=5, percent=80)
-    dropped = bounded(cut(found.where("not kept").select(F.col("doc_id").alias("dropped")).distinct()), 1_000_000)
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
+    """Keep one document of each near-duplicate group: five words to a shingle, similarity from 0.8.
+
+    The rows' texts decide, so the unlike texts of a repeated id are documents of their own; the least id stays, a
+    null id only where no other has one, and of repeated rows one. Null, empty and blank texts are in no group.
+    """
+    return minmax_dedup.keep_one(docs, shingle=5, percent=80)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each reading what the one before it wrote to the shared folder."""
+    """All stages, each reading the Parquet files that the one before it wrote to the folder of the checkpoints."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if k < len(STAGES) - 1 else docs
-    return docs
+    folder = shared_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
