@@ -17,7 +17,11 @@ PROVISIONAL = ("projection", "projected", "forecast", "estimate", "estimated", "
 
 def relate_scope(a: Column, b: Column) -> Column:
     """Scope a to scope b: same, subsumes, subsumed_by, disjoint or unknown. An unstated scope is no wildcard."""
-    x, y = normalise_scope(a), normalise_scope(b)
+    return relate_normal_scopes(normalise_scope(a), normalise_scope(b))
+
+
+def relate_normal_scopes(x: Column, y: Column) -> Column:
+    """The same for scopes that are normalised already."""
     group, own, all_ = (lambda s, names=names: s.isin(*names) for names in (CONSOLIDATED, STANDALONE, TOTAL))
     named = lambda s: ~s.isin(*CONSOLIDATED, *STANDALONE, *TOTAL)
     wide = lambda s: group(s) | all_(s)
@@ -36,14 +40,20 @@ def relate_scope(a: Column, b: Column) -> Column:
 
 def relate_basis(a: Column, b: Column) -> Column:
     """same, different, or unknown if one side names a basis that changes figures and the other names none."""
-    clean = lambda s: F.nullif(F.lower(F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), F.lit(""))
-    x, y = clean(a), clean(b)
+    return relate_normal_bases(normalise_basis(a), normalise_basis(b))
+
+
+def normalise_basis(basis: Column) -> Column:
+    """In lower case and trimmed; null if nothing is left."""
+    return F.nullif(F.lower(F.regexp_replace(basis, r"(?U)^\s+|\s+$", "")), F.lit(""))
+
+
+def relate_normal_bases(x: Column, y: Column) -> Column:
     return F.when(x.eqNullSafe(y), "same").when(x.isNotNull() & y.isNotNull(), "different").when(F.coalesce(x, y).isin(*MODIFYING_BASIS), "unknown").otherwise("same")
 
 
-def basis_detail(a: Column, b: Column) -> Column:
-    clean = lambda s: F.nullif(F.lower(F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), F.lit(""))
-    x, y = clean(a), clean(b)
+def basis_detail(x: Column, y: Column) -> Column:
+    """Two normalised bases in words."""
     return F.when(x.eqNullSafe(y), F.concat(F.lit("both "), F.coalesce(x, F.lit("unstated")))).otherwise(F.concat_ws(" vs ", F.coalesce(x, F.lit("unstated")), F.coalesce(y, F.lit("unstated"))))
 
 

@@ -77,11 +77,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bag(text: Column) -> Column:
+    return F.array_distinct(words(text))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """The larger of the Jaccard similarities of trigrams and of words; 0 if a side is empty."""
-    bag = lambda t: F.array_distinct(words(t))
-    close = F.greatest(jaccard(trigrams(a), trigrams(b)), F.coalesce(F.try_divide(F.size(F.array_intersect(bag(a), bag(b))), F.size(F.array_union(bag(a), bag(b)))), F.lit(0.0)))
-    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0).otherwise(close)
+    return similarity_of_sets((a, trigrams(a), bag(a)), (b, trigrams(b), bag(b)))
+
+
+def similarity_of_sets(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """The same for texts whose trigrams and distinct words are there already: each side is (text, trigrams, words)."""
+    both = F.size(F.array_intersect(a[2], b[2]))
+    close = F.greatest(jaccard(a[1], b[1]), F.coalesce(F.try_divide(both, F.size(a[2]) + F.size(b[2]) - both), F.lit(0.0)))
+    return F.when((F.coalesce(a[0], F.lit("")) == "") | (F.coalesce(b[0], F.lit("")) == ""), 0.0).when(a[0] == b[0], 1.0).otherwise(close)
+
+
+def display_general(x: Column) -> Column:
+    """Up to six significant digits without zeros at the end; from a million on, or below a ten-thousandth, with an exponent."""
+    wide = F.format_string("%.5e", x)
+    exponent = F.regexp_extract(wide, r"e([+-]\d+)$", 1).try_cast("int")
+    trimmed = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    plain = trimmed(F.element_at(F.array(*(F.format_string(f"%.{d}f", x) for d in range(11))), F.greatest(F.lit(1), 6 - exponent)))
+    return F.when((exponent < -4) | (exponent >= 6), F.concat(trimmed(F.regexp_extract(wide, r"^(.*)e", 1)), F.regexp_extract(wide, r"e.*$", 0))).otherwise(plain)
 
 
 def display_number(x: Column) -> Column:

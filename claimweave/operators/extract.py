@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from claimweave.functions import periods
 from claimweave.functions.schema import CLAIM, conform
 from claimweave.functions.units import canonicalise, parse_unit
+from claimweave.sources.store import checkpointed
 
+#: What a model is shown and may answer, unless a call says otherwise; None lifts a limit.
 CLAIMS_PER_PAGE, PAGE_CHARS, PROFILE_PAGES, PROFILE_CHARS = 20, 9_000, 3, 9_000
 RAW_CLAIM = "struct<subject: string, measure: string, value_kind: string, value: string, value_high: string, unit: string, text_value: string, date_value: string, bool_value: string, period: string, scope: string, basis: string, as_of: string, estimate_type: string, quote: string, confidence: string>"
 PROFILE = "publisher string, subject string, doc_type string, as_of_date string, default_period string, default_scope string, default_unit string, default_currency string"
@@ -23,13 +25,20 @@ CLAIM_PROMPT = "List the factual claims on this page as JSON: an object with a l
 PROFILE_PROMPT = "Describe the document that begins so as a JSON object: publisher, subject (whom its figures are about), doc_type, as_of_date, and the default_period, default_scope, default_unit and default_currency that hold where a page states none.\n\n"
 
 
+REPAIR_PROMPT = "\n\nThe last reply to this was not JSON of the form that was asked for. Reply with that JSON alone."
+
+
 def request_key(prompt: Column, model: str, **options) -> Column:
     """A hash of all that a response depends on."""
     return F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("prompt"), *(F.lit(str(v)).alias(k) for k, v in sorted(options.items())))), 256)
 
 
 def ask(requests: DataFrame, cache: DataFrame, provider: Callable[[str], str | None] | None) -> DataFrame:
-    """(key, prompt, ...) with response: from cache, else from provider, which runs in the tasks; null without either."""
+    """(key, prompt, ...) with response: from cache, else from provider, which runs in the tasks; null without either.
+
+    A fresh reply without JSON in it is asked for once more; what then comes counts. Such replies aren't kept if the
+    second one is missing.
+    """
     held = requests.join(cache.select("key", "response").dropDuplicates(["key"]), "key", "left")
     if provider is None:
         return held
@@ -39,7 +48,10 @@ def ask(requests: DataFrame, cache: DataFrame, provider: Callable[[str], str | N
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"], "answer": [provider(p) for p in frame["prompt"]]})
 
-    fresh = missing.mapInPandas(run, "key string, answer string")
+    first = checkpointed(missing.mapInPandas(run, "key string, answer string"))
+    bad = first.where(F.col("answer").isNotNull() & salvage_json(F.col("answer")).isNull()).select("key")
+    again = missing.join(bad, "key", "left_semi").select("key", F.concat("prompt", F.lit(REPAIR_PROMPT)).alias("prompt"))
+    fresh = checkpointed(first.join(bad, "key", "left_anti").unionByName(again.mapInPandas(run, "key string, answer string")))
     return held.join(fresh, "key", "left").withColumn("response", F.coalesce("response", "answer")).drop("answer")
 
 
@@ -52,10 +64,14 @@ def salvage_json(text: Column) -> Column:
     return F.coalesce(*(valid(F.nullif(t, F.lit(""))) for t in (clean, fenced, outer("{", "}"), outer("[", "]"))))
 
 
-def profile_requests(pages: DataFrame, model: str) -> DataFrame:
+def _start(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
+def profile_requests(pages: DataFrame, model: str, most_pages: int = PROFILE_PAGES, most_chars: int | None = PROFILE_CHARS) -> DataFrame:
     """One request for each document, with the text of its first pages."""
-    first = pages.where(F.col("page_no") <= PROFILE_PAGES).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    prompt = F.concat(F.lit(PROFILE_PROMPT), F.substring(F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), 1, PROFILE_CHARS))
+    first = pages.where(F.col("page_no") <= most_pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    prompt = F.concat(F.lit(PROFILE_PROMPT), _start(F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), most_chars))
     return first.select("doc_id", prompt.alias("prompt"), request_key(prompt, model).alias("key"))
 
 
@@ -65,8 +81,8 @@ def profiles(answered: DataFrame) -> DataFrame:
     return answered.select("doc_id", p.alias("p")).select("doc_id", "p.*").withColumn("as_of_date", lenient_date(F.col("as_of_date")))
 
 
-def page_requests(pages: DataFrame, model: str) -> DataFrame:
-    prompt = F.concat(F.lit(CLAIM_PROMPT), F.substring(F.coalesce("text", F.lit("")), 1, PAGE_CHARS))
+def page_requests(pages: DataFrame, model: str, most_chars: int | None = PAGE_CHARS) -> DataFrame:
+    prompt = F.concat(F.lit(CLAIM_PROMPT), _start(F.coalesce("text", F.lit("")), most_chars))
     return pages.select("doc_id", "page_no", "printed_page", prompt.alias("prompt"), request_key(prompt, model).alias("key"))
 
 
@@ -75,12 +91,12 @@ def lenient_date(text: Column) -> Column:
     return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-MM-dd")
 
 
-def raw_claims(answered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, rejected responses). A page's response counts if it lists claims that all have a measure and a quote."""
+def raw_claims(answered: DataFrame, most: int | None = CLAIMS_PER_PAGE) -> tuple[DataFrame, DataFrame]:
+    """(claims, rejected responses). A page's response counts if it lists claims that all have a measure and a quote; the first most of a page are taken."""
     listed = F.from_json(salvage_json(F.col("response")), f"claims array<{RAW_CLAIM}>")["claims"]
     full = lambda c: (F.trim(F.coalesce(c["measure"], F.lit(""))) != "") & (F.trim(F.coalesce(c["quote"], F.lit(""))) != "")
-    read = answered.withColumn("_claims", listed).withColumn("_valid", F.coalesce(F.forall("_claims", full), F.lit(False)))
-    rows = read.where("_valid").select("doc_id", "page_no", "printed_page", F.posexplode(F.slice("_claims", 1, CLAIMS_PER_PAGE)).alias("ordinal", "c"))
+    read = checkpointed(answered.withColumn("_claims", listed).withColumn("_valid", F.coalesce(F.forall("_claims", full), F.lit(False))))
+    rows = read.where("_valid").select("doc_id", "page_no", "printed_page", F.posexplode("_claims" if most is None else F.slice("_claims", 1, most)).alias("ordinal", "c"))
     return rows, read.where("response is not null and not _valid").select("doc_id", "page_no", "response")
 
 
@@ -101,7 +117,8 @@ def build_claims(rows: DataFrame, documents: DataFrame) -> DataFrame:
     joined = rows.join(profile, "doc_id", "left")
     value, high = _number(F.col("c.value")), _number(F.col("c.value_high"))
     kind = F.when(F.lower("c.value_kind").isin("number", "range", "text", "boolean", "date"), F.lower("c.value_kind")).when(value.isNotNull(), "number").otherwise("text")
-    base = joined.withColumns({"_low": value, "_high": F.coalesce(high, value), "_kind": kind})
+    # Written here: it is read twice, and one stage with all that follows would be too large to compile.
+    base = checkpointed(joined.withColumns({"_low": value, "_high": F.coalesce(high, value), "_kind": kind}))
     numeric = F.col("_kind").isin("number", "range")
     base = base.where(~numeric | F.col("_low").isNotNull()).withColumns({
         "low": F.when(numeric, F.least("_low", "_high")), "high": F.when(numeric, F.greatest("_low", "_high")), "value_kind": F.when(numeric, F.when(F.col("_low") != F.col("_high"), "range").otherwise("number")).otherwise(F.col("_kind")),

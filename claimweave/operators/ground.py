@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +21,33 @@ ALIASES = {
 QUALIFIERS = ("scope", "basis", "estimate_type")
 
 
-def token_coverage(quote: Column, page: Column) -> Column:
-    """The share of the quote's tokens, by length, that the page holds in this order; missing tokens are passed over."""
-    tokens = F.regexp_extract_all(quote, F.lit(TOKEN), F.lit(1))
-    start = F.struct(F.lit(0).alias("matched"), F.lit(1).alias("cursor"))
+def _tokens(quote: Column) -> Column:
+    return F.regexp_extract_all(quote, F.lit(TOKEN), F.lit(1))
+
+
+def _walk(quote: Column, page: Column) -> Column:
+    """struct<matched, cursor, first>: characters of the quote's tokens that the page holds in this order, the place
+    behind the last of them and that of the first, counted from 1; missing tokens are passed over."""
+    start = F.struct(F.lit(0).alias("matched"), F.lit(1).alias("cursor"), F.lit(0).alias("first"))
 
     def step(state: Column, token: Column) -> Column:
         at = F.call_function("locate", token, page, state["cursor"])
-        return F.when(at > 0, F.struct((state["matched"] + F.length(token)).alias("matched"), (at + F.length(token)).alias("cursor"))).otherwise(state)
+        moved = F.struct((state["matched"] + F.length(token)).alias("matched"), (at + F.length(token)).alias("cursor"), F.when(state["first"] == 0, at).otherwise(state["first"]).alias("first"))
+        return F.when(at > 0, moved).otherwise(state)
 
-    matched = F.aggregate(tokens, start, step)["matched"]
-    total = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
-    return F.coalesce(F.try_divide(matched, total), F.lit(0.0))
+    return F.aggregate(_tokens(quote), start, step)
+
+
+def token_coverage(quote: Column, page: Column) -> Column:
+    """The share of the quote's tokens, by length, that the page holds in this order."""
+    total = F.aggregate(_tokens(quote), F.lit(0), lambda n, t: n + F.length(t))
+    return F.coalesce(F.try_divide(_walk(quote, page)["matched"], total), F.lit(0.0))
+
+
+def token_span(quote: Column, page: Column) -> Column:
+    """struct<char_start, char_end> from the first token that the page holds to the end of the last."""
+    walked = _walk(quote, page)
+    return F.struct((walked["first"] - 1).cast("int").alias("char_start"), (walked["cursor"] - 1).cast("int").alias("char_end"))
 
 
 def grounding(quote: Column, text: Column, norm_quote: Column, norm_text: Column) -> Column:
@@ -62,22 +75,37 @@ def qualifier_supported(value: Column, norm_text: Column) -> Column:
     return F.coalesce((v != "") & (F.contains(norm_text, v) | known), F.lit(False))
 
 
+def longest_block(quote: str, text: str) -> tuple[int, int]:
+    """(place in text, length) of the longest block that both hold; of equal ones the first in quote, then in text.
+
+    If they share a block they share shorter ones too, so the length is found by halving.
+    """
+    place = lambda n: next((at for i in range(len(quote) - n + 1) if (at := text.find(quote[i : i + n])) >= 0), -1)
+    low, high = 0, len(quote)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if place(middle) >= 0 else (low, middle - 1)
+    return place(low), low
+
+
 @F.pandas_udf(StructType().add("char_start", IntegerType()).add("char_end", IntegerType()))
 def anchor(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """The place of the longest common block of at least 8 characters, to highlight quotes that aren't exact."""
+    """The place of the longest common block of at least 8 characters, to highlight quotes that aren't exact; else null."""
     found = []
     for q, t in zip(quote, text, strict=True):
-        block = difflib.SequenceMatcher(None, q or "", t or "", autojunk=False).find_longest_match()
-        found.append((block.b, block.b + block.size) if block.size >= MIN_QUOTE else (None, None))
+        at, size = longest_block(q, t) if q and t else (0, 0)
+        found.append((at, at + size) if size >= MIN_QUOTE else (None, None))
     return pd.DataFrame(found, columns=["char_start", "char_end"]).astype("Int32")
 
 
-def ground(claims: DataFrame, pages: DataFrame, highlight: bool = False) -> DataFrame:
+def ground(claims: DataFrame, pages: DataFrame, highlight: bool = True) -> DataFrame:
     """Set grounding, offsets, status, reason and qualifiers of claims by their pages (doc_id, page_no, text).
 
     A claim whose page isn't there, whose quote isn't on it or is too short to verify is quarantined with a reason. A
     scope, basis or estimate type that the page doesn't say becomes null and is kept in extra as dropped_<name>.
-    Pages are unique by doc_id and page_no. highlight also looks for offsets of quotes that aren't exact.
+    Pages are unique by doc_id and page_no. highlight also looks for offsets of quotes that aren't exact: those of the
+    longest block that quote and page share, or for gapped quotes without one, from the first token that was found to
+    the end of the last, in the folded text.
     """
     page = with_norm_text(pages.select(F.col("doc_id").alias("_doc"), F.col("page_no").alias("_page"), F.col("text").alias("_text")), "_text", "_norm")
     quoted = with_norm_text(claims.withColumn("_quote", F.coalesce("quote", F.lit(""))), "_quote", "_norm_quote")
@@ -100,8 +128,10 @@ def ground(claims: DataFrame, pages: DataFrame, highlight: bool = False) -> Data
     extra = F.map_concat(F.map_filter(extra, lambda k, _: ~F.map_contains_key(dropped, k)), dropped)
     out = out.withColumns({"extra": extra, **{q: F.when(~F.col(f"_bad_{q}"), F.col(q)) for q in QUALIFIERS}})
     if highlight:
-        out = out.withColumn("_anchor", F.when(F.col("grounding").isin("fuzzy", "gapped"), anchor(F.col("_quote"), F.col("_text"))))
-        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_anchor.{c}")) for c in ("char_start", "char_end")})
+        sought = lambda c: F.when(F.col("grounding").isin("fuzzy", "gapped"), F.col(c))
+        out = out.withColumn("_anchor", anchor(sought("_quote"), sought("_text")))
+        out = out.withColumn("_span", F.when((F.col("grounding") == "gapped") & F.col("_anchor.char_start").isNull(), token_span(F.col("_norm_quote"), F.col("_norm"))))
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_anchor.{c}"), F.col(f"_span.{c}")) for c in ("char_start", "char_end")})
     return out.select(*claims.columns)
 
 

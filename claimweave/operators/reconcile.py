@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import periods, scope
 from claimweave.functions.schema import STEP
-from claimweave.functions.text import display_number, normalise_subject, similarity
+from claimweave.functions.text import bag, display_general, display_number, normalise_scope, normalise_subject, similarity, similarity_of_sets, trigrams
+from claimweave.sources.store import bounded
 
 VALUE_TOLERANCE, SUBJECT_SIMILARITY, TEXT_AGREEMENT, BLOCK_CAP = 0.01, 0.6, 0.8, 400
 #: Parts of measure names that don't add up over parts of a period; found anywhere in a name, so also in "operations".
@@ -25,13 +26,26 @@ def negative_measures(claims: DataFrame) -> DataFrame:
     return claims.where("measure_key <> '' and canonical_low < 0").select("measure_key").distinct()
 
 
-def with_blocks(claims: DataFrame) -> DataFrame:
-    """Active claims with the key of the block in which they are compared, and whether their measure goes negative."""
-    negative = negative_measures(claims).withColumn("goes_negative", F.lit(True))
-    blocked = claims.where("status = 'active'").withColumns({
+def compared(claims: DataFrame, negative: DataFrame | None = None) -> DataFrame:
+    """Active claims with all that a comparison takes from one side alone, so that pairs only compare it.
+
+    That is the key of the block, normalised scope, basis and text with the text's trigrams and words, and whether the
+    measure adds up, is provisional, or is among those (measure_key) that go negative.
+    """
+    own = claims.where("status = 'active'").withColumns({
         "block_subject": normalise_subject(F.col("subject_raw")), "block_measure": F.coalesce(F.nullif(F.col("measure_key"), F.lit("")), F.lower("measure_raw")),
-    })
-    return blocked.join(negative, "measure_key", "left").withColumn("goes_negative", F.coalesce("goes_negative", F.lit(False)))
+        "scope_norm": normalise_scope(F.col("scope")), "basis_norm": scope.normalise_basis(F.col("basis")), "text_norm": normalise_subject(F.col("text_value")),
+        "additive": _additive(), "provisional": scope.provisional(F.col("estimate_type")),
+    }).withColumns({"text_grams": F.when(F.col("text_norm") != "", trigrams(F.col("text_norm"))), "text_words": F.when(F.col("text_norm") != "", bag(F.col("text_norm")))})
+    if negative is None:
+        return own.withColumn("goes_negative", F.lit(False))
+    known = bounded(negative.select("measure_key").distinct()).withColumn("goes_negative", F.lit(True))
+    return own.join(known, "measure_key", "left").withColumn("goes_negative", F.coalesce("goes_negative", F.lit(False)))
+
+
+def with_blocks(claims: DataFrame) -> DataFrame:
+    """Active claims with their block; a measure goes negative if any claim on it is below zero."""
+    return compared(claims, negative_measures(claims))
 
 
 def capped(blocked: DataFrame, cap: int | None = BLOCK_CAP) -> DataFrame:
@@ -76,7 +90,7 @@ def _has_quantity(side: str) -> Column:
 def display_value(side: str) -> Column:
     """A claim's value as text, with its unit."""
     c = lambda name: F.col(f"{side}_{name}")
-    number = F.when(c("low") == c("high"), display_number(c("low"))).otherwise(F.concat(display_number(c("low")), F.lit(" to "), display_number(c("high"))))
+    number = F.when(c("low") == c("high"), display_number(c("low"))).otherwise(F.concat(display_general(c("low")), F.lit(" to "), display_general(c("high"))))
     value = F.when(_is(side, ("date",)), c("date_value").cast("string")).when(_is(side, ("boolean",)), c("bool_value").cast("string")).when(c("low").isNotNull(), number).otherwise(c("text_value"))
     return F.concat_ws(" ", F.coalesce(value, F.lit("?")), F.when(_is(side, NUMERIC), c("unit_raw")))
 
@@ -92,29 +106,29 @@ def relative_gap() -> Column:
 def agreement(tolerance: float = VALUE_TOLERANCE) -> Column:
     """Whether the values agree; null if they can't be compared. Dates and truth values that are both missing agree."""
     both = lambda kinds: _is("a", kinds) & _is("b", kinds)
-    text = lambda side: F.regexp_replace(F.coalesce(F.col(f"{side}_text_value"), F.lit("")), r"(?U)^\s+|\s+$", "")
-    alike = similarity(normalise_subject(text("a")), normalise_subject(text("b"))) >= TEXT_AGREEMENT
+    text = lambda side: tuple(F.col(f"{side}_text_{x}") for x in ("norm", "grams", "words"))
+    alike = similarity_of_sets(text("a"), text("b")) >= TEXT_AGREEMENT
     return (
         F.when(both(NUMERIC), F.when(_canonical("a") & _canonical("b"), relative_gap() <= tolerance))
         .when(both(("date",)), F.col("a_date_value").eqNullSafe(F.col("b_date_value")))
         .when(both(("boolean",)), F.col("a_bool_value").eqNullSafe(F.col("b_bool_value")))
-        .when((text("a") != "") & (text("b") != ""), alike)
+        .when((F.col("a_text_norm") != "") & (F.col("b_text_norm") != ""), alike)
     )
 
 
-def _additive(side: str) -> Column:
-    name = F.lower(F.coalesce(F.col(f"{side}_measure_raw"), F.lit("")))
+def _additive() -> Column:
+    name = F.lower(F.coalesce(F.col("measure_raw"), F.lit("")))
     named = F.lit(False)
     for word in NOT_ADDITIVE:
         named = named | F.contains(name, F.lit(word))
-    return F.coalesce(~F.col(f"{side}_dimension").isin("percent", "ratio"), F.lit(False)) & ~named
+    return F.coalesce(~F.col("dimension").isin("percent", "ratio"), F.lit(False)) & ~named
 
 
 def containment(a_is_outer: Column) -> Column:
     """fail if a part exceeds the whole, pass if not, info if the values don't add up."""
     pick = lambda name, outer: F.when(a_is_outer == outer, F.col(f"a_{name}")).otherwise(F.col(f"b_{name}"))
     part, whole = pick("canonical_low", F.lit(False)), pick("canonical_high", F.lit(True))
-    checked = _additive("a") & _additive("b") & ~pick("goes_negative", F.lit(True)) & _canonical("a") & _canonical("b")
+    checked = F.col("a_additive") & F.col("b_additive") & ~pick("goes_negative", F.lit(True)) & _canonical("a") & _canonical("b")
     return F.when(~checked, "info").when((part > whole) & (whole > 0), "fail").otherwise("pass")
 
 
@@ -123,7 +137,7 @@ def _later() -> Column:
     a, b = F.col("a_as_of"), F.col("b_as_of")
     later = F.when(a > b, "a").when(b > a, "b")
     state = F.when(later == "a", _is("a", STATES)).otherwise(_is("b", STATES))
-    return F.when(scope.provisional(F.col("a_estimate_type")) | scope.provisional(F.col("b_estimate_type")) | state, later)
+    return F.when(F.col("a_provisional") | F.col("b_provisional") | state, later)
 
 
 def _step(check, outcome, detail) -> Column:
@@ -143,8 +157,8 @@ def _facts(pairs: DataFrame, tolerance: float) -> DataFrame:
         "subject_similarity": subjects, "quantities": _has_quantity("a") & _has_quantity("b"), "canonical": _canonical("a") & _canonical("b"),
         "same_unit": F.col("a_dimension").eqNullSafe(F.col("b_dimension")) & (F.coalesce("a_currency", F.lit("")) == F.coalesce("b_currency", F.lit(""))),
         "stated": F.col("a_period_label").isNotNull() & F.col("b_period_label").isNotNull(), "period": periods.relate(period("a"), period("b")),
-        "state": _is("a", STATES) & _is("b", STATES), "scope": scope.relate_scope(F.col("a_scope"), F.col("b_scope")),
-        "basis": scope.relate_basis(F.col("a_basis"), F.col("b_basis")), "agree": agreement(tolerance), "same_row": same_row, "later": _later(),
+        "state": _is("a", STATES) & _is("b", STATES), "scope": scope.relate_normal_scopes(F.col("a_scope_norm"), F.col("b_scope_norm")),
+        "basis": scope.relate_normal_bases(F.col("a_basis_norm"), F.col("b_basis_norm")), "agree": agreement(tolerance), "same_row": same_row, "later": _later(),
         "cross_doc": ~F.col("a_doc_id").eqNullSafe(F.col("b_doc_id")),
     }
     with_facts = pairs.select("*", *(v.alias(f"_{k}") for k, v in facts.items()))
@@ -207,7 +221,7 @@ def verdicts(pairs: DataFrame, tolerance: float = VALUE_TOLERANCE) -> DataFrame:
         F.when(reached("unit"), _step("period", F.when(rule == "period", "blocked").when(f("period") == "equals", "pass").otherwise("info"), F.concat_ws(" ", F.coalesce(dates(a), F.lit("unstated")), F.coalesce(f("period"), F.lit("?")), F.coalesce(dates(b), F.lit("unstated"))))),
         F.when(after_period & f("state") & (f("period") != "equals"), _step("period", "info", "a state holds until it changes: the period says when it was observed")),
         F.when(after_period, _step("scope", F.when(f("scope") == "same", "pass").otherwise("info"), F.concat(quoted(a("scope"), b("scope")), F.lit(": "), f("scope")))),
-        F.when(after_period, _step("basis", F.when(f("basis") == "same", "pass").when(f("basis") == "different", "info").otherwise("blocked"), scope.basis_detail(a("basis"), b("basis")))),
+        F.when(after_period, _step("basis", F.when(f("basis") == "same", "pass").when(f("basis") == "different", "info").otherwise("blocked"), scope.basis_detail(a("basis_norm"), b("basis_norm")))),
         F.when(rule == "kinds", _step("value", "blocked", "the values are of different kinds")),
         F.when(rule.isin("apart", "partly", "basis"), _step("value", "info", shown)),
         F.when(contained, _step(F.when(rule == "inside", "period-containment").otherwise("scope-containment"), f("containment"), shown)),
@@ -233,19 +247,18 @@ def reconcile(claims: DataFrame, cap: int | None = BLOCK_CAP, tolerance: float =
     return verdicts(block_pairs(capped(with_blocks(claims), cap)), tolerance)
 
 
-def reconcile_incremental(new: DataFrame, old: DataFrame, seen: DataFrame, tolerance: float = VALUE_TOLERANCE) -> DataFrame:
+def reconcile_incremental(new: DataFrame, old: DataFrame, seen: DataFrame, tolerance: float = VALUE_TOLERANCE, cap: int | None = None) -> DataFrame:
     """Relations of the pairs that new claims add: with old ones and among themselves, without pairs that were seen.
 
     A measure that new claims show to go negative counts as such here, but pairs that were seen aren't looked at again.
+    cap bounds the blocks as in reconcile(); by itself all pairs of a block are compared.
     """
     both = with_blocks(new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False))))
+    both = capped(both, cap)
     return verdicts(incremental_pairs(both.where("_new").drop("_new"), both.where("not _new").drop("_new"), seen), tolerance)
 
 
 def reconcile_pair(pair_a: DataFrame, pair_b: DataFrame, negative: DataFrame | None = None) -> DataFrame:
     """Relations of claims paired by a column pair_id, blocks aside: for a pair given by hand."""
-    keys = lambda df: df.where("status = 'active'").withColumns({"block_subject": normalise_subject(F.col("subject_raw")), "block_measure": F.coalesce("measure_key", F.lower("measure_raw"))})
-    flag = negative.select("measure_key").distinct().withColumn("goes_negative", F.lit(True)) if negative is not None else None
-    mark = lambda df: (df.join(F.broadcast(flag), "measure_key", "left").withColumn("goes_negative", F.coalesce("goes_negative", F.lit(False))) if flag is not None else df.withColumn("goes_negative", F.lit(False)))
-    a, b = _sides(mark(keys(pair_a)), mark(keys(pair_b)))
+    a, b = _sides(compared(pair_a, negative), compared(pair_b, negative))
     return verdicts(a.join(b, (F.col("a_pair_id") == F.col("b_pair_id")) & (F.col("a_id") != F.col("b_id"))))

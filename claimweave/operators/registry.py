@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import normalise_measure, similarity, trigrams, words
+from claimweave.functions.schema import MEASURE
+from claimweave.functions.text import bag, normalise_measure, similarity, trigrams
 
 PROPOSE, AUTO_ACCEPT, CANDIDATES, KEY_LENGTH, BATCH = 0.45, 0.995, 2, 60, 15
 
@@ -18,24 +19,80 @@ def named(names: DataFrame) -> DataFrame:
     return names.withColumn("norm", normalise_measure(F.col("name"))).where("norm <> ''").groupBy("norm").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.array_sort(F.collect_set("name")).alias("surface_forms"), F.min("ord").alias("ord"))
 
 
-def _features(norm: Column) -> Column:
-    """What two names must share one of to be alike at all: trigrams and words."""
-    return F.array_union(F.transform(trigrams(norm), lambda g: F.concat(F.lit("3:"), g)), F.transform(words(norm), lambda w: F.concat(F.lit("w:"), w)))
+def _rarest(names: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+    """(norm, kind, f, n): the rarest of each name's n features of a kind, as many as one that is alike must share one of.
+
+    Two sets of n features at most, with a Jaccard similarity from threshold on, share threshold * n of them, so in any
+    order common to all sets they share one of the first n - threshold * n + 1. In the order of frequency, features
+    that many names have, such as the trigrams of a common word, are left out.
+    """
+    sets = names.select("norm", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), fs.alias("fs")) for k, fs in enumerate((trigrams(F.col("norm")), bag(F.col("norm"))))))).alias("s"))
+    flat = sets.select("norm", "s.kind", F.size("s.fs").alias("n"), F.explode("s.fs").alias("f"))
+    ranked = flat.join(often, ["kind", "f"]).groupBy("norm", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("fs"))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return ranked.select("norm", "kind", "n", F.explode(F.slice("fs", F.lit(1), first.cast("int"))).alias("x")).select("norm", "kind", "n", F.col("x.f").alias("f"))
 
 
-def candidates(names: DataFrame, known: DataFrame, threshold: float = PROPOSE, most: int = CANDIDATES) -> DataFrame:
+def candidates(names: DataFrame, known: DataFrame, threshold: float = PROPOSE, most: int | None = CANDIDATES) -> DataFrame:
     """(norm) against known (norm, ord): each name's most alike known ones, (norm, candidate, similarity, rank).
 
-    Pairs come from an equi-join on shared trigrams and words, not from a product of the two sides.
+    Pairs come from an equi-join on the rarest trigrams and words of each side, which loses none from threshold on.
+    most: so many for each name, ties by name; None keeps all, without a rank.
     """
-    left = names.select("norm", F.explode(_features(F.col("norm"))).alias("f")).distinct()
-    right = known.select(F.col("norm").alias("candidate"), F.explode(_features(F.col("norm"))).alias("f")).distinct()
-    pairs = left.join(right, "f").where("norm <> candidate").select("norm", "candidate").distinct()
+    left, right = names.select("norm").distinct(), known.select("norm").distinct()
+    both = left.union(right).distinct()
+    often = both.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), fs.alias("fs")) for k, fs in enumerate((trigrams(F.col("norm")), bag(F.col("norm"))))))).alias("s")).select("s.kind", F.explode("s.fs").alias("f")).groupBy("kind", "f").agg(F.count("*").alias("often"))
+    a, b = _rarest(left, often, threshold), _rarest(right, often, threshold).select(F.col("norm").alias("candidate"), "kind", F.col("n").alias("m"), "f")
+    close = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9) & (F.col("norm") != F.col("candidate"))
+    pairs = a.join(b, ["kind", "f"]).where(close).select("norm", "candidate").distinct()
     alike = pairs.withColumn("similarity", similarity(F.col("norm"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+    if most is None:
+        return alike
     rank = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("similarity"), "candidate"))
     return alike.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def resolve_name(name: str, measures: DataFrame, decisions: DataFrame) -> tuple[str | None, str]:
+    """One written name against measures (key, canonical_name, aliases, ...): (key, how it was found).
+
+    exact: it is an alias; similar or adjudicated: one of its two most alike measures is the same by similarity, or by
+    a decision; new: none is, and there is no key yet.
+    """
+    spark = measures.sparkSession
+    one = spark.createDataFrame([(name,)], "name string").select(normalise_measure(F.col("name")).alias("norm"))
+    known = measures.select("key", normalise_measure(F.col("canonical_name")).alias("canonical"), F.explode("aliases").alias("norm"))
+    if hit := known.join(one, "norm").orderBy("key").first():
+        return hit["key"], "exact"
+    near = candidates(one, known.select("norm"), most=None).join(known.withColumnRenamed("norm", "candidate"), "candidate")
+    best = near.groupBy("norm", "key", "canonical").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "key").limit(CANDIDATES)
+    said = decisions.select(normalise_measure(F.col("a")).alias("x"), normalise_measure(F.col("b")).alias("y"), "same")
+    asked = best.join(said, ((F.col("x") == F.col("norm")) & (F.col("y") == F.col("canonical"))) | ((F.col("y") == F.col("norm")) & (F.col("x") == F.col("canonical"))), "left")
+    for row in asked.groupBy("key", "similarity").agg(F.bool_or("same").alias("same")).orderBy(F.desc("similarity"), "key").collect():  # CANDIDATES rows
+        if row["similarity"] >= AUTO_ACCEPT:
+            return row["key"], "similar"
+        if row["same"]:
+            return row["key"], "adjudicated"
+    return None, "new"
+
+
+def to_json(measures: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(kind, body): a line of JSON for each measure and each decision, to be written as text files."""
+    lines = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("body"))
+    return lines(measures.select("key", "canonical_name", "aliases", "surface_forms"), "measure").unionByName(lines(decisions.select("a", "b", "same"), "decision"))
+
+
+def save_json(path: str, measures: DataFrame, decisions: DataFrame) -> None:
+    """Write the registry as JSON lines under a folder; what was there is replaced."""
+    to_json(measures, decisions).write.mode("overwrite").json(path)
+
+
+def load_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(measures, decisions) of a folder that save_json wrote."""
+    lines = spark.read.schema("kind string, body string").json(path)
+    read = lambda kind, ddl: lines.where(F.col("kind") == kind).select(F.from_json("body", ddl).alias("x")).select("x.*")
+    return read("measure", MEASURE), read("decision", "a string, b string, same boolean")
+
+
 def closure(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) links over nodes (node, ord) to (node, root): the first node that each one reaches.
 
@@ -69,7 +126,7 @@ def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
     from claimweave.sources.store import checkpointed
 
     forms = checkpointed(named(names))
-    alike = checkpointed(candidates(forms, forms, most=1_000_000))
+    alike = checkpointed(candidates(forms, forms, most=None))
     ordered = alike.select(F.least("norm", "candidate").alias("a"), F.greatest("norm", "candidate").alias("b"), "similarity").distinct()
     if decisions is not None:
         said = decisions.select(normalise_measure(F.col("a")).alias("x"), normalise_measure(F.col("b")).alias("y"), F.coalesce("same", F.lit(False)).alias("same"))

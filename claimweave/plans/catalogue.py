@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import periods, scope
+from claimweave.functions.schema import CLAIM, DOCUMENT, conform
 from claimweave.functions.text import normalise_measure, normalise_subject
 from claimweave.functions.units import canonicalise, parse_unit
 from claimweave.operators import extract, ground, reconcile, registry, triage
 from claimweave.plans import oracles as sql
 from claimweave.plans import pipeline, views
-from claimweave.plans.samples import balance_claims, event_claims, revenue_claims, table
-from claimweave.sources.store import checkpointed
+from claimweave.plans.samples import balance_claims, event_claims, order_answers, revenue_claims, ruled_pairs, table
+from claimweave.sources.pages import page_lookup
+from claimweave.sources.store import checkpointed, merged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,10 +109,13 @@ def q_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.INCREMENTAL)
 def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quarters as a new document, after the pairs of the two yearly ones were seen."""
+    """The quarters as a new document; each first quarter was compared with its year before, and stored either way round."""
     claims = revenue_claims(spark, sf_dir)
     old, new = claims.where("doc_id <> 'C'"), claims.where("doc_id = 'C'")
-    seen = spark.createDataFrame([], "claim_a_id string, claim_b_id string")
+    year, first = (df.select(F.col("id").alias(x), "subject_key", "period_start", F.month("period_end").alias(f"m_{x}")) for df, x in ((old.where("doc_id = 'A'"), "y"), (new, "q")))
+    known = year.join(first, ["subject_key", "period_start"]).where("m_q = 6")
+    even = F.pmod(F.xxhash64("y"), F.lit(2)) == 0
+    seen = known.select(F.when(even, F.col("y")).otherwise(F.col("q")).alias("claim_a_id"), F.when(even, F.col("q")).otherwise(F.col("y")).alias("claim_b_id"))
     return reconcile.reconcile_incremental(new, old, seen).select("claim_a_id", "claim_b_id", "verdict")
 
 
@@ -146,18 +151,21 @@ def q_printed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Quotes from anywhere in each document: as they stand, with wider spaces, too short, with a gap and a foreign word, and invented."""
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), "text")
-    part = F.substring("text", 11, 60)
-    quote = F.when(F.col("doc_id").cast("long") % 3 == 0, part).when(F.col("doc_id").cast("long") % 3 == 1, F.replace(part, F.lit(" "), F.lit("  "))).otherwise(F.substring("text", 11, 5))
-    claims = pages.select(F.col("doc_id").alias("id"), "doc_id", "page_no", quote.alias("quote"), F.lit("Group").alias("scope"), F.lit("audited").alias("basis"))
-    from claimweave.functions.schema import CLAIM, conform
-
+    number, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    at = (number * 7919 % F.greatest(F.length(text) - 150, F.lit(1)) + 1).cast("int")
+    part = lambda start, n: F.substring(text, start, F.lit(n))
+    kinds = [part(at, 60), F.replace(part(at, 60), F.lit(" "), F.lit("  ")), part(at, 5), F.concat(part(at, 40), F.lit(" zqxzq "), part(at + 60, 40)), F.concat(F.lit("zq"), F.md5("doc_id"), F.lit(" zq"), F.sha1("doc_id"))]
+    quote = F.get(F.array(*kinds), (number % 5).cast("int"))
+    claims = pages.select(F.col("doc_id").alias("id"), "doc_id", F.when(number % 37 == 0, 2).otherwise(1).alias("page_no"), quote.alias("quote"), F.lit("Group").alias("scope"), F.lit("audited").alias("basis"), F.when(number % 2 == 0, "forecast").alias("estimate_type"))
     return conform(claims, CLAIM), pages
 
 
 @query(sql.GROUNDING)
 def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.ground(*_quotes(spark, sf_dir)).select("id", "grounding", "status", F.coalesce(F.col("char_start").cast("long"), F.lit(-1).cast("long")).alias("char_start"))
+    place = F.when(F.col("grounding") == "exact", F.col("char_start").cast("long")).otherwise(-1)
+    return ground.ground(*_quotes(spark, sf_dir), highlight=False).select("id", "grounding", "status", place.alias("char_start"))
 
 
 #: Words in a row that a document must share with a passage to be checked for it, and the most shingles to broadcast.
@@ -193,8 +201,6 @@ def q_grounding_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     elided = F.array_join(F.filter(F.split("text", " "), lambda _, i: i != 2), " ")
     quotes = items.select("item_id", elided.alias("quote"))
     found = passages_in(items, docs).join(quotes, "item_id").select(F.concat_ws("-", "item_id", "doc_id").alias("id"), "doc_id", F.lit(1).alias("page_no"), "quote").dropDuplicates(["id"])
-    from claimweave.functions.schema import CLAIM, conform
-
     pages = docs.select("doc_id", F.lit(1).alias("page_no"), "text")
     return ground.ground(conform(found, CLAIM), pages).select("id", "grounding")
 
@@ -258,18 +264,18 @@ def q_audit_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.STATUS)
 def q_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grounded = ground.ground(*_quotes(spark, sf_dir))
+    grounded = ground.ground(*_quotes(spark, sf_dir), highlight=False)
     return views.audit(grounded)["by_status"].select("status", "grounding", "n")
 
 
-@query()
+@query(sql.GROUNDING_REPORT)
 def q_grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.report(ground.ground(*_quotes(spark, sf_dir)))
+    return ground.report(ground.ground(*_quotes(spark, sf_dir), highlight=False))
 
 
-@query()
+@query(sql.DROPPED)
 def q_dropped_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground.dropped_qualifiers(ground.ground(*_quotes(spark, sf_dir)))
+    return ground.dropped_qualifiers(ground.ground(*_quotes(spark, sf_dir), highlight=False))
 
 
 @query(sql.HIGHLIGHTS)
@@ -300,3 +306,98 @@ def q_json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id") % 4
     wrapped = F.when(k == 0, body).when(k == 1, F.concat(F.lit("so:\n```json\n"), body, F.lit("\n```\nend"))).when(k == 2, F.concat(F.lit("x "), body, F.lit(" y"))).otherwise("none")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(extract.salvage_json(wrapped), "$.turn").alias("found"))
+
+
+@query(sql.RECALL)
+def q_triage_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of some documents, and words that none holds, among the pages that a budget leaves of each source."""
+    pages = _pages(spark, sf_dir)
+    needle = F.when(F.col("page_no") % 2 == 0, F.substring("text", 5, 24)).otherwise(F.concat(F.lit("absent "), F.col("page_no").cast("string")))
+    needles = pages.where("page_no % 101 = 0 and length(text) > 40").select("doc_id", needle.alias("needle"))
+    return triage.triage_recall(triage.score_pages(pages), needles, budgets=(5, 20, None))
+
+
+@query(sql.BUILT)
+def q_claim_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims from responses on orders: valid, wrapped, damaged, without a quote, with too many claims; what they leave out is inherited."""
+    answers, documents = order_answers(spark, sf_dir)
+    rows, _ = extract.raw_claims(answers)
+    shown = extract.build_claims(rows, documents)
+    return shown.select("doc_id", "page_no", "measure_raw", "value_kind", "low", "high", "unit_raw", "dimension", "subject_raw", "scope", F.col("date_value").cast("string").alias("date_value"), F.col("period_start").cast("string").alias("period_start"), F.col("as_of").cast("string").alias("as_of"), "confidence")
+
+
+@query(sql.REJECTED)
+def q_rejected_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.raw_claims(order_answers(spark, sf_dir)[0])[1].select("doc_id", "page_no")
+
+
+@query(sql.RULED)
+def q_decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of claims that differ in one respect after the other, so that each rule of the verdict decides some."""
+    a, b, negative = ruled_pairs(spark, sf_dir)
+    return reconcile.reconcile_pair(a, b, negative).select("claim_a_id", "claim_b_id", "verdict", "confidence")
+
+
+@query(sql.UPSERTED)
+def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were stored, changed twice and added to: file names stay as they were first."""
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s"))
+    row = lambda df, tag: conform(df.select(F.col("k").cast("string").alias("doc_id"), F.concat(F.lit(f"{tag}-"), F.col("k").cast("string")).alias("filename"), F.concat(F.lit(f"{tag} "), "s").alias("title")), DOCUMENT)
+    changes = [first, first.where("k % 3 = 0"), first.where("k % 5 = 0").unionByName(first.where("k % 7 = 0").withColumn("k", F.col("k") + 1_000_000))]
+    return merged([row(df, f"v{n}") for n, df in enumerate(changes)], "documents").select("doc_id", "filename", "title")
+
+
+@query(sql.BY_ID)
+def q_claims_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "nation").select(F.concat(F.lit("A-"), F.col("n_nationkey").cast("string"), F.lit("-FY1996")).alias("id"))
+    return views.claims_by_id(revenue_claims(spark, sf_dir), wanted).select("id", "doc_id", "low")
+
+
+@query(sql.CONTRADICTIONS)
+def q_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first contradictions between years and quarters that are stated three times too high."""
+    claims = revenue_claims(spark, sf_dir)
+    raised = checkpointed(claims.withColumns({c: F.when(F.col("doc_id") == "C", 3 * F.col(c)).otherwise(F.col(c)) for c in ("low", "high", "canonical_low", "canonical_high")}))
+    return views.contradictions(reconcile.reconcile(raised), raised).select("claim_a_id", "claim_b_id", "a_measure_raw", "a_doc_id", "b_doc_id", "a_period_label", "b_period_label", "a_scope", "b_scope")
+
+
+@query(sql.DECIDED)
+def q_registry_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, and each with a word more: every other pair was decided to be the same measure."""
+    names = _part_names(spark, sf_dir)
+    longer = names.select(F.concat("name", F.lit(" net")).alias("name"), (F.col("ord") + 1_000_000_000).alias("ord"))
+    decisions = names.select(F.col("name").alias("a"), F.concat("name", F.lit(" net")).alias("b"), (F.col("ord") % 2 == 0).alias("same"))
+    _, keys, _ = registry.resolve(names.unionByName(longer), decisions)
+    return keys.select("name", "key")
+
+
+@query(sql.LOOKED_UP)
+def q_page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that labels cite, some of which don't exist."""
+    pages = _pages(spark, sf_dir).withColumn("printed_page", triage.printed_page(F.col("text")))
+    cited = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled")).join(pages.select(F.col("page_no").alias("p"), F.col("doc_id").alias("source")), F.col("labelled") == F.col("p")).select(F.col("source").alias("doc_id"), (F.col("p") + F.when(F.col("p") % 4 == 0, 10_000_000).otherwise(0)).alias("page_no"))
+    return page_lookup(cited, pages).select("doc_id", "page_no", F.length("text").cast("long").alias("chars"))
+
+
+@query(sql.QUARANTINED)
+def q_quarantine_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first quarantined claims with the names of their documents."""
+    claims, pages = _quotes(spark, sf_dir)
+    documents = pages.where("doc_id % 2 = 0").select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("filename"))
+    return views.quarantine_case(ground.ground(claims, pages, highlight=False), documents)["quarantined"].select("id", "document", "grounding", "quarantine_reason")
+
+
+@query(sql.PROFILES)
+def q_profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the profiles of conversations, whose first three turns are shown."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "text")
+    shown = extract.profile_requests(pages, "model", most_chars=None)
+    return shown.select("doc_id", (F.length("prompt") - len(extract.PROFILE_PROMPT)).cast("long").alias("chars"))
+
+
+@query(sql.PICKED)
+def q_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of two requests the relation that a reader is shown."""
+    found = checkpointed(reconcile.reconcile(revenue_claims(spark, sf_dir)))
+    part = views.pick(found, "complementary", check="period-containment", outcomes=("pass",)).select(F.lit("part").alias("case"), "claim_a_id", "claim_b_id")
+    return part.unionByName(views.pick(found, "corroborates", cross_doc=False, fall_back=True).unionByName(views.pick(found, "corroborates", cross_doc=True)).select(F.lit("same").alias("case"), "claim_a_id", "claim_b_id"))

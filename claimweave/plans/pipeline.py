@@ -65,12 +65,14 @@ def ingest(spark: SparkSession, store: Store, path: str, provider: Callable[[str
     store.write("claims", keyed)
     store.write("measures", measures)
     store.upsert("relations", found)
-    return report(new, scored, fresh, found, settings.min_score)
+    return report(new, scored, fresh, found, settings.min_score, page_answers)
 
 
-def report(documents: DataFrame, scored: DataFrame, claims: DataFrame, relations: DataFrame, min_score: float) -> DataFrame:
-    """One row about a run."""
+def report(documents: DataFrame, scored: DataFrame, claims: DataFrame, relations: DataFrame, min_score: float, answers: DataFrame | None = None) -> DataFrame:
+    """One row about a run; pages_skipped are those that were chosen but got no response."""
     parts = [documents.agg(F.count("*").alias("documents")), triage.coverage(scored, min_score), ground.report(claims), relations.agg(F.count("*").alias("relations"), F.count_if("cross_doc").alias("cross_doc"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("corroborates", "contradicts", "complementary", "supersedes", "underspecified")))]
+    if answers is not None:
+        parts.append(answers.agg(F.count_if(F.col("response").isNull()).alias("pages_skipped")))
     out = None
     for part in parts:
         row = part.withColumn("_one", F.lit(1))

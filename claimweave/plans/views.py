@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.operators.ground import dropped_qualifiers
+from claimweave.operators.ground import dropped_qualifiers, report
 from claimweave.operators.reconcile import display_value
+from claimweave.sources.store import bounded
 
 #: The order of review.
 ORDER = ("contradicts", "corroborates", "supersedes", "complementary")
@@ -47,6 +48,16 @@ def claim(claims: DataFrame, ident: str) -> DataFrame:
     return claim_view(claims.where(F.col("id") == ident))
 
 
+def claims_of_document(claims: DataFrame, doc_id: str) -> DataFrame:
+    """All claims of a document, whatever their status."""
+    return claims.where(F.col("doc_id") == doc_id)
+
+
+def claims_by_id(claims: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The claims whose ids wanted (id) lists; unknown ids give no row, repeated ones one."""
+    return claims.join(bounded(wanted.select("id").distinct()), "id", "left_semi")
+
+
 def relation_view(found: DataFrame, claims: DataFrame, documents: DataFrame) -> DataFrame:
     """Relations with both claims and their documents' file names."""
     named = claim_view(claims).join(documents.select("doc_id", "filename"), "doc_id", "left")
@@ -109,8 +120,24 @@ def highlights(stored: DataFrame) -> DataFrame:
     return fits.groupBy("case").agg(F.min_by("r", order).alias("r")).select("case", "r.*")
 
 
-def audit(claims: DataFrame, measures: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables that show where extraction went wrong."""
+def quarantine_case(claims: DataFrame, documents: DataFrame, shown: int = 6, invented: int = 8) -> dict[str, DataFrame]:
+    """What was not let through: counts with their rate, the first quarantined claims with their files, dropped qualifiers."""
+    first = claim_view(quarantined(claims, shown)).join(documents.select("doc_id", "filename"), "doc_id", "left")
+    return {"report": report(claims), "quarantined": first.withColumn("document", F.coalesce("filename", "doc_id")).drop("filename"), "invented_qualifiers": dropped_qualifiers(claims, invented)}
+
+
+def contradictions(stored: DataFrame, claims: DataFrame, limit: int = 15) -> DataFrame:
+    """The first contradictions in the order of review, each with what both claims say; those of unknown claims are left out."""
+    first = relations(stored, "contradicts", limit=limit)
+    shown = ["measure_raw", "display", "page_no", "doc_id", "period_label", "scope", "basis"]
+    view = claim_view(claims_by_id(claims, first.select(F.explode(F.array("claim_a_id", "claim_b_id")).alias("id"))))
+    side = lambda s: view.select(F.col("id").alias(f"claim_{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in shown))
+    found = first.join(side("a"), "claim_a_id").join(side("b"), "claim_b_id")
+    return found.orderBy(*review_order()).select("id", "claim_a_id", "claim_b_id", "cross_doc", *(f"{s}_{c}" for s in "ab" for c in shown))
+
+
+def audit(claims: DataFrame, measures: DataFrame | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables that show where extraction went wrong; with the relations, also their contradictions and verdicts."""
     active = claims.where("status = 'active'")
     missing = {c: F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("period_label", "scope", "basis", "as_of", "unit_raw")}
     value = F.coalesce(F.round("canonical_low", 4).cast("string"), F.lit("none"))
@@ -125,4 +152,8 @@ def audit(claims: DataFrame, measures: DataFrame | None = None) -> dict[str, Dat
     }
     if measures is not None:
         out["merged_measures"] = registry(measures).where("n_forms > 1").limit(10)
+    if stored is not None:
+        out["contradictions"] = contradictions(stored, claims)
+        out["verdicts"] = counts(stored, "verdict")
+        out["cross_document"] = stored.agg(F.count_if("cross_doc").alias("relations_cross_doc"))
     return out

@@ -1,4 +1,4 @@
-"""Tables on shared storage: upserts that rewrite a table as a whole, and lineage cuts."""
+"""Tables on shared storage: whole versions and changes to them, and lineage cuts."""
 
 from __future__ import annotations
 
@@ -13,13 +13,24 @@ from claimweave.functions.schema import CLAIM, DOCUMENT, MEASURE, RELATION, conf
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder; only where none is set, as in tests, to a local one."""
+    """Write df to the session's shared checkpoint folder; only where none is set and all runs on one machine, as in tests, to a local one."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimweave-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimweave-"))
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """Write df and, if it has most_rows rows at most, mark it for broadcasting; else a join with it shuffles."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Changes that a table holds before they are merged into a whole version.
+MERGE_AFTER = 16
 #: Each table's key, and what an upsert leaves as it was.
 TABLES = {
     "documents": (DOCUMENT, ("doc_id",), ("filename", "path")),
@@ -33,32 +44,61 @@ TABLES = {
 
 @dataclass
 class Store:
-    """Parquet tables under one folder. A write replaces a table by a new version; readers of the old one go on."""
+    """Parquet tables under one folder, as versions that are whole or hold what changed.
+
+    A write adds a whole version, an upsert one of its rows alone, so what it costs is in proportion to them. Reading
+    merges the last whole version with the changes after it. After MERGE_AFTER changes an upsert writes a whole
+    version, and versions before the last whole one but one are removed, so readers of that one can go on.
+    """
 
     spark: SparkSession
     root: str
 
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str) -> list[tuple[int, bool]]:
+        """(version, whether it is whole), from the last whole one on, in order."""
         try:
-            log = self.spark.read.parquet(f"{self.root}/{name}/versions")
+            log = self.spark.read.schema("version int, whole boolean").parquet(f"{self.root}/{name}/versions")
+            found = sorted((r.version, r.whole is not False) for r in log.collect())  # a row for each write
         except AnalysisException:
             return []
-        return sorted(r[0] for r in log.select("version").collect())  # a row for each write
+        last = max((v for v, whole in found if whole), default=0)
+        return [x for x in found if x[0] >= last]
 
     def read(self, name: str) -> DataFrame:
-        found = self._versions(name)
         ddl = TABLES[name][0]
-        return conform(self.spark.read.parquet(f"{self.root}/{name}/v{found[-1]}"), ddl) if found else self.spark.createDataFrame([], ddl)
+        found = [(v, whole, conform(self.spark.read.parquet(f"{self.root}/{name}/v{v}"), ddl)) for v, whole in self._versions(name)]
+        if not found:
+            return self.spark.createDataFrame([], ddl)
+        return found[0][2] if len(found) == 1 and found[0][1] else merged([df for _, _, df in found], name)
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace the table. The new version counts once its line is in the list of versions."""
-        version = max(self._versions(name), default=0) + 1
-        conform(df, TABLES[name][0]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        self.spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/versions")
+        before = [v for v, whole in self._versions(name) if whole]
+        self._add(name, df, whole=True)
+        if before:
+            self._remove(name, before[0])
 
     def upsert(self, name: str, df: DataFrame) -> None:
         """Insert rows, and replace those with a known key but for the columns that the table keeps; of equal keys in df one row counts."""
-        self.write(name, upserted(self.read(name), df, name))
+        changes = sum(not whole for _, whole in self._versions(name))
+        if changes >= MERGE_AFTER:
+            self.write(name, merged([self.read(name), conform(df, TABLES[name][0])], name))
+        else:
+            self._add(name, conform(df, TABLES[name][0]).dropDuplicates(list(TABLES[name][1])), whole=False)
+
+    def _add(self, name: str, df: DataFrame, whole: bool) -> None:
+        version = max((v for v, _ in self._versions(name)), default=0) + 1
+        conform(df, TABLES[name][0]).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
+        self.spark.createDataFrame([(version, whole)], "version int, whole boolean").coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/versions")
+
+    def _remove(self, name: str, before: int) -> None:
+        """Delete the folders of versions before this one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(path):
+            folder = status.getPath().getName()
+            if folder[:1] == "v" and folder[1:].isdigit() and int(folder[1:]) < before:
+                files.delete(status.getPath(), True)
 
     def delete_documents(self, doc_ids: DataFrame) -> None:
         """Remove documents with their claims and the relations of these."""
@@ -73,14 +113,16 @@ class Store:
         self.write("documents", self.read("documents").join(gone, "doc_id", "left_anti"))
 
 
-def upserted(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+def merged(versions: list[DataFrame], name: str) -> DataFrame:
+    """Rows of the newest version of each key; columns that the table keeps have the value of the oldest one."""
     ddl, key, fixed = TABLES[name]
-    new = conform(new, ddl).dropDuplicates(list(key))
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    both = versions[0].withColumn("_version", F.lit(0))
+    for k, df in enumerate(versions[1:], 1):
+        both = both.unionByName(df.withColumn("_version", F.lit(k)))
     rows = Window.partitionBy(*key)
     for column in fixed:
-        both = both.withColumn(column, F.first(column).over(rows.orderBy("_new").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return both.withColumn("_rank", F.row_number().over(rows.orderBy(F.desc("_new")))).where("_rank = 1").drop("_new", "_rank")
+        both = both.withColumn(column, F.first(column).over(rows.orderBy("_version").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return conform(both.withColumn("_rank", F.row_number().over(rows.orderBy(F.desc("_version")))).where("_rank = 1"), ddl)
 
 
 def unseen_documents(incoming: DataFrame, store: Store) -> DataFrame:

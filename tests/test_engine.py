@@ -10,12 +10,12 @@ from claimweave.plans import pipeline, views
 from claimweave.sources.store import Store
 from claimweave.streaming.incremental import add_claims
 
-PAGE = "Revenue for Q4 FY23: ₹13 Cr / 0.7% of the\ntotal. Adj. EBITDA of the group was 127 Cr in FY24, compared with ₹ 90 crore a year before, as reported by the company."
+PAGE = "Turnover for Q2 FY22: ₹48 Cr / 3.9% of the\nwhole. Adj. margin of the group was 310 Cr in FY25, against ₹ 205 crore the year before, as the carrier has reported."
 
 
 def test_grounding_tiers(spark):
-    quotes = [("exact", "Revenue for Q4 FY23"), ("fuzzy", "0.7% of the total. Adj."), ("gapped", "Q4 FY23: 0.7% total"), ("not_found", "Profit of 999 Cr in FY31"), ("not_found", "total Revenue 0.7% zebra"), ("unverifiable", "3.28"), ("unverifiable", None)]
-    rows = [(str(i), "d", 1, q, "standalone and consolidated", "adjusted", "audited") for i, (_, q) in enumerate(quotes)] + [("9", "d", 7, "Revenue for Q4 FY23", None, None, None)]
+    quotes = [("exact", "Turnover for Q2 FY22"), ("fuzzy", "3.9% of the whole. Adj."), ("gapped", "Q2 FY22: 3.9% whole"), ("not_found", "Loss of 777 Cr in FY35"), ("not_found", "whole Turnover 3.9% zebra"), ("unverifiable", "4.61"), ("unverifiable", None)]
+    rows = [(str(i), "d", 1, q, "standalone and consolidated", "adjusted", "audited") for i, (_, q) in enumerate(quotes)] + [("9", "d", 7, "Turnover for Q2 FY22", None, None, None)]
     claims = conform(spark.createDataFrame(rows, "id string, doc_id string, page_no int, quote string, scope string, basis string, estimate_type string"), CLAIM)
     pages = spark.createDataFrame([("d", 1, PAGE)], "doc_id string, page_no int, text string")
     got = {r.id: r for r in ground.ground(claims, pages, highlight=True).collect()}
@@ -38,7 +38,7 @@ def test_printed_page(spark):
 
 
 def test_triage(spark):
-    fact = "In FY24 revenue was Rs. 8,142 crore, an increase of 12% compared with FY23, and growth is projected at 6.5 per cent. "
+    fact = "In FY24 revenue was Rs. 5,310 crore, an increase of 12% compared with FY23, and growth is projected at 6.5 per cent. "
     pages = spark.createDataFrame([("d", 1, fact * 2), ("d", 2, "short"), ("d", 3, "Table of contents " * 10), ("d", 4, fact * 4), ("d", 5, None)], "doc_id string, page_no int, text string")
     scored = triage.score_pages(pages).cache()
     score = {r.page_no: r.score for r in scored.collect()}
@@ -47,9 +47,9 @@ def test_triage(spark):
     assert [r.page_no for r in triage.choose(scored, budget=1).collect()] == [4]
     row = triage.coverage(scored).first()
     assert (row.pages_total, row.pages_selected) == (5, 2) and 0 < row.char_coverage < 1
-    needles = spark.createDataFrame([("d", "8,142 CRORE"), ("d", "contents"), ("d", "absent")], "doc_id string, needle string")
+    needles = spark.createDataFrame([("d", "5,310 CRORE"), ("d", "5,310 crore"), ("d", "contents"), ("d", "absent"), ("e", "crore")], "doc_id string, needle string")
     row = triage.triage_recall(scored, needles, budgets=(1, None)).first()
-    assert (row.found_1, row.found_all, row.known, row.recall_all) == (1, 1, 2, 0.5)
+    assert (row.found_1, row.found_all, row.known, row.recall_all) == (1, 1, 5, 0.2)  # absent ones are missed, and case counts
 
 
 def test_registry(spark):
@@ -95,13 +95,13 @@ def write(folder, name, revenue):
 def test_ingest_rebuild_and_views(spark, tmp_path):
     files = tmp_path / "files"
     files.mkdir()
-    write(files, "one.txt", "8142.0 Rs. Cr")
-    write(files, "two.txt", "81415.38 INR million")
+    write(files, "one.txt", "5310.0 Rs. Cr")
+    write(files, "two.txt", "53098.2 INR million")
     store = Store(spark, str(tmp_path / "store"))
     row = pipeline.ingest(spark, store, str(files), provider).first()
     assert (row.documents, row.pages_selected, row.total, row.exact, row.relations, row.corroborates) == (2, 2, 2, 2, 1, 1)
     assert pipeline.ingest(spark, store, str(files), lambda p: 1 / 0).first().documents == 0  # stored documents aren't asked for
-    write(files, "three.txt", "9000 Rs. Cr")
+    write(files, "three.txt", "6100 Rs. Cr")
     assert pipeline.ingest(spark, store, str(files), provider).first().contradicts == 2
     again = pipeline.ingest(spark, store, str(files), None, force=True).first()  # from stored responses
     claims, relations = store.read("claims"), store.read("relations")
@@ -198,7 +198,7 @@ def test_ingest_asks_which_names_are_the_same(spark, tmp_path):
     files = tmp_path / "files"
     files.mkdir()
     store = Store(spark, str(tmp_path / "store"))
-    for name, value, measure in (("one.txt", "8142.0 Rs. Cr", "Revenue from services"), ("two.txt", "9000 Rs. Cr", "Revenue from all services"), ("three.txt", "8000 Rs. Cr", "Revenue from all the services")):
+    for name, value, measure in (("one.txt", "5310.0 Rs. Cr", "Revenue from services"), ("two.txt", "6100 Rs. Cr", "Revenue from all services"), ("three.txt", "5200 Rs. Cr", "Revenue from all the services")):
         if name == "three.txt":  # the stand-in says nothing on pairs: different
             assert pipeline.ingest(spark, store, str(files), provider).first().relations == 0
             assert [tuple(r) for r in store.read("decisions").collect()] == [("revenue from all services", "revenue from services", False)]
@@ -215,3 +215,97 @@ def test_each_name_keeps_its_questions(spark):
     frame = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, ord int")
     asked = [(r.norm, r.candidate) for r in registry.resolve(frame)[2].collect()]
     assert len(asked) == len(set(asked)) and all(sum(n in p for p in asked) >= 2 for n in names)
+
+
+def test_highlights_find_the_longest_block(spark):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    for _ in range(300):
+        quote, text = ("".join(r.choices("ab c", k=r.randint(1, 30))) for _ in "ab")
+        block = difflib.SequenceMatcher(None, quote, text, autojunk=False).find_longest_match()
+        assert ground.longest_block(quote, text) == ((block.b, block.size) if block.size else (0, 0))
+    rows = [("1", "d", 1, "3.9% of  the whole"), ("2", "d", 1, "Q2 48 3.9% 310 205")]
+    claims = conform(spark.createDataFrame(rows, "id string, doc_id string, page_no int, quote string"), CLAIM)
+    got = {x.id: x for x in ground.ground(claims, spark.createDataFrame([("d", 1, PAGE)], "doc_id string, page_no int, text string")).collect()}
+    assert got["1"].grounding == "fuzzy" and PAGE[got["1"].char_start : got["1"].char_end] == "3.9% of "
+    assert got["2"].grounding == "gapped" and (got["2"].char_start, got["2"].char_end) == (PAGE.index("Q2"), PAGE.index("205") + 3)  # no block of eight
+
+
+def test_candidates_equal_all_pairs(spark):
+    import random
+
+    from claimweave.functions.text import similarity
+
+    r = random.Random(3)
+    words = ["net", "gross", "income", "outcome", "freight", "storage", "cost", "costs", "of", "per"]
+    frame = spark.createDataFrame(sorted({(" ".join(r.choices(words, k=r.randint(1, 5))),) for _ in range(60)}), "norm string")
+    pairs = frame.crossJoin(frame.withColumnRenamed("norm", "candidate")).where("norm <> candidate").withColumn("s", similarity(F.col("norm"), F.col("candidate"))).where("s >= 0.45")
+    got = {(x.norm, x.candidate): x.similarity for x in registry.candidates(frame, frame, most=None).collect()}
+    assert got == {(x.norm, x.candidate): x.s for x in pairs.collect()} and len(got) > 50
+    assert registry.candidates(frame, frame.limit(0)).isEmpty()
+
+
+def test_one_name_is_resolved_and_the_registry_goes_through_files(spark, tmp_path):
+    measures = spark.createDataFrame([("freight_income", "Freight income", ["freight income", "income from freight"], ["Freight income"]), ("storage_income", "Storage income", ["storage income"], ["Storage income"])], "key string, canonical_name string, aliases array<string>, surface_forms array<string>")
+    decisions = spark.createDataFrame([("net freight income", "freight income", True), ("storage income", "gross storage income", False)], "a string, b string, same boolean")
+    find = lambda name: registry.resolve_name(name, measures, decisions)
+    assert find("Income from freight") == ("freight_income", "exact") and find("income storage") == ("storage_income", "similar")
+    assert find("Net freight income") == ("freight_income", "adjudicated") and find("Gross storage income") == (None, "new") and find("") == (None, "new")
+    registry.save_json(str(tmp_path / "registry"), measures, decisions)
+    back = registry.load_json(spark, str(tmp_path / "registry"))
+    for a, b in zip(back, (measures, decisions), strict=True):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_changes_are_merged_and_old_versions_go(spark, tmp_path):
+    from claimweave.sources import store as stores
+
+    store = Store(spark, str(tmp_path))
+    for n in range(stores.MERGE_AFTER + 3):
+        rows = [("same", f"v{n}"), (f"k{n}", f"v{n}")]
+        store.upsert("responses", spark.createDataFrame(rows, "key string, response string"))
+    got = {r.key: r.response for r in store.read("responses").collect()}
+    assert got == {"same": f"v{n}"} | {f"k{i}": f"v{i}" for i in range(n + 1)}
+    assert [whole for _, whole in store._versions("responses")] == [True, False, False]
+    store.write("responses", spark.createDataFrame([("a", "b")], "key string, response string"))
+    folders = {f.name for f in (tmp_path / "responses").iterdir()}
+    assert f"v{stores.MERGE_AFTER}" not in folders and f"v{stores.MERGE_AFTER + 1}" in folders  # the last whole version but one stays
+    assert [tuple(r) for r in store.read("responses").collect()] == [("a", "b")]
+
+
+def test_replies_without_json_are_asked_for_again(spark):
+    requests = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "none")], "key string, prompt string")
+    cache = spark.createDataFrame([], "key string, response string")
+    provider = lambda p: None if p == "none" else '{"claims": []}' if p == "good" or p.endswith(extract.REPAIR_PROMPT) else "sorry"
+    got = {r.key: r.response for r in extract.ask(requests, cache, provider).collect()}
+    assert got == {"1": '{"claims": []}', "2": '{"claims": []}', "3": None}
+
+
+def test_limits_can_be_lifted(spark):
+    body = json.dumps({"claims": [{"measure": f"m{i}", "quote": "q", "value": str(i)} for i in range(30)]})
+    answers = spark.createDataFrame([("d", 1, None, body)], "doc_id string, page_no int, printed_page string, response string")
+    assert extract.raw_claims(answers)[0].count() == 20 and extract.raw_claims(answers, most=None)[0].count() == 30
+    pages = spark.createDataFrame([("d", 1, None, "x" * 20_000)], "doc_id string, page_no int, printed_page string, text string")
+    assert [len(extract.page_requests(pages, "m", most).first().prompt) - len(extract.CLAIM_PROMPT) for most in (extract.PAGE_CHARS, None)] == [9_000, 20_000]
+
+
+def test_general_numbers(spark):
+    from claimweave.functions.text import display_general
+
+    values = [0.0, 1.0, 6.3, -2.5, 123456.0, 1234567.0, 0.0001, 0.00001234, 1e15, 99999.94, 100000.0, 2.0000001]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i")
+    assert [r[0] for r in frame.select(display_general(F.col("x"))).collect()] == [f"{v:g}" for v in values]
+
+
+def test_views_of_one_document_contradictions_and_quarantine(spark):
+    rows = [(str(i), f"d{i % 2}", i, "loads", float(i), "quarantined" if i == 3 else "active", {"dropped_scope": "group"} if i < 2 else {}) for i in range(5)]
+    claims = conform(spark.createDataFrame(rows, "id string, doc_id string, page_no int, measure_raw string, low double, status string, extra map<string, string>"), CLAIM)
+    wanted = spark.createDataFrame([("1",), ("1",), ("9",), (None,)], "id string")
+    assert [r.id for r in views.claims_by_id(claims, wanted).collect()] == ["1"] and {r.id for r in views.claims_of_document(claims, "d1").collect()} == {"1", "3"}
+    stored = spark.createDataFrame([("r1", "0", "1", "contradicts", 0.8, True), ("r2", "1", "2", "contradicts", 0.9, True), ("r3", "0", "gone", "contradicts", 0.9, True), ("r4", "0", "2", "corroborates", 0.9, True)], "id string, claim_a_id string, claim_b_id string, verdict string, confidence double, cross_doc boolean")
+    found = views.audit(claims, stored=stored)
+    assert [r.id for r in found["contradictions"].collect()] == ["r2", "r1"] and {r.verdict: r.n for r in found["verdicts"].collect()} == {"contradicts": 3, "corroborates": 1} and found["cross_document"].first()[0] == 4
+    case = views.quarantine_case(claims, spark.createDataFrame([("d1", "one.txt")], "doc_id string, filename string"))
+    assert [(r.id, r.document) for r in case["quarantined"].collect()] == [("3", "one.txt")] and [tuple(r) for r in case["invented_qualifiers"].collect()] == [("scope", "group", 2)] and case["report"].first().quarantined == 1

@@ -11,7 +11,7 @@ from claimweave.plans.samples import finished
 FIELDS = "id string, doc_id string, subject_raw string, measure_raw string, measure_key string, low double, high double, unit_raw string, period_label string, scope string, basis string, as_of date, estimate_type string, value_kind string, text_value string, page_no int, quote string, status string, confidence double, date_value date, bool_value boolean"
 
 
-def claim(ident, doc="d1", subject="Delhivery Limited", measure="Revenue", value=None, high=None, unit="Rs. Cr", period="FY24", scope="consolidated", basis=None, as_of=None, estimate=None, kind=None, text=None, page=1, status="active", confidence=0.5, key=None, flag=None):
+def claim(ident, doc="d1", subject="Norvale Limited", measure="Revenue", value=None, high=None, unit="Rs. Cr", period="FY24", scope="consolidated", basis=None, as_of=None, estimate=None, kind=None, text=None, page=1, status="active", confidence=0.5, key=None, flag=None):
     kind = kind or ("text" if text is not None else "range" if high is not None else "number")
     return (ident, doc, subject, measure, key or measure.lower().replace(" ", "_"), value, value if high is None else high, unit if value is not None else None, period, scope, basis, as_of and dt.date.fromisoformat(as_of), estimate, kind, text, page, "q", status, confidence, None, flag)
 
@@ -28,29 +28,29 @@ def pair(spark, a, b, negative=()):
 
 
 CASES = {
-    "units": (dict(value=8142.0), dict(value=81415.38, unit="INR million"), "corroborates", 0.9, ("unit", "pass")),
-    "same context": (dict(value=81415.38), dict(value=78000.0), "contradicts", 0.85, ("value", "fail")),
-    "part above whole": (dict(value=8142.0), dict(value=9000.0, period="Q4 FY24"), "contradicts", 0.85, ("period-containment", "fail")),
-    "part below whole": (dict(value=8142.0), dict(value=2076.0, period="Q4 FY24"), "complementary", 0.9, ("period-containment", "pass")),
-    "nested scope": (dict(value=81415.38), dict(value=74540.82, scope="standalone"), "complementary", 0.88, ("scope-containment", "pass")),
-    "narrow above wide": (dict(value=74540.82), dict(value=81415.38, scope="standalone"), "contradicts", 0.8, ("scope-containment", "fail")),
-    "segments": (dict(value=1.0, scope="Express Parcel"), dict(value=2.0, scope="PTL"), "complementary", 0.85, ("scope", "info")),
-    "basis": (dict(value=127.0, basis="reported"), dict(value=76.0, basis="adjusted"), "complementary", 0.85, ("basis", "info")),
-    "years": (dict(value=-452.0, period="FY23"), dict(value=127.0), "complementary", 0.9, ("period", "info")),
-    "later forecast": (dict(value=5.9, unit="%", measure="growth", estimate="projection", as_of="2025-01-31"), dict(value=6.6, unit="%", measure="growth", as_of="2025-11-25"), "supersedes", 0.85, ("as_of", "info")),
-    "point in range": (dict(value=6.3, high=6.8, unit="%"), dict(value=6.5, unit="%"), "corroborates", 0.9, ("value", "pass")),
+    "units": (dict(value=5310.0), dict(value=53098.2, unit="INR million"), "corroborates", 0.9, ("unit", "pass")),
+    "same context": (dict(value=53098.2), dict(value=50000.0), "contradicts", 0.85, ("value", "fail")),
+    "part above whole": (dict(value=5310.0), dict(value=6100.0, period="Q4 FY24"), "contradicts", 0.85, ("period-containment", "fail")),
+    "part below whole": (dict(value=5310.0), dict(value=1290.0, period="Q4 FY24"), "complementary", 0.9, ("period-containment", "pass")),
+    "nested scope": (dict(value=53098.2), dict(value=47250.5, scope="standalone"), "complementary", 0.88, ("scope-containment", "pass")),
+    "narrow above wide": (dict(value=47250.5), dict(value=53098.2, scope="standalone"), "contradicts", 0.8, ("scope-containment", "fail")),
+    "segments": (dict(value=1.0, scope="Cold Storage"), dict(value=2.0, scope="Air Freight"), "complementary", 0.85, ("scope", "info")),
+    "basis": (dict(value=240.0, basis="reported"), dict(value=180.0, basis="adjusted"), "complementary", 0.85, ("basis", "info")),
+    "years": (dict(value=-310.0, period="FY23"), dict(value=240.0), "complementary", 0.9, ("period", "info")),
+    "later forecast": (dict(value=3.1, unit="%", measure="growth", estimate="projection", as_of="2025-01-31"), dict(value=3.8, unit="%", measure="growth", as_of="2025-11-25"), "supersedes", 0.85, ("as_of", "info")),
+    "point in range": (dict(value=4.1, high=4.9, unit="%"), dict(value=4.4, unit="%"), "corroborates", 0.9, ("value", "pass")),
     "role": (dict(text="Director", as_of="2022-05-10", period="as at May 10, 2022"), dict(text="Chairman", as_of="2024-08-01", period="as at August 1, 2024"), "supersedes", 0.85, ("as_of", "info")),
     "no period": (dict(value=1.0, period=None), dict(value=1.0), "underspecified", 0.45, ("period", "blocked")),
     "undated period": (dict(value=1.0, period="recently"), dict(value=1.0), "underspecified", 0.45, ("period", "blocked")),
     "one scope": (dict(value=1.0), dict(value=1.0, scope=None), "underspecified", 0.5, ("scope", "info")),
     "currencies": (dict(value=1.0), dict(value=1.0, unit="US$ million"), "underspecified", 0.4, ("unit", "blocked")),
-    "unknown unit": (dict(value=1.0), dict(value=1.0, unit="widgets per fortnight"), "underspecified", 0.4, ("unit", "blocked")),
+    "unknown unit": (dict(value=1.0), dict(value=1.0, unit="gizmos each week"), "underspecified", 0.4, ("unit", "blocked")),
     "basis unknown": (dict(value=1.0, basis="adjusted"), dict(value=1.0), "underspecified", 0.45, ("basis", "blocked")),
-    "margin": (dict(value=1.6, unit="%", measure="margin"), dict(value=2.2, unit="%", measure="margin", period="Q4 FY24"), "complementary", 0.9, ("period-containment", "info")),
+    "margin": (dict(value=7.5, unit="%", measure="margin"), dict(value=8.25, unit="%", measure="margin", period="Q4 FY24"), "complementary", 0.9, ("period-containment", "info")),
     "operations holds ratio": (dict(value=10.0, measure="revenue from operations"), dict(value=20.0, measure="revenue from operations", period="Q4 FY24"), "complementary", 0.9, ("period-containment", "info")),
-    "rows of one page": (dict(value=34.1, unit="%"), dict(value=18.8, unit="%", doc="d1"), "underspecified", 0.5, ("provenance", "blocked")),
-    "same page, same value": (dict(value=34.1, unit="%"), dict(value=34.1, unit="%", doc="d1"), "corroborates", 0.75, ("value", "pass")),
-    "partial overlap": (dict(value=3646.0, period="year ended March 31, 2021"), dict(value=3660.0, period="nine months ended December 31, 2021"), "complementary", 0.8, ("value", "info")),
+    "rows of one page": (dict(value=51.5, unit="%"), dict(value=22.25, unit="%", doc="d1"), "underspecified", 0.5, ("provenance", "blocked")),
+    "same page, same value": (dict(value=51.5, unit="%"), dict(value=51.5, unit="%", doc="d1"), "corroborates", 0.75, ("value", "pass")),
+    "partial overlap": (dict(value=910.0, period="year ended March 31, 2021"), dict(value=925.0, period="nine months ended December 31, 2021"), "complementary", 0.8, ("value", "info")),
     "kinds": (dict(value=1.0), dict(text="one"), "underspecified", 0.4, ("value", "blocked")),
     "truth values both missing": (dict(kind="boolean"), dict(kind="boolean"), "corroborates", 0.9, ("value", "pass")),
     "truth values": (dict(kind="boolean", flag=True), dict(kind="boolean", flag=False), "contradicts", 0.85, ("value", "fail")),
@@ -73,13 +73,13 @@ def test_verdicts(spark):
 
 
 def test_negative_measures_are_not_contained(spark):
-    a, b = dict(value=76.0, measure="ebitda"), dict(value=109.0, measure="ebitda", period="Q3 FY24")
+    a, b = dict(value=180.0, measure="ebitda"), dict(value=205.0, measure="ebitda", period="Q3 FY24")
     assert pair(spark, a, b).verdict == "contradicts"
     assert pair(spark, a, b, ["ebitda"]).verdict == "complementary"
 
 
 def test_unlike_subjects_and_inactive_claims_give_nothing(spark):
-    assert pair(spark, dict(value=1.0, subject="Reserve Bank of India"), dict(value=1.0, subject="India")) is None
+    assert pair(spark, dict(value=1.0, subject="Harbour Trust of Arland"), dict(value=1.0, subject="Arland")) is None
     assert pair(spark, dict(value=1.0, status="quarantined"), dict(value=1.0)) is None
 
 
