@@ -27,7 +27,7 @@ from claimweave.llm.lexicon import Lexicon, compile_lexicon
 #: Words in the lexicon.
 WORDS = 131_072
 #: Distinct pieces that a task counts before it passes them on; entries and characters of an entry that a worker remembers.
-COUNTED, REMEMBERED, SHORT = 300_000, 60_000, 32
+COUNTED, REMEMBERED, SHORT = 300_000, 200_000, 32
 #: Marks that form one word with each other, and none with letters before them.
 MARKS = ".,;:!?%#*$&|"
 #: White space beside white space; elsewhere each space starts a pre-token and each line break is one.
@@ -196,12 +196,15 @@ class Remembered(dict):
         found = self.old.get(text)
         if found is None:
             found = self.make(text)
+        self.keep(text, found)
+        return found
+
+    def keep(self, text: str, found: bytes) -> None:
         if len(text) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.old = self.copy()
                 self.clear()
             self[text] = found
-        return found
 
 
 class Ids:
@@ -212,6 +215,13 @@ class Ids:
         self.words = Remembered(self.word)
         self.first, self.later = Remembered(lambda piece: self.piece("", piece)), Remembered(lambda piece: self.piece(" ", piece))
 
+    def learn(self, memory: Remembered, lead: str, pieces: set[str]) -> None:
+        """Remember those of a batch's pieces that are letters alone: they are looked up together."""
+        new = [p for p in pieces if p.isalpha() and p not in memory and p not in memory.old and len(p) <= SHORT]
+        words = [(lead + p).encode() for p in new]
+        for piece, word, found in zip(new, words, self.known.get_all(words), strict=True):
+            memory.keep(piece, found or array("I", self.own.merge(word)).tobytes())
+
     def word(self, word: str) -> bytes:
         raw = word.encode()
         return self.known.get(raw) or array("I", self.own.merge(raw)).tobytes()
@@ -239,19 +249,23 @@ def _encoder(lexicon: Broadcast, path: str, pattern: str, names: list[str]):
         memory = _memory(path, pattern, lexicon.value)
         first, later = memory.first, memory.later
 
-        def ids(text: str) -> bytes:
-            if (found := lines_of_pieces(text)) is None:
+        def ids(text: str, found: list[list[str]] | None) -> bytes:
+            if found is None:
                 return b"".join(map(memory.words.__getitem__, own.words(text)))
             return first["\n"].join([first[line[0]] + b"".join(map(later.__getitem__, line[1:])) for line in found])
 
         for batch in small(batches):
-            rows = []
-            for value in batch.column(1):
-                text, parts, at = value.as_py() or "", [], 0
+            split = []  # each row's parts: texts with their lines, and special strings between them
+            for text in batch.column(1).to_pylist():
+                text, parts, at = text or "", [], 0
                 for m in own.any_special.finditer(text):
-                    parts += [ids(text[at : m.start()]), array("I", [own.special[m[0]]]).tobytes()]
+                    parts += [(text[at : m.start()], None), (m[0], own.special[m[0]])]
                     at = m.end()
-                rows.append(b"".join([*parts, ids(text[at:])]))
+                split.append([(t, i, lines_of_pieces(t) if i is None else None) for t, i in [*parts, (text[at:], None)]])
+            lines = [line for parts in split for _, _, found in parts for line in found or ()]
+            memory.learn(first, "", {line[0] for line in lines})
+            memory.learn(later, " ", set().union(*(line[1:] for line in lines)))
+            rows = [b"".join([ids(t, found) if i is None else array("I", [i]).tobytes() for t, i, found in parts]) for parts in split]
             offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
             flat = pa.array(np.frombuffer(b"".join(rows), "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names[:2])

@@ -95,6 +95,12 @@ class Lexicon:
         whole = memoryview(self.map)
         self.first, self.targets, self.skips, self.starts = (whole[p : p + n].cast("I") for n, p in zip(sizes[:4], at, strict=False))
         self.ids, self.final, self.labels = at[4:]
+        # Arcs as sorted numbers of state and byte, and views of the mapped tables, for many words at a time.
+        views = [np.frombuffer(x, "<u4") for x in (self.first, self.targets, self.skips)]
+        self._first, self._targets, self._skips = views
+        n, arcs = len(self._first) - 1, len(self._targets)
+        self._final = np.frombuffer(whole, np.uint8, n, self.final)
+        self._arcs = np.repeat(np.arange(n), np.diff(self._first.astype(np.int64))) << 8 | np.frombuffer(whole, np.uint8, arcs, self.labels)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -111,7 +117,31 @@ class Lexicon:
             state = targets[arc]
         return rank if self.map[self.final + state] else -1
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """number() of each word, byte by byte for all words together."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        flat, start = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size) - size
+        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live = np.arange(len(words))
+        for p in range(int(size.max(initial=0))):
+            live = live[size[live] != p] if p else live[size[live] > 0]
+            wanted = state[live] << 8 | flat[start[live] + p]
+            arc = np.minimum(np.searchsorted(self._arcs, wanted), max(0, len(self._arcs) - 1))
+            there = self._arcs[arc] == wanted if len(self._arcs) else np.zeros(len(live), bool)
+            rank[live[~there]] = -1
+            state[live[~there]] = -1
+            live, arc = live[there], arc[there]
+            rank[live] += self._skips[arc]
+            state[live] = self._targets[arc]
+        return np.where((state >= 0) & (self._final[state] > 0), rank, -1)
+
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None."""
-        k = self.number(word)
+        return self._ids(self.number(word))
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """get() of each word."""
+        return [self._ids(k) for k in self.numbers(words).tolist()]
+
+    def _ids(self, k: int) -> bytes | None:
         return None if k < 0 else self.map[self.ids + 4 * self.starts[k] : self.ids + 4 * self.starts[k + 1]]

@@ -83,12 +83,14 @@ def test_lexicon_finds_its_words_alone_and_shares_ends():
     buffer = compile_lexicon(words.items())
     found = Lexicon(buffer)
     assert len(found) == len(words) and [found.number(w) for w in sorted(words)] == list(range(len(words)))
+    asked = [*words, b"", b"z", b"abcabcabcabc", b"ingx", b"a", *(w[:-1] for w in words)]
+    assert found.numbers(asked).tolist() == [found.number(w) for w in asked] and found.get_all(asked) == [found.get(w) for w in asked]
     for w, ids in words.items():
         assert found.get(w) == b"".join(i.to_bytes(4, "little") for i in ids)
     for w in (b"", b"z", b"abcabcabcabc", b"ingx"):
         assert w in words or found.get(w) is None
     assert len(compile_lexicon([(b"walking", (1,)), (b"talking", (2,))])) < len(compile_lexicon([(b"walking", (1,)), (b"talkers", (2,))]))
-    assert Lexicon(compile_lexicon([])).get(b"a") is None
+    assert Lexicon(compile_lexicon([])).get(b"a") is None and Lexicon(compile_lexicon([])).get_all([b"a", b""]) == [None, None] and found.get_all([]) == []
 
 
 def test_long_words_merge_alike():
