@@ -59,6 +59,11 @@ class Codec:
         self.rank: dict[int, int] = {}  # of pairs of ids, the first in the upper half
         for k, (a, b) in enumerate(pairs):
             self.rank.setdefault(vocab[a] << 32 | vocab[b], k)
+        pair = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pair)
+        self._pairs, self._ranks = pair[order], np.fromiter(self.rank.values(), np.int64, len(pair))[order]
+        self._bytes, self._new = np.array(self.of_byte, dtype=np.int64), np.array(self.new, dtype=np.int64)
+        self._alike = len(set(self.new)) == len(self.new)  # each token comes from one merge, so its own merges come later
 
     def merge(self, word: bytes) -> list[int]:
         """Apply the merges of lowest rank first, of equal ones the leftmost."""
@@ -77,6 +82,50 @@ class Codec:
                 ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """merge() of each word, as little-endian 32-bit integers: in each round the best pair of each word, for all words together.
+
+        All places of a word's best pair are merged at once, from the left and without overlaps, as pairs with the
+        token that this makes rank behind it.
+        """
+        if not self._alike:
+            return [array("I", self.merge(w)).tobytes() for w in words]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids, owner = self._bytes[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), size)
+        none, out = len(self.new), [b""] * len(words)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """The rank of the pair that begins at each place; none at a word's last token."""
+            inside = (at + 1 < len(ids)) & (owner[np.minimum(at + 1, len(ids) - 1)] == owner[at])
+            wanted = ids[at] << 32 | ids[np.minimum(at + 1, len(ids) - 1)]
+            place = np.minimum(np.searchsorted(self._pairs, wanted), len(self._pairs) - 1)
+            return np.where(inside & (self._pairs[place] == wanted), self._ranks[place], none)
+
+        rank = ranks(np.arange(len(ids))) if len(ids) and len(self._pairs) else np.full(len(ids), none)
+        while len(ids):
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.r_[start, len(ids)]))
+            if (done := least == none).any():
+                ended = ids[done].astype("<u4").tobytes()
+                word, first = np.unique(owner[done], return_index=True)
+                for w, a, b in zip(word.tolist(), first.tolist(), [*first[1:].tolist(), len(ended) // 4], strict=True):
+                    out[w] = ended[4 * a : 4 * b]
+                ids, owner, rank, least = ids[~done], owner[~done], rank[~done], least[~done]
+                if not len(ids):
+                    break
+            best = rank == least
+            run = np.arange(len(ids)) - np.maximum.accumulate(np.where(best, -1, np.arange(len(ids))))  # place in a run of such pairs, from 1
+            at = np.flatnonzero(best & (run % 2 == 1))
+            ids[at] = self._new[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            moved = np.cumsum(stay) - 1
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            changed = moved[at]
+            changed = np.unique(np.r_[changed, np.maximum(changed - 1, 0)])
+            rank[changed] = ranks(changed)
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs and a linked list, for words in which each search would take long."""
         import heapq
@@ -219,8 +268,10 @@ class Ids:
         """Remember those of a batch's pieces that are letters alone: they are looked up together."""
         new = [p for p in pieces if p.isalpha() and p not in memory and p not in memory.old and len(p) <= SHORT]
         words = [(lead + p).encode() for p in new]
-        for piece, word, found in zip(new, words, self.known.get_all(words), strict=True):
-            memory.keep(piece, found or array("I", self.own.merge(word)).tobytes())
+        found = self.known.get_all(words)
+        merged = iter(self.own.merge_all([w for w, ids in zip(words, found, strict=True) if not ids]))
+        for piece, ids in zip(new, found, strict=True):
+            memory.keep(piece, ids or next(merged))
 
     def word(self, word: str) -> bytes:
         raw = word.encode()
@@ -305,7 +356,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 
 
 def round_trip(docs: DataFrame, lexicon: bytes, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """decode(encode(docs)) by one Python worker: (id_col, ids, text)."""
+    """decode(encode(docs)) by one Python worker: (id_col, ids, text), under the rules of encode() and decode()."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     names = [id_col, "ids", "text"]
     there, back = _encoder(shared, path, pattern, names), _decoder(path, pattern, names)
@@ -314,10 +365,16 @@ def round_trip(docs: DataFrame, lexicon: bytes, path: str, pattern: str, id_col:
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256), a row for each row; null ids lists and texts have null digests, null ids stay."""
     return decoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def encode_and_decode(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """digests() of the round trip of docs (doc_id, text) with a lexicon of their own words.
+
+    A null text counts as empty; very long texts are encoded whole; null ids and repeated rows stay; an empty table
+    gives no rows; other columns aren't read. The lexicon only saves work: no id depends on its words.
+    """
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN

@@ -58,8 +58,8 @@ def leaf_quotas(leaves: DataFrame, levels: list[str], weights: DataFrame, budget
     above = None
     for k, name in enumerate(levels):
         nodes = can.groupBy(*levels[: k + 1]).agg(F.sum("can").alias("can"))
-        own = weights.where(F.col("level") == name).select(F.col("node").alias("w_node"), F.col("weight").cast("long").alias("w"))
-        weighed = nodes.join(F.broadcast(own), nodes[name].cast("string") == own["w_node"], "left").withColumn("weight", F.coalesce("w", F.lit(1))).drop("w", "w_node")
+        own = bounded(cut(weights.where(F.col("level") == name).select(F.col("node").alias("w_node"), F.col("weight").cast("long").alias("w"))), 200_000)
+        weighed = nodes.join(own, nodes[name].cast("string") == own["w_node"], "left").withColumn("weight", F.coalesce("w", F.lit(1))).drop("w", "w_node")
         found = weighed.join(above, _on(weighed, above, levels[:k])).withColumnRenamed("r_budget", "budget") if k else weighed.withColumn("budget", F.lit(total).cast("long"))
         dealt = deal(found.select(*levels[: k + 1], "can", "weight", "budget"), levels[:k], name)
         above = _named(dealt.select(*levels[: k + 1], F.col("quota").alias("r_budget")), levels[: k + 1])

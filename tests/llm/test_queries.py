@@ -52,6 +52,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[5].where(F.col("n_tokens") <= 0).isEmpty()
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in all columns, empty, blank and very long texts, repeated rows and ids, clashing columns, and an empty table."""
+    plain = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(plain)] + [(0, plain[0], "en", "src0", 1), (1, plain[2], "en", "src1", 1), (None, plain[3], None, None, None), (None, plain[3], None, None, None), (50, None, "en", "src1", 0), (51, "", "en", "src1", 0), (52, " \n", None, "src1", 2), (53, " ".join(f"long{i}" for i in range(150_000)), "en", "src2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, dropped long, rejected_host string, row string, tokens long, component string, mark long"
+    docs = spark.createDataFrame([(*r, 1, "h", "r", 2, "c", 3) for r in rows], schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    counts, now = [], docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        now = spark.read.parquet(str(tmp_path / str(k)))
+        assert now.columns == docs.columns or k == len(corpus_pipeline.STAGES) - 1
+        counts.append(now.count())
+        if k == 2:
+            kept = [(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()]
+            assert sorted(kept) == sorted([(1 if i == 2 else i, t) for i, t in enumerate(plain)] + [(53, rows[-1][1])])
+    assert counts[:3] == [45, 45, 41] and counts[3] == counts[4] > 0
+    assert corpus_pipeline.bpe_tokens(spark, docs.where("doc_id = 53"), "").first().n_tokens > 150_000
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).isEmpty()
+
+
 def test_the_rest_imports_without_this_subpackage():
     code = "import sys; sys.modules['claimweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q), q"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0])

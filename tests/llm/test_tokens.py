@@ -99,3 +99,10 @@ def test_long_words_merge_alike():
     for _ in range(20):
         word = "".join(r.choices("thein", k=r.randint(150, 199))).encode()
         assert own.merge(word) == own._merge_long([own.of_byte[b] for b in word])
+
+
+def test_words_merge_alike_together():
+    own = bpe_codec.codec(JSON, PATTERN)
+    r = random.Random(4)
+    words = ["".join(r.choices(r.choice(["the ing", "aaaab", "aé中 1.", "etaoinshrdlu"]), k=r.randint(1, 40))).encode() for _ in range(3000)] + [b"a" * k for k in range(1, 40)]
+    assert own._alike and own.merge_all(words) == [b"".join(i.to_bytes(4, "little") for i in own.merge(w)) for w in words] and own.merge_all([]) == []
