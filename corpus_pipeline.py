@@ -10,12 +10,20 @@ from claimweave.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rule or whose host is rejected."""
+    """Drop documents that fail the base rule or whose host is rejected.
+
+    Null, empty and blank texts have no words and go; a null source has no host verdict; repeated rows are judged
+    alike; a rate that equals the limit keeps its host. All columns stay, whatever their names; no rows give no rows.
+    """
     return host_rules.keep_good(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the co-trained classifiers reject."""
+    """Drop documents that the co-trained classifiers reject.
+
+    Nulls in text or metadata are values like others; repeated rows get the same verdict; a score that equals the
+    limit keeps its document. Without held-out labels of both classes all stay. All columns stay; no rows give no rows.
+    """
     return co_training.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,13 +37,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its leaf's budget says: a row for each epoch that it is in."""
+    """Take each document as often as its leaf's budget says: a row for each epoch that it is in.
+
+    Null sources and languages are leaves of their own; null texts have no tokens and go with the prefix they stand in;
+    rows of one leaf with one id, null ids too, are taken together, so ties don't matter. All columns stay.
+    """
     taken = source_mixing.mix_documents(spark, docs)
     return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode each text and decode it again: token counts and digests."""
+    """Encode each text and decode it again: (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row.
+
+    A null text counts as empty, very long ones are encoded whole; null and repeated ids stay; no rows give no rows.
+    """
     return bpe_codec.encode_and_decode(docs)
 
 
