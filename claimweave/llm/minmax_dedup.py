@@ -178,7 +178,7 @@ class Texts:
         return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node) to (node, hashes): the whole set."""
+        """(node) to (node, hashes, map): the whole set, and its bitmap as numbers."""
         shingle = self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,28 +186,33 @@ class Texts:
             for batch in batches:
                 found = [own.shingles(v.as_py()).view(np.int64) for v in batch.column("text")]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "hashes"])
+                maps = pa.array([np.frombuffer(_bitmap(f.view(np.uint64)), np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists, maps], ["node", "hashes", "map"])
 
-        return self.of(wanted).mapInArrow(run, "node long, hashes array<long>")
+        return self.of(wanted).mapInArrow(run, "node long, hashes array<long>, map array<long>")
 
 
 def rare_pairs(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be links, by the rarest shingles of each set.
 
-    sets: (node, hashes); sizes: (node, n, component). Shingles are ordered by their frequency. Two sets are similar
+    sets: (node, hashes, map); sizes: (node, n, component). Shingles are ordered by their frequency. Two sets are similar
     enough only if they share one of the first n - percent * n / 100 + 1 shingles of each, and if from the first that
     they share on both have as many as they need. What all members of a bucket share, such as a common passage, comes
-    last in the order, so no pairs come from it.
+    last in the order, so no pairs come from it. Bitmaps of one length are compared inside the join, so that of a group
+    in which all share rare shingles, few pairs leave it that are no links.
     """
     flat = sets.select("node", F.explode("hashes").alias("h"))
     often = flat.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
-    shared = flat.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(sizes, "node")
+    shared = flat.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(sizes, "node").join(sets.select("node", "map"), "node")
     alone = F.col("n") - F.size("shared")  # shingles of this set alone come first
     first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
-    prefix = shared.where(first > 0).select("node", "n", "component", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
-    side = lambda x: prefix.select(F.col("s.h").alias("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), (F.col("n") - F.col("alone") - F.col("at")).alias(f"left_{x}"))
+    prefix = shared.where(first > 0).select("node", "n", "component", "map", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
+    side = lambda x: prefix.select(F.col("s.h").alias("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("map").alias(f"map_{x}"), (F.col("n") - F.col("alone") - F.col("at")).alias(f"left_{x}"))
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    return side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & enough).select("a", "b").distinct()
+    one_length = F.size("map_a") == F.size("map_b")
+    most = [F.col(f"n_{x}") - F.aggregate(F.zip_with(f"map_{x}", f"map_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k) for x, y in ("ab", "ba")]
+    likely = ~one_length | ((100 + percent) * F.least(*most) >= percent * (F.col("n_a") + F.col("n_b")))
+    return side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & enough & likely).select("a", "b").distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
