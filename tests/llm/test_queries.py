@@ -11,7 +11,7 @@ import corpus_pipeline
 from claimweave.llm import registry
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "pages", "conversations")
+TABLES = ("documents", "labels", "pages", "conversations", "benchmark", "embeddings")
 
 
 def rows(frame):
