@@ -145,74 +145,102 @@ class Texts:
         return found.select("node", "text").dropDuplicates(["node"])
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes without those that the bitmaps rule out: most that are no links, and no link."""
+        """Written pairs (a, b) of classes without those that the bitmaps rule out: most that are no links, and no link."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        maps = self.classes.join(wanted, "node", "left_semi").select("node", F.struct("n", "bits").alias("value"))
         percent = self.percent
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))
-                keep = [_may_link(*row, percent) for row in zip(*columns, strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long"))
+        return by_hub(pairs, maps, lambda: lambda v: (v["n"], v["bits"]), lambda x, y: _may_link(x[1], y[1], x[0], y[0], percent))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of written pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union."""
         shingle, percent = self.shingle, self.percent
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, last, kept = Shingler(shingle), None, None
-            for batch in batches:
-                keep = []
-                for i, a in enumerate(batch.column("a").to_pylist()):
-                    if a != last:  # rows of one bucket member come together
-                        last, kept = a, own.shingles(batch.column("text_a")[i].as_py())
-                    other = own.shingles(batch.column("text_b")[i].as_py())
-                    both = len(np.intersect1d(kept, other, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(kept) + len(other) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def linked(one: np.ndarray, other: np.ndarray) -> bool:
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            return 100 * both >= percent * (len(one) + len(other) - both)
 
         texts = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+        return by_hub(pairs, texts.select("node", F.col("text").alias("value")), lambda: Shingler(shingle).shingles, linked)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node) to (node, hashes, map): the whole set, and its bitmap as numbers."""
+        """(node) to (node, hashes, s0, ...): the whole set, and its sketch."""
         shingle = self.shingle
+        names = [f"s{k}" for k in range(SKETCH)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Shingler(shingle)
             for batch in batches:
-                found = [own.shingles(v.as_py()).view(np.int64) for v in batch.column("text")]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-                maps = pa.array([np.frombuffer(_bitmap(f.view(np.uint64)), np.int64) for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), lists, maps], ["node", "hashes", "map"])
+                found = [own.shingles(v.as_py()) for v in batch.column("text")]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+                sketches = np.array([sketch(f) for f in found], np.int64).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists, *(pa.array(sketches[:, k]) for k in range(SKETCH))], ["node", "hashes", *names])
+
+        return self.of(wanted).mapInArrow(run, "node long, hashes array<long>, " + ", ".join(f"{x} long" for x in names))
+
+
+#: Neighbours of a hub that one task compares with it; members of a shingle's group in a row or column of its grid; 64-bit words of a sketch.
+NEAR, CELL, SKETCH = 200, 500, 8
+
+
+def by_hub(pairs: DataFrame, values: DataFrame, opener, fits) -> DataFrame:
+    """Of written pairs (a, b), those with fits(x, y), where opener() makes the function that turns a value into x or y.
+
+    values: (node, value). A hub's value goes once to each NEAR of its neighbours, not onto each pair's row, and tasks
+    hold one hub's at a time: rows are sorted so that it comes before its neighbours'.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, hub = opener(), None
+        for batch in batches:
+            others, values = batch.column("b").to_pylist(), batch.column("value")
+            keep = []
+            for k, b in enumerate(others):
+                own = opened(values[k].as_py())
+                if b is None:
+                    hub = own
+                keep.append(b is not None and fits(hub, own))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / NEAR).cast("int").alias("parts"))
+    hubs = parts.join(values, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = pairs.join(parts, "a").join(values, F.col("b") == F.col("node")).select("a", "b", "value", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    dealt = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    return cut(dealt.select("a", "b", "value").mapInArrow(run, "a long, b long"))
+
 
-        return self.of(wanted).mapInArrow(run, "node long, hashes array<long>, map array<long>")
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each of 64 * SKETCH bits: where two sketches differ, so do the sets."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def rare_pairs(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be links, by the rarest shingles of each set.
 
-    sets: (node, hashes, map); sizes: (node, n, component). Shingles are ordered by their frequency. Two sets are similar
-    enough only if they share one of the first n - percent * n / 100 + 1 shingles of each, and if from the first that
-    they share on both have as many as they need. What all members of a bucket share, such as a common passage, comes
-    last in the order, so no pairs come from it. Bitmaps of one length are compared inside the join, so that of a group
-    in which all share rare shingles, few pairs leave it that are no links.
+    sets: (node, hashes, s0, ...); sizes: (node, n, component). Shingles are ordered by their frequency. Two sets are
+    similar enough only if they share one of the first n - percent * n / 100 + 1 shingles of each, and if from the first
+    that they share on both have as many as they need. What all members of a bucket share, such as a common passage,
+    comes last in the order, so no pairs come from it. A shingle all of whose sets are of one component makes no pairs.
+    The group of one that many sets have first is a grid of cells of CELL by CELL sets, each a key of its own, and each
+    pair meets in one cell. Rows hold sketches of one size, by which most pairs that are no links never leave the join.
     """
     flat = sets.select("node", F.explode("hashes").alias("h"))
     often = flat.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
-    shared = flat.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(sizes, "node").join(sets.select("node", "map"), "node")
+    shared = flat.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(sizes, "node")
     alone = F.col("n") - F.size("shared")  # shingles of this set alone come first
     first = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
-    prefix = shared.where(first > 0).select("node", "n", "component", "map", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
-    side = lambda x: prefix.select(F.col("s.h").alias("h"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("map").alias(f"map_{x}"), (F.col("n") - F.col("alone") - F.col("at")).alias(f"left_{x}"))
+    prefix = shared.where(first > 0).select("node", "n", "component", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
+    prefix = cut(prefix.select(F.col("s.h").alias("h"), "node", "n", "component", (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
+    grids = prefix.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("lo <> hi").select("h", "cells")
+    words = [f"s{k}" for k in range(SKETCH)]
+    placed = prefix.join(grids, "h").join(sets.select("node", *words), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    side = lambda x, row, column: placed.select("h", row.alias("i"), column.alias("j"), *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "left", *words)))
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    one_length = F.size("map_a") == F.size("map_b")
-    most = [F.col(f"n_{x}") - F.aggregate(F.zip_with(f"map_{x}", f"map_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k) for x, y in ("ab", "ba")]
-    likely = ~one_length | ((100 + percent) * F.least(*most) >= percent * (F.col("n_a") + F.col("n_b")))
-    return side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & enough & likely).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    likely = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    met = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["h", "i", "j"])
+    return met.where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & enough & likely).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -239,7 +267,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
     texts = Texts(docs, within, shingle, percent)
 
     firsts = members.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    links = texts.links(texts.likely(firsts))
+    links = texts.links(texts.likely(cut(firsts)))
     tidy(docs.sparkSession)
     labels = _labels(links).withColumnRenamed("node", "of")
     here = members.join(labels, members["node"] == labels["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -247,7 +275,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
     sizes = cut(here.join(mixed, "key", "left_semi").select("node", "n", "component").distinct())
     if not sizes.isEmpty():
         # Each member with the least one that it may be linked with; then what that leaves apart.
-        pairs = texts.likely(rare_pairs(cut(texts.sets(sizes.select("node"))), sizes, percent))
+        pairs = texts.likely(cut(rare_pairs(cut(texts.sets(sizes.select("node"))), sizes, percent)))
         some = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         links = links.union(texts.links(some))
         tidy(docs.sparkSession)

@@ -311,13 +311,15 @@ def test_bitmaps_never_rule_out_a_link():
     assert ruled_out > 100
 
 
-def test_rare_shingles_lose_no_link(spark):
+@pytest.mark.parametrize("cell", [500, 3])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, cell):
+    monkeypatch.setattr(minmax_dedup, "CELL", cell)
     r, sets = random.Random(7), []
     for i in range(150):
-        base = sets[r.randrange(len(sets))] if sets and r.random() < 0.7 else set(range(1000, 1040)) | {r.randrange(10**9) for _ in range(r.randint(1, 30))}
-        sets.append({h if r.random() > 0.06 else r.randrange(10**9) for h in base})
-    bits = lambda s: np.frombuffer(minmax_dedup._bitmap(np.array(sorted(s), np.uint64)), np.int64).tolist()
-    rows = spark.createDataFrame([(i, sorted(s), bits(s)) for i, s in enumerate(sets)], "node long, hashes array<long>, map array<long>")
+        base = sets[r.randrange(len(sets))] if sets and r.random() < 0.7 else set(range(1000, 1040)) | {r.randrange(2**62) for _ in range(r.randint(1, 30))}
+        sets.append({h if r.random() > 0.06 else r.randrange(2**62) for h in base})
+    words = ", ".join(f"s{k} long" for k in range(minmax_dedup.SKETCH))
+    rows = spark.createDataFrame([(i, sorted(s), *minmax_dedup.sketch(np.array(sorted(s), np.uint64)).tolist()) for i, s in enumerate(sets)], f"node long, hashes array<long>, {words}")
     sizes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, n long, component long")
     got = {(x.a, x.b) for x in minmax_dedup.rare_pairs(rows, sizes, 80).collect()}
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
