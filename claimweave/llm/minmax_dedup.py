@@ -7,9 +7,9 @@ With 56 permutations and 4 rows there are 28 bands: a pair at J = 0.8 shares non
 
 Links are confirmed on full sets. Texts with equal sets are one class from the start. Classes that share a band are
 candidates, and the bands' hot buckets aren't expanded into pairs: members are compared with one member of their
-bucket, and links give them the labels of components. Members of buckets that then still hold several labels are
-compared by their rarest shingles (rare_pairs), which loses no link. So every candidate pair is either compared, or
-known to be no link, or already in one component.
+bucket, that which meets most others, and links give them the labels of their components. Members of buckets that then
+still hold several labels are compared by their rarest shingles (rare_pairs), which loses no link. So every candidate
+pair is either compared, or known to be no link, or already in one component.
 """
 
 from __future__ import annotations
@@ -154,13 +154,15 @@ class Texts:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of written pairs (a, b) of classes, those whose full sets have 100 * intersection >= percent * union."""
         shingle, percent = self.shingle, self.percent
-
-        def linked(one: np.ndarray, other: np.ndarray) -> bool:
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            return 100 * both >= percent * (len(one) + len(other) - both)
-
         texts = self.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        return by_hub(pairs, texts.select("node", F.col("text").alias("value")), lambda: Shingler(shingle).shingles, linked)
+        return by_hub(pairs, texts.select("node", F.col("text").alias("value")), lambda: Shingler(shingle).shingles, lambda x, y: _linked(x, y, percent))
+
+    def links_by(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The same for classes whose full sets are written (node, hashes, ...)."""
+        percent = self.percent
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        values = sets.join(wanted, "node", "left_semi").select("node", F.col("hashes").alias("value"))
+        return by_hub(pairs, values, lambda: np.array, lambda x, y: _linked(x, y, percent))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node) to (node, hashes, s0, ...): the whole set, and its sketch."""
@@ -178,6 +180,11 @@ class Texts:
         return self.of(wanted).mapInArrow(run, "node long, hashes array<long>, " + ", ".join(f"{x} long" for x in names))
 
 
+def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
 #: Neighbours of a hub that one task compares with it; members of a shingle's group in a row or column of its grid; 64-bit words of a sketch.
 NEAR, CELL, SKETCH = 200, 500, 8
 
@@ -253,6 +260,14 @@ def _labels(links: DataFrame) -> DataFrame:
     return now
 
 
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Of (key, node, n), those in buckets that links leave in several components, with these."""
+    labels = components(links).withColumnRenamed("node", "of")
+    here = members.join(labels, members["node"] == labels["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    several = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return cut(here.join(several, "key", "left_semi"))
+
+
 def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """docs (id, mark, text) to its prints, and (class, id, component) of all classes."""
     signed = cut(prints(docs, shingle, permutations, rows))
@@ -261,29 +276,30 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
     classes = signed.where("class is not null").groupBy("class").agg(F.min(row).alias("r"))
     classes = cut(classes.select("class", F.monotonically_increasing_id().alias("node"), "r.id", "r.mark", "r.n", "r.bits", "r.bands"))
     owned = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = owned.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("first")).where("many > 1").select("key", "first")
+    shared = owned.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = cut(owned.join(shared, "key"))
     within = cut(classes.select("node", "id", "mark", "n", "bits").join(members.select("node"), "node", "left_semi"))
     texts = Texts(docs, within, shingle, percent)
 
-    firsts = members.where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    # Of a bucket's members, the one that meets most others in all of its buckets stands in the middle of its group.
+    meets = members.groupBy("node").agg(F.sum("many").alias("meets"))
+    middle = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    firsts = members.join(middle, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = texts.links(texts.likely(cut(firsts)))
     tidy(docs.sparkSession)
-    labels = _labels(links).withColumnRenamed("node", "of")
-    here = members.join(labels, members["node"] == labels["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    sizes = cut(here.join(mixed, "key", "left_semi").select("node", "n", "component").distinct())
-    if not sizes.isEmpty():
+    here = _mixed(members.select("key", "node", "n"), links)
+    if not here.isEmpty():
+        sets = cut(texts.sets(here.select("node").distinct()))
         # Each member with the least one that it may be linked with; then what that leaves apart.
-        pairs = texts.likely(cut(rare_pairs(cut(texts.sets(sizes.select("node"))), sizes, percent)))
+        sizes = cut(here.select("node", "n", "component").distinct())
+        pairs = texts.likely(cut(rare_pairs(cut(sets.join(sizes, "node", "left_semi")), sizes, percent)))
         some = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links = links.union(texts.links(some))
-        tidy(docs.sparkSession)
+        links = links.union(texts.links_by(sets, some))
         labels = cut(_labels(links))
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         rest = pairs.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = ~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))
-        links = links.union(texts.links(cut(rest.where(apart).select("a", "b"))))
+        links = links.union(texts.links_by(sets, cut(rest.where(apart).select("a", "b"))))
     tidy(docs.sparkSession)
     found = components(links).withColumnRenamed("node", "of")
     grouped = classes.select("class", "node", "id").join(found, classes["node"] == found["of"], "left")
