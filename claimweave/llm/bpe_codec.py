@@ -27,7 +27,7 @@ from claimweave.llm.lexicon import Lexicon, compile_lexicon
 #: Words in the lexicon.
 WORDS = 131_072
 #: Distinct pieces that a task counts before it passes them on; entries and characters of an entry that a worker remembers.
-COUNTED, REMEMBERED, SHORT = 300_000, 200_000, 32
+COUNTED, REMEMBERED, SHORT = 200_000, 100_000, 32
 #: Marks that form one word with each other, and none with letters before them.
 MARKS = ".,;:!?%#*$&|"
 #: White space beside white space; elsewhere each space starts a pre-token and each line break is one.

@@ -65,10 +65,11 @@ def tidy(spark: SparkSession) -> None:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of which a task can hold several forms at a time."""
+    """The same rows in batches of which a task can hold several forms at a time; in the end Arrow gives back what it holds."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def bounded(df: DataFrame, most_rows: int) -> DataFrame:
