@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ PERIOD = "struct<label: string, start: date, end: date>"
 _MONTH = "(" + "|".join(sorted(MONTHS, key=lambda m: (-len(m), m))) + ")"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _DATE = rf"(?:{_DAY}\s+{_MONTH}|{_MONTH}\s+{_DAY}),?\s*(\d{{4}})"
-# The forms of periods, in the order in which they are tried.
+# The forms of periods, in the order in which they are tried.
 ENDED = rf"(?iU)\b(year|quarter|half[\s-]?year|month)\s+ended\b\s*(?:on\s+)?{_DATE}"
 AS_OF = rf"(?iU)\bas\s+(?:at|on|of)\b\s*{_DATE}"
 FISCAL_QUARTER = r"(?iU)\bQ([1-4])\s*FY\s*(\d{2,4})\b"
@@ -37,24 +38,35 @@ def _first(y: Column, m: Column) -> Column:
     return _date(y, m, F.lit(1))
 
 
-class _Match:
-    def __init__(self, text: Column, pattern: str) -> None:
-        self.text, self.pattern = text, pattern
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def has(self) -> Column:
-        return F.rlike(self.text, F.lit(self.pattern))
+
+class _Groups:
+    """The groups of a match, numbered from 1; null where a group took no part."""
+
+    def __init__(self, parts: Column) -> None:
+        self.parts = parts
 
     def str(self, group: int) -> Column:
-        return F.nullif(F.regexp_extract(self.text, self.pattern, group), F.lit(""))
+        return F.nullif(F.get(self.parts, F.lit(group - 1)), F.lit(""))
 
     def int(self, group: int) -> Column:
-        return self.str(group).cast("int")
+        return self.str(group).try_cast("int")
 
     def month(self, *groups: int) -> Column:
         known = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
         return F.try_element_at(known, F.lower(F.coalesce(*(self.str(g) for g in groups))))
 
 
+def _form(text: Column, pattern: str, dates) -> Column:
+    """dates(groups) of the pattern's first match in the text, null if there is none; the text is searched once."""
+    split = "\u0001".join(f"${k}" for k in range(1, re.compile(pattern[pattern.index(")") + 1 :]).groups + 1))
+    matched = lambda m: F.when(m != "", _let(F.split(F.regexp_replace(m, pattern, split), "\u0001"), lambda g: dates(_Groups(g))))
+    return _let(F.regexp_extract(text, pattern, 0), matched)
+
+
 def _year(y: Column, century: Column | int = 2000) -> Column:
     return F.when(y >= 1000, y).otherwise(y + century)
 
@@ -66,30 +78,44 @@ def fiscal_quarters(end_year: Column, first: Column | int, last: Column | int, s
     return F.add_months(begins, 3 * (lit(first) - 1)), F.last_day(F.add_months(begins, 3 * lit(last) - 1))
 
 
-def _cases(text: Column, fiscal_start: int) -> list[tuple[Column, Column, Column]]:
-    ended, as_of, fq, cq, fh, fy, span, months, half, year = (_Match(text, p) for p in (ENDED, AS_OF, FISCAL_QUARTER, QUARTER, FISCAL_HALF, FISCAL_YEAR, SPAN, MONTH_RANGE, HALF, YEAR))
-    kind = F.regexp_replace(F.lower(ended.str(1)), "[ -]", "")
-    length = F.when(kind == "year", 12).when(kind == "quarter", 3).when(kind == "month", 1).otherwise(6)
-    end = _date(ended.int(6), ended.month(3, 4), F.coalesce(ended.int(2), ended.int(5)))
-    day = _date(as_of.int(5), as_of.month(2, 3), F.coalesce(as_of.int(1), as_of.int(4)))
-    y1 = _year(fy.int(1))
-    y2 = _year(fy.int(2), (y1 / 100).cast("int") * 100)
-    fiscal = F.when(y2.isNull(), y1).when(y2 <= y1, y1 + 1).otherwise(y2)
-    s1 = span.int(1)
-    s2 = _year(span.int(2), (s1 / 100).cast("int") * 100)
-    m1, m2, my = months.month(1), months.month(2), months.int(3)
-    return [
-        (ended.has(), F.add_months(F.trunc(end, "month"), 1 - length), end),
-        (as_of.has(), day, day),
-        (fq.has(), *fiscal_quarters(_year(fq.int(2)), fq.int(1), fq.int(1), fiscal_start)),
-        (cq.has(), _first(cq.int(1), 3 * cq.int(2) - 2), F.last_day(_first(cq.int(1), 3 * cq.int(2)))),
-        (fh.has(), *fiscal_quarters(_year(fh.int(2)), 2 * fh.int(1) - 1, 2 * fh.int(1), fiscal_start)),
-        (fy.has(), *fiscal_quarters(fiscal, 1, 4, fiscal_start)),
-        (span.has() & (s2 == s1 + 1), *fiscal_quarters(s2, 1, 4, fiscal_start)),
-        (months.has(), _first(my, m1), F.last_day(_first(my + F.when(m2 < m1, 1).otherwise(0), m2))),
-        (half.has(), _first(half.int(2), 6 * half.int(1) - 5), F.last_day(_first(half.int(2), 6 * half.int(1)))),
-        (year.has(), _first(year.int(1), F.lit(1)), _date(year.int(1), F.lit(12), F.lit(31))),
-    ]
+def _dates(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def _forms(text: Column, fiscal_start: int) -> list[Column]:
+    """(start, end) by each form in the order in which they are tried, null where it doesn't occur."""
+
+    def ended(g: _Groups) -> Column:
+        kind = F.regexp_replace(F.lower(g.str(1)), "[ -]", "")
+        length = F.when(kind == "year", 12).when(kind == "quarter", 3).when(kind == "month", 1).otherwise(6)
+        end = _date(g.int(6), g.month(3, 4), F.coalesce(g.int(2), g.int(5)))
+        return _let(end, lambda e: _dates(F.add_months(F.trunc(e, "month"), 1 - length), e))
+
+    def as_of(g: _Groups) -> Column:
+        return _let(_date(g.int(5), g.month(2, 3), F.coalesce(g.int(1), g.int(4))), lambda d: _dates(d, d))
+
+    def fiscal_year(g: _Groups) -> Column:
+        def of(y1: Column) -> Column:
+            y2 = _year(g.int(2), (y1 / 100).cast("int") * 100)
+            return _let(F.when(y2.isNull(), y1).when(y2 <= y1, y1 + 1).otherwise(y2), lambda y: _dates(*fiscal_quarters(y, 1, 4, fiscal_start)))
+
+        return _let(_year(g.int(1)), of)
+
+    def span(g: _Groups) -> Column:
+        s1 = g.int(1)
+        return _let(_year(g.int(2), (s1 / 100).cast("int") * 100), lambda s2: F.when(s2 == s1 + 1, _dates(*fiscal_quarters(s2, 1, 4, fiscal_start))))
+
+    def months(g: _Groups) -> Column:
+        m1, m2, year = g.month(1), g.month(2), g.int(3)
+        return _dates(_first(year, m1), F.last_day(_first(year + F.when(m2 < m1, 1).otherwise(0), m2)))
+
+    quarter = lambda g: _dates(_first(g.int(1), 3 * g.int(2) - 2), F.last_day(_first(g.int(1), 3 * g.int(2))))
+    half = lambda g: _dates(_first(g.int(2), 6 * g.int(1) - 5), F.last_day(_first(g.int(2), 6 * g.int(1))))
+    year = lambda g: _dates(_first(g.int(1), F.lit(1)), _date(g.int(1), F.lit(12), F.lit(31)))
+    fiscal_quarter = lambda g: _dates(*fiscal_quarters(_year(g.int(2)), g.int(1), g.int(1), fiscal_start))
+    fiscal_half = lambda g: _dates(*fiscal_quarters(_year(g.int(2)), 2 * g.int(1) - 1, 2 * g.int(1), fiscal_start))
+    tried = [(ENDED, ended), (AS_OF, as_of), (FISCAL_QUARTER, fiscal_quarter), (QUARTER, quarter), (FISCAL_HALF, fiscal_half), (FISCAL_YEAR, fiscal_year), (SPAN, span), (MONTH_RANGE, months), (HALF, half), (YEAR, year)]
+    return [_form(text, pattern, dates) for pattern, dates in tried]
 
 
 def parse_period(label: Column, fiscal_start: int = FISCAL_START) -> Column:
@@ -99,17 +125,12 @@ def parse_period(label: Column, fiscal_start: int = FISCAL_START) -> Column:
     FY2023-24" is the last quarter of FY2023 and "9M FY24" the whole of FY24; a fiscal year is named for its end.
     An impossible date, such as 30 February, has no dates either: is_impossible() tells them apart.
     """
-    text = F.regexp_replace(label, r"(?U)^\s+|\s+$", "")
-    cases = _cases(text, fiscal_start)
-    chain = lambda i: _chain([(c[0], c[i]) for c in cases])
-    return F.when(F.coalesce(text, F.lit("")) != "", F.struct(text.alias("label"), chain(1).alias("start"), chain(2).alias("end"))).cast(PERIOD)
 
+    def read(text: Column) -> Column:
+        found = F.coalesce(*_forms(text, fiscal_start))
+        return F.when(F.coalesce(text, F.lit("")) != "", _let(found, lambda p: F.struct(text.alias("label"), p["start"].alias("start"), p["end"].alias("end"))))
 
-def _chain(cases: list[tuple[Column, Column]]) -> Column:
-    out = F.when(*cases[0])
-    for condition, value in cases[1:]:
-        out = out.when(condition, value)
-    return out
+    return _let(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""), read).cast(PERIOD)
 
 
 def is_impossible(label: Column) -> Column:

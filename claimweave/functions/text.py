@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 QUALIFIER_WORDS = ("adjusted", "adj", "reported", "restated", "audited", "unaudited", "provisional", "estimated", "projected", "normalised", "normalized", "consolidated", "standalone")
 COMPANY_SUFFIXES = ("limited", "ltd", "private", "pvt", "plc", "inc", "incorporated", "corporation", "corp", "llp", "company", "co")
 HONORIFICS = ("mr", "mrs", "ms", "dr", "shri", "smt", "prof")
-#: Quotes and dashes to their ASCII forms; the no-break space and the byte order mark.
-FOLDED = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " ", "﻿": None})
+#: Quotes, hyphens and dashes to their ASCII forms; the no-break space and the byte order mark.
+FOLDED = str.maketrans({"\u2010": "-", "\u2011": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", " ": " ", "﻿": None})
 
 
 @F.pandas_udf(StringType())

@@ -25,7 +25,9 @@ CLAIM_PROMPT = "List the factual claims on this page as JSON: an object with a l
 PROFILE_PROMPT = "Describe the document that begins so as a JSON object: publisher, subject (whom its figures are about), doc_type, as_of_date, and the default_period, default_scope, default_unit and default_currency that hold where a page states none.\n\n"
 
 
-REPAIR_PROMPT = "\n\nThe last reply to this was not JSON of the form that was asked for. Reply with that JSON alone."
+#: Stands before what was wrong with a reply when it is asked for again.
+REPAIR_PROMPT = "\n\nThe last reply to this can't be used: "
+REPAIR_END = ". Reply with JSON of the form that was asked for, and nothing else."
 
 
 def request_key(prompt: Column, model: str, **options) -> Column:
@@ -33,26 +35,57 @@ def request_key(prompt: Column, model: str, **options) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("prompt"), *(F.lit(str(v)).alias(k) for k, v in sorted(options.items())))), 256)
 
 
-def ask(requests: DataFrame, cache: DataFrame, provider: Callable[[str], str | None] | None) -> DataFrame:
-    """(key, prompt, ...) with response: from cache, else from provider, which runs in the tasks; null without either.
+def no_json(response: Column) -> Column:
+    """What is wrong with a reply that should hold JSON; null if nothing is."""
+    return F.when(salvage_json(response).isNull(), "there is no JSON in it")
 
-    A fresh reply without JSON in it is asked for once more; what then comes counts. Such replies aren't kept if the
-    second one is missing.
+
+def no_profile(response: Column) -> Column:
+    found = salvage_json(response)
+    return F.when(found.isNull(), "there is no JSON in it").when(~F.startswith(F.ltrim(found), F.lit("{")), "the JSON is no object")
+
+
+def no_claims(response: Column) -> Column:
+    """What is wrong with a page's reply: it must list claims that all have a measure and a quote."""
+    listed = F.from_json(salvage_json(response), f"claims array<{RAW_CLAIM}>")["claims"]
+    return no_profile(response).when(listed.isNull(), "there is no list named claims").when(~F.forall(listed, _full), "a claim lacks its measure or its quote")
+
+
+def _full(c: Column) -> Column:
+    return (F.trim(F.coalesce(c["measure"], F.lit(""))) != "") & (F.trim(F.coalesce(c["quote"], F.lit(""))) != "")
+
+
+def ask(requests: DataFrame, cache: DataFrame, provider: Callable[[str], str | None] | None, problem: Callable[[Column], Column] = no_json) -> DataFrame:
+    """(key, prompt, ...) with response and outcome: from cache, else from provider, which runs in the tasks.
+
+    problem: from a reply to what is wrong with it, null if it is valid. An invalid reply is asked for once more, with
+    what was wrong in the prompt. outcome is cached, first or repaired for valid responses; failed if the second reply
+    is invalid too or missing; unanswered if there is no reply, or no provider: then the response is null. Requests of
+    one key are asked for once. replies() has what is to be kept.
     """
-    held = requests.join(cache.select("key", "response").dropDuplicates(["key"]), "key", "left")
+    held = requests.join(cache.select("key", F.col("response").alias("_held")).dropDuplicates(["key"]), "key", "left")
+    state = lambda said, kind: F.when(F.col("_held").isNotNull(), "cached").otherwise(F.coalesce(kind, F.lit("unanswered")))
     if provider is None:
-        return held
-    missing = requests.join(cache, "key", "left_anti").select("key", "prompt").dropDuplicates(["key"])
+        return held.withColumns({"response": F.col("_held"), "outcome": state(None, F.lit(None).cast("string"))}).drop("_held")
+    missing = checkpointed(requests.join(cache.where("response is not null"), "key", "left_anti").select("key", "prompt").dropDuplicates(["key"]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"], "answer": [provider(p) for p in frame["prompt"]]})
 
-    first = checkpointed(missing.mapInPandas(run, "key string, answer string"))
-    bad = first.where(F.col("answer").isNotNull() & salvage_json(F.col("answer")).isNull()).select("key")
-    again = missing.join(bad, "key", "left_semi").select("key", F.concat("prompt", F.lit(REPAIR_PROMPT)).alias("prompt"))
-    fresh = checkpointed(first.join(bad, "key", "left_anti").unionByName(again.mapInPandas(run, "key string, answer string")))
-    return held.join(fresh, "key", "left").withColumn("response", F.coalesce("response", "answer")).drop("answer")
+    replies = lambda asked: checkpointed(asked.mapInPandas(run, "key string, answer string")).withColumn("wrong", problem(F.col("answer")))
+    first = checkpointed(replies(missing))
+    bad = first.where("answer is not null and wrong is not null").select("key", "wrong")
+    again = missing.join(bad, "key").select("key", F.concat("prompt", F.lit(REPAIR_PROMPT), "wrong", F.lit(REPAIR_END)).alias("prompt"))
+    second = replies(again).select("key", F.when(F.col("wrong").isNull(), F.col("answer")).alias("answer"), F.when(F.col("answer").isNotNull() & F.col("wrong").isNull(), "repaired").otherwise("failed").alias("kind"))
+    good = first.where("answer is not null and wrong is null").select("key", "answer", F.lit("first").alias("kind"))
+    found = held.join(checkpointed(good.unionByName(second)), "key", "left")
+    return found.withColumns({"response": F.coalesce("_held", "answer"), "outcome": state(F.col("answer"), F.col("kind"))}).drop("_held", "answer", "kind")
+
+
+def replies(answered: DataFrame) -> DataFrame:
+    """(key, response) of fresh valid responses: what enters the cache."""
+    return answered.where(F.col("outcome").isin("first", "repaired")).select("key", "response").dropDuplicates(["key"])
 
 
 def salvage_json(text: Column) -> Column:
@@ -94,8 +127,7 @@ def lenient_date(text: Column) -> Column:
 def raw_claims(answered: DataFrame, most: int | None = CLAIMS_PER_PAGE) -> tuple[DataFrame, DataFrame]:
     """(claims, rejected responses). A page's response counts if it lists claims that all have a measure and a quote; the first most of a page are taken."""
     listed = F.from_json(salvage_json(F.col("response")), f"claims array<{RAW_CLAIM}>")["claims"]
-    full = lambda c: (F.trim(F.coalesce(c["measure"], F.lit(""))) != "") & (F.trim(F.coalesce(c["quote"], F.lit(""))) != "")
-    read = checkpointed(answered.withColumn("_claims", listed).withColumn("_valid", F.coalesce(F.forall("_claims", full), F.lit(False))))
+    read = checkpointed(answered.withColumn("_claims", listed).withColumn("_valid", F.coalesce(F.forall("_claims", _full), F.lit(False))))
     rows = read.where("_valid").select("doc_id", "page_no", "printed_page", F.posexplode("_claims" if most is None else F.slice("_claims", 1, most)).alias("ordinal", "c"))
     return rows, read.where("response is not null and not _valid").select("doc_id", "page_no", "response")
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import periods, scope
+from claimweave.functions import blocks, periods, scope
 from claimweave.functions.schema import STEP
 from claimweave.functions.text import bag, display_general, display_number, normalise_scope, normalise_subject, similarity, similarity_of_sets, trigrams
-from claimweave.sources.store import bounded
+from claimweave.sources.store import bounded, checkpointed
 
 VALUE_TOLERANCE, SUBJECT_SIMILARITY, TEXT_AGREEMENT, BLOCK_CAP = 0.01, 0.6, 0.8, 400
+#: Claims of a block in a row or column of its grid.
+CELL = 1000
 #: Parts of measure names that don't add up over parts of a period; found anywhere in a name, so also in "operations".
 NOT_ADDITIVE = ("margin", "rate", "growth", "ratio", "per cent", "share")
 STATES = ("text", "boolean", "date")
@@ -33,7 +35,7 @@ def compared(claims: DataFrame, negative: DataFrame | None = None) -> DataFrame:
     measure adds up, is provisional, or is among those (measure_key) that go negative.
     """
     own = claims.where("status = 'active'").withColumns({
-        "block_subject": normalise_subject(F.col("subject_raw")), "block_measure": F.coalesce(F.nullif(F.col("measure_key"), F.lit("")), F.lower("measure_raw")),
+        "block_subject": blocks.block_subject(), "block_measure": blocks.block_measure(),
         "scope_norm": normalise_scope(F.col("scope")), "basis_norm": scope.normalise_basis(F.col("basis")), "text_norm": normalise_subject(F.col("text_value")),
         "additive": _additive(), "provisional": scope.provisional(F.col("estimate_type")),
     }).withColumns({"text_grams": F.when(F.col("text_norm") != "", trigrams(F.col("text_norm"))), "text_words": F.when(F.col("text_norm") != "", bag(F.col("text_norm")))})
@@ -60,19 +62,52 @@ def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side, df in (("a", left), ("b", right)))
 
 
-def block_pairs(blocked: DataFrame) -> DataFrame:
-    """Each pair of different claims of one block once, the one with the lesser id as a."""
-    a, b = _sides(blocked, blocked)
-    return a.join(b, (F.col("a_block_subject") == F.col("b_block_subject")) & (F.col("a_block_measure") == F.col("b_block_measure")) & (F.col("a_id") < F.col("b_id")))
+def _met(left: DataFrame, right: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """Blocked claims of left and right that share a block, as a_ and b_ columns.
 
-
-def incremental_pairs(new: DataFrame, old: DataFrame, seen: DataFrame) -> DataFrame:
+    cells: (block_subject, block_measure, rows, columns) of blocks that are cut into a grid: left's claims are dealt to
+    rows, right's to columns, and each cell is a key of its own, so that a hot block's pairs spread over tasks and each
+    pair meets in one cell. None: all blocks are small.
+    """
+    keys = ["block_subject", "block_measure"]
+    if cells is not None:
+        part = lambda of: F.pmod(F.xxhash64("id"), F.coalesce(of, F.lit(1))).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1))
+        left = left.join(cells, keys, "left").withColumn("_i", part("rows")).withColumn("_j", every("columns")).drop("rows", "columns")
+        right = right.join(cells, keys, "left").withColumn("_j", part("columns")).withColumn("_i", every("rows")).drop("rows", "columns")
+        keys += ["_i", "_j"]
+    a, b = _sides(left, right)
+    on = F.lit(True)
+    for k in keys:
+        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
+    return a.join(b, on).drop("a__i", "a__j", "b__i", "b__j")
+
+
+def _grid(left: DataFrame, right: DataFrame) -> DataFrame | None:
+    """The grids of blocks that have more than CELL claims on a side; None if there is no such block."""
+    keys = ("block_subject", "block_measure")
+    many = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    large = many(left, "rows").join(many(right, "columns"), list(keys)).where("rows > 1 or columns > 1")
+    large = bounded(large)  # as many as all claims over CELL
+    return None if large.isEmpty() else large
+
+
+def block_pairs(blocked: DataFrame, cap: int | None = None) -> DataFrame:
+    """Each pair of different claims of one block once, the one with the lesser id as a; cap: what no block has more claims than."""
+    cells = None if cap is not None and cap <= CELL else _grid(blocked, blocked)
+    return _met(blocked, blocked, cells).where(F.col("a_id") < F.col("b_id"))
+
+
+def incremental_pairs(new: DataFrame, old: DataFrame, seen: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Pairs of blocked claims that hold a new one, without those in seen (claim_a_id, claim_b_id) either way round."""
-    a, b = _sides(new, old)
-    across = a.join(b, (F.col("a_block_subject") == F.col("b_block_subject")) & (F.col("a_block_measure") == F.col("b_block_measure")) & (F.col("a_id") != F.col("b_id")))
+    cells = None if cap is not None and cap <= CELL else _grid(new, old)
+    across = _met(new, old, cells).where(F.col("a_id") != F.col("b_id"))
     turned = across.select(*(F.when(F.col("a_id") < F.col("b_id"), F.col(f"{s}_{c}")).otherwise(F.col(f"{t}_{c}")).alias(f"{s}_{c}") for s, t in ("ab", "ba") for c in new.columns))
+    pairs = turned.unionByName(block_pairs(new, cap))
+    if seen is None:
+        return pairs
     known = seen.select(F.least("claim_a_id", "claim_b_id").alias("a_id"), F.greatest("claim_a_id", "claim_b_id").alias("b_id")).distinct()
-    return turned.unionByName(block_pairs(new)).join(known, ["a_id", "b_id"], "left_anti")
+    return pairs.join(known, ["a_id", "b_id"], "left_anti")
 
 
 def _is(side: str, kinds: tuple[str, ...]) -> Column:
@@ -244,18 +279,50 @@ def _first_of(cases: list[tuple[Column, Column]]) -> Column:
 
 def reconcile(claims: DataFrame, cap: int | None = BLOCK_CAP, tolerance: float = VALUE_TOLERANCE) -> DataFrame:
     """Relations of all pairs of active claims that share a block."""
-    return verdicts(block_pairs(capped(with_blocks(claims), cap)), tolerance)
+    return verdicts(block_pairs(capped(with_blocks(claims), cap), cap), tolerance)
 
 
-def reconcile_incremental(new: DataFrame, old: DataFrame, seen: DataFrame, tolerance: float = VALUE_TOLERANCE, cap: int | None = None) -> DataFrame:
+def reconcile_incremental(new: DataFrame, old: DataFrame, seen: DataFrame | None = None, tolerance: float = VALUE_TOLERANCE, cap: int | None = None) -> DataFrame:
     """Relations of the pairs that new claims add: with old ones and among themselves, without pairs that were seen.
 
-    A measure that new claims show to go negative counts as such here, but pairs that were seen aren't looked at again.
-    cap bounds the blocks as in reconcile(); by itself all pairs of a block are compared.
+    A measure that new claims show to go negative counts as such here, but pairs that were seen aren't looked at again:
+    follow() does that. cap bounds the blocks as in reconcile(); by itself all pairs of a block are compared. Of the old
+    claims only those of new ones' blocks are prepared, once; they aren't shuffled where the new blocks can be broadcast.
+    """
+    negative = negative_measures(new).union(negative_measures(old)).distinct()
+    block = {"_subject": blocks.block_subject(), "_measure": blocks.block_measure()}
+    own = bounded(new.where("status = 'active'").withColumns(block).select(*block).distinct())
+    met = old.withColumns(block).join(own, list(block), "left_semi").drop(*block)
+    both = new.withColumn("_new", F.lit(True)).unionByName(met.withColumn("_new", F.lit(False)))
+    both = checkpointed(capped(compared(both, negative), cap))
+    return verdicts(incremental_pairs(both.where("_new").drop("_new"), both.where("not _new").drop("_new"), seen, cap), tolerance)
+
+
+#: What a verdict depends on, besides the names of the measure's block.
+COMPARED = (
+    "doc_id", "page_no", "subject_raw", "measure_raw", "value_kind", "low", "high", "unit_raw", "dimension", "currency", "canonical_low", "canonical_high", "text_value", "date_value", "bool_value",
+    "period_label", "period_start", "period_end", "scope", "basis", "as_of", "estimate_type", "goes_negative", "block_subject", "block_measure",
+)
+
+
+def follow(before: DataFrame, after: DataFrame, negative_before: DataFrame, negative_after: DataFrame, cap: int | None = BLOCK_CAP, tolerance: float = VALUE_TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """What a change of whole blocks does to their relations: (those made, pairs (claim_a_id, claim_b_id) that have none any more).
+
+    before and after hold all claims of the blocks, with the measures (measure_key) that go negative then and now. A
+    claim has changed if it came or went, also by the cap, or if anything differs that verdicts depend on; pairs of two
+    claims that haven't keep their relation.
     """
-    both = with_blocks(new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False))))
-    both = capped(both, cap)
-    return verdicts(incremental_pairs(both.where("_new").drop("_new"), both.where("not _new").drop("_new"), seen), tolerance)
+    then, now = (checkpointed(capped(compared(df, negative), cap)) for df, negative in ((before, negative_before), (after, negative_after)))
+    state = lambda df: df.select("id", F.md5(F.to_json(F.struct(*COMPARED))).alias("state"))
+    changed = state(then).union(state(now)).groupBy("id").agg(F.count("*").alias("n"), F.min("state").alias("lo"), F.max("state").alias("hi")).where("n = 1 or lo <> hi")
+    changed = bounded(changed.select("id"))
+
+    def pairs(members: DataFrame) -> DataFrame:
+        return incremental_pairs(members.join(changed, "id", "left_semi"), members.join(changed, "id", "left_anti"), None, cap)
+
+    made = checkpointed(verdicts(pairs(now), tolerance))
+    had = pairs(then.select("id", "block_subject", "block_measure")).select(F.col("a_id").alias("claim_a_id"), F.col("b_id").alias("claim_b_id"))
+    return made, had.join(made.select("claim_a_id", "claim_b_id"), ["claim_a_id", "claim_b_id"], "left_anti")
 
 
 def reconcile_pair(pair_a: DataFrame, pair_b: DataFrame, negative: DataFrame | None = None) -> DataFrame:

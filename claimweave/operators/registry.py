@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.schema import MEASURE
-from claimweave.functions.text import bag, normalise_measure, similarity, trigrams
+from claimweave.functions.text import bag, normalise_measure, normalise_subject, similarity, trigrams
 
 PROPOSE, AUTO_ACCEPT, CANDIDATES, KEY_LENGTH, BATCH = 0.45, 0.995, 2, 60, 15
 
@@ -19,37 +19,86 @@ def named(names: DataFrame) -> DataFrame:
     return names.withColumn("norm", normalise_measure(F.col("name"))).where("norm <> ''").groupBy("norm").agg(F.min_by("name", F.struct("ord", "name")).alias("name"), F.array_sort(F.collect_set("name")).alias("surface_forms"), F.min("ord").alias("ord"))
 
 
-def _rarest(names: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
-    """(norm, kind, f, n): the rarest of each name's n features of a kind, as many as one that is alike must share one of.
+def _features(names: DataFrame) -> DataFrame:
+    """(norm, kind, n, f): each name's distinct trigrams (kind 0) and words (kind 1), with their number."""
+    sets = names.select("norm", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), fs.alias("fs")) for k, fs in enumerate((trigrams(F.col("norm")), bag(F.col("norm"))))))).alias("s"))
+    return sets.select("norm", "s.kind", F.size("s.fs").alias("n"), F.explode("s.fs").alias("f"))
+
+
+def _ranked(names: DataFrame, often: DataFrame) -> DataFrame:
+    """(norm, kind, n, fs): each name's features, the rarest first, in an order common to all names."""
+    return _features(names).join(often, ["kind", "f"]).groupBy("norm", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("fs"))
+
+
+def _share(amount: Column) -> Column:
+    """How many features that many are at least, as a whole number."""
+    return F.ceil(amount - 1e-9)
+
 
-    Two sets of n features at most, with a Jaccard similarity from threshold on, share threshold * n of them, so in any
-    order common to all sets they share one of the first n - threshold * n + 1. In the order of frequency, features
-    that many names have, such as the trigrams of a common word, are left out.
+def alike_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(norm, candidate) of names by _ranked() that may be alike from threshold on, by trigrams or by words.
+
+    Sets of n <= m features with a Jaccard similarity t share at least t / (1 + t) * (n + m) of them, so 2t / (1 + t) * n,
+    and t * m. So one of the first n - 2t / (1 + t) * n + 1 of the smaller set is among the first m - t * m + 1 of the
+    larger one, and what follows the places where the two first meet must hold the rest. Both are conditions of the
+    join: a word that many names of two words have is in no smaller set's start, and makes no rows.
     """
-    sets = names.select("norm", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), fs.alias("fs")) for k, fs in enumerate((trigrams(F.col("norm")), bag(F.col("norm"))))))).alias("s"))
-    flat = sets.select("norm", "s.kind", F.size("s.fs").alias("n"), F.explode("s.fs").alias("f"))
-    ranked = flat.join(often, ["kind", "f"]).groupBy("norm", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("fs"))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    return ranked.select("norm", "kind", "n", F.explode(F.slice("fs", F.lit(1), first.cast("int"))).alias("x")).select("norm", "kind", "n", F.col("x.f").alias("f"))
+    t = threshold
+
+    def starts(sets: DataFrame, name: str, x: str, share: float) -> DataFrame:
+        first = F.col("n") - _share(F.lit(share) * F.col("n")) + 1
+        found = sets.select(F.col("norm").alias(name), "kind", F.col("n").alias(f"n_{x}"), F.posexplode(F.slice("fs", F.lit(1), first.cast("int"))).alias(f"at_{x}", "s"))
+        return found.select(name, "kind", f"n_{x}", (F.col(f"n_{x}") - F.col(f"at_{x}")).alias(f"left_{x}"), F.col("s.f").alias("f"))
+
+    def met(small: DataFrame, one: str, large: DataFrame, other: str) -> DataFrame:
+        a, b = starts(small, one, "a", 2 * t / (1 + t)), starts(large, other, "b", t)
+        sizes = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= t * F.col("n_b") - 1e-9)
+        enough = F.least("left_a", "left_b") >= _share(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
+        return a.join(b, ["kind", "f"]).where(sizes & enough & (F.col(one) != F.col(other))).select("norm", "candidate")
+
+    return met(left, "norm", right, "candidate").union(met(right, "candidate", left, "norm")).distinct()
+
 
+#: Similarities down to which a name's most alike ones are looked for, one after the other, until there are enough.
+LEVELS = (0.75,)
 
-def candidates(names: DataFrame, known: DataFrame, threshold: float = PROPOSE, most: int | None = CANDIDATES) -> DataFrame:
-    """(norm) against known (norm, ord): each name's most alike known ones, (norm, candidate, similarity, rank).
 
-    Pairs come from an equi-join on the rarest trigrams and words of each side, which loses none from threshold on.
-    most: so many for each name, ties by name; None keeps all, without a rank.
+def candidates(names: DataFrame, known: DataFrame, threshold: float = PROPOSE, most: int | None = CANDIDATES, without: DataFrame | None = None) -> DataFrame:
+    """(norm) against known (norm): each name's most alike known ones, (norm, candidate, similarity, rank).
+
+    most: so many for each name, ties by name; None keeps all, without a rank. without: pairs (norm, candidate) to leave
+    out. Pairs come from equi-joins on the rarest trigrams and words, which lose none from their threshold on. With
+    most, names are searched from a high similarity down to threshold, and a name that has found enough is not searched
+    again: what it hasn't found is less alike. So of many names that are all alike to some degree, not all pairs are made.
     """
+    from claimweave.sources.store import checkpointed
+
     left, right = names.select("norm").distinct(), known.select("norm").distinct()
-    both = left.union(right).distinct()
-    often = both.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), fs.alias("fs")) for k, fs in enumerate((trigrams(F.col("norm")), bag(F.col("norm"))))))).alias("s")).select("s.kind", F.explode("s.fs").alias("f")).groupBy("kind", "f").agg(F.count("*").alias("often"))
-    a, b = _rarest(left, often, threshold), _rarest(right, often, threshold).select(F.col("norm").alias("candidate"), "kind", F.col("n").alias("m"), "f")
-    close = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9) & (F.col("norm") != F.col("candidate"))
-    pairs = a.join(b, ["kind", "f"]).where(close).select("norm", "candidate").distinct()
-    alike = pairs.withColumn("similarity", similarity(F.col("norm"), F.col("candidate"))).where(F.col("similarity") >= threshold)
+    often = _features(left.union(right).distinct()).groupBy("kind", "f").agg(F.count("*").alias("often"))
+    sets = checkpointed(_ranked(left.union(right).distinct(), often))
+    own, others = sets.join(left, "norm", "left_semi"), sets.join(right, "norm", "left_semi")
+
+    def alike(own: DataFrame, t: float) -> DataFrame:
+        pairs = alike_pairs(own, others, t)
+        if without is not None:
+            pairs = pairs.join(without.select("norm", "candidate"), ["norm", "candidate"], "left_anti")
+        return pairs.withColumn("similarity", similarity(F.col("norm"), F.col("candidate"))).where(F.col("similarity") >= t)
+
     if most is None:
-        return alike
+        return alike(own, threshold)
     rank = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("similarity"), "candidate"))
-    return alike.withColumn("rank", rank).where(F.col("rank") <= most)
+    found, todo = None, left
+    for t in [*(x for x in LEVELS if x > threshold), threshold]:
+        best = checkpointed(alike(own.join(todo, "norm", "left_semi"), t).withColumn("rank", rank).where(F.col("rank") <= most))
+        enough = best.groupBy("norm").agg(F.count("*").alias("n")).where(F.lit(t == threshold) | (F.col("n") >= most)).select("norm")
+        done = best.join(enough, "norm", "left_semi").select("norm", "candidate", "similarity", "rank")
+        found = done if found is None else found.unionByName(done)
+        if t == threshold:
+            break
+        todo = checkpointed(todo.join(enough, "norm", "left_anti"))
+        if todo.isEmpty():
+            break
+    return found
 
 
 def resolve_name(name: str, measures: DataFrame, decisions: DataFrame) -> tuple[str | None, str]:
@@ -126,15 +175,13 @@ def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
     from claimweave.sources.store import checkpointed
 
     forms = checkpointed(named(names))
-    alike = checkpointed(candidates(forms, forms, most=None))
-    ordered = alike.select(F.least("norm", "candidate").alias("a"), F.greatest("norm", "candidate").alias("b"), "similarity").distinct()
+    same = candidates(forms, forms, AUTO_ACCEPT, most=None).select(F.least("norm", "candidate").alias("a"), F.greatest("norm", "candidate").alias("b")).distinct().withColumn("same", F.lit(True))
+    decided = checkpointed(same)
     if decisions is not None:
         said = decisions.select(normalise_measure(F.col("a")).alias("x"), normalise_measure(F.col("b")).alias("y"), F.coalesce("same", F.lit(False)).alias("same"))
-        said = said.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "same").groupBy("a", "b").agg(F.bool_or("same").alias("same"))
-        ordered = ordered.join(said, ["a", "b"], "full")
-    else:
-        ordered = ordered.withColumn("same", F.lit(None).cast("boolean"))
-    links = ordered.where(F.coalesce("same", F.lit(False)) | (F.col("similarity") >= AUTO_ACCEPT)).select("a", "b")
+        said = said.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "same")
+        decided = checkpointed(decided.unionByName(said).groupBy("a", "b").agg(F.bool_or("same").alias("same")))
+    links = decided.where("same").select("a", "b")
     roots = closure(links, forms.select(F.col("norm").alias("node"), "ord"))
     members = forms.join(roots, F.col("norm") == F.col("node")).drop("node")
     measures = members.groupBy("root").agg(F.min_by("name", "ord").alias("canonical_name"), F.array_sort(F.collect_set("norm")).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("surface_forms")))).alias("surface_forms"), F.min("ord").alias("ord"))
@@ -142,10 +189,9 @@ def resolve(names: DataFrame, decisions: DataFrame | None = None) -> tuple[DataF
     number = F.row_number().over(Window.partitionBy("short").orderBy("ord", "root"))
     keyed = checkpointed(short.withColumn("n", number).withColumn("key", F.when(F.col("n") == 1, F.col("short")).otherwise(F.concat_ws("_", "short", F.col("n").cast("string")))))
     keys = members.join(keyed.select("root", "key"), "root").select(F.explode("surface_forms").alias("name"), "norm", "key")
-    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("similarity"), "other"))
-    open_ = ordered.where("same is null").where(F.col("similarity") < AUTO_ACCEPT)
-    sides = open_.withColumns({"own": F.col("a"), "other": F.col("b")}).unionByName(open_.withColumns({"own": F.col("b"), "other": F.col("a")}))
-    questions = sides.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).select(F.col("a").alias("norm"), F.col("b").alias("candidate"), "similarity").distinct()
+    closed = decided.select(F.col("a").alias("norm"), F.col("b").alias("candidate")).union(decided.select("b", "a"))
+    asked = candidates(forms, forms, without=closed)
+    questions = asked.select(F.least("norm", "candidate").alias("norm"), F.greatest("norm", "candidate").alias("candidate"), "similarity").distinct()
     return keyed.select("key", "canonical_name", "aliases", "surface_forms"), keys, questions
 
 
@@ -193,13 +239,21 @@ def adjudicate(questions: DataFrame, answer, cache: DataFrame | None = None, bat
     return fresh if cache is None else fresh.unionByName(asked.join(cache, ["a", "b"]).select("a", "b", "same"))
 
 
-def canonicalise_claims(claims: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resolve claims' measure names once each and write the keys back: (claims, measures, questions)."""
-    from claimweave.functions.text import normalise_subject
+def first_names(claims: DataFrame) -> DataFrame:
+    """(name, ord): claims' measure names, by where each occurs first."""
+    return claims.groupBy(F.col("measure_raw").alias("name")).agg(F.min(F.struct("doc_id", "page_no", "id")).alias("ord"))
+
 
-    order = F.struct("doc_id", "page_no", "id")
-    names = claims.groupBy(F.col("measure_raw").alias("name")).agg(F.min(order).alias("first"))
-    measures, keys, questions = resolve(names.withColumnRenamed("first", "ord"), decisions)
+def with_keys(claims: DataFrame, keys: DataFrame) -> DataFrame:
+    """Claims with their measure's key by name, and, if they have one, their subject's."""
     found = keys.select(F.col("name").alias("_name"), F.col("key").alias("_key"))
-    out = claims.join(found, F.col("measure_raw") == F.col("_name"), "left").withColumns({"measure_key": F.col("_key"), "subject_key": normalise_subject(F.col("subject_raw"))})
-    return out.select(*claims.columns), measures, questions
+    out = claims.join(found, F.col("measure_raw") == F.col("_name"), "left").withColumn("measure_key", F.col("_key"))
+    if "subject_raw" in claims.columns:
+        out = out.withColumn("subject_key", normalise_subject(F.col("subject_raw")))
+    return out.select(*claims.columns, *(["measure_key"] if "measure_key" not in claims.columns else []))
+
+
+def canonicalise_claims(claims: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolve claims' measure names once each and write the keys back: (claims, measures, questions)."""
+    measures, keys, questions = resolve(first_names(claims), decisions)
+    return with_keys(claims, keys), measures, questions

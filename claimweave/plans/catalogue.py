@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,10 @@ from claimweave.functions.text import normalise_measure, normalise_subject
 from claimweave.functions.units import canonicalise, parse_unit
 from claimweave.operators import extract, ground, reconcile, registry, triage
 from claimweave.plans import oracles as sql
-from claimweave.plans import pipeline, views
-from claimweave.plans.samples import balance_claims, event_claims, order_answers, revenue_claims, ruled_pairs, table
-from claimweave.sources.pages import page_lookup
-from claimweave.sources.store import checkpointed, merged
+from claimweave.plans import changes, paging, pipeline, views
+from claimweave.plans.samples import balance_claims, event_claims, ledger_claims, order_answers, revenue_claims, ruled_pairs, table
+from claimweave.sources.pages import page_lookup, read_text_documents
+from claimweave.sources.store import Store, checkpointed, merged, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -401,3 +402,80 @@ def q_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpointed(reconcile.reconcile(revenue_claims(spark, sf_dir)))
     part = views.pick(found, "complementary", check="period-containment", outcomes=("pass",)).select(F.lit("part").alias("case"), "claim_a_id", "claim_b_id")
     return part.unionByName(views.pick(found, "corroborates", cross_doc=False, fall_back=True).unionByName(views.pick(found, "corroborates", cross_doc=True)).select(F.lit("same").alias("case"), "claim_a_id", "claim_b_id"))
+
+
+@query(sql.FOLLOWED)
+def q_relations_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored relations after an ingest, another one, changed values, deleted claims, and a measure that turns negative later.
+
+    Suppliers with an odd number state their revenue, the others their net result. They are those of a full run.
+    """
+    number = F.split("id", "-")[1].cast("long")
+    even = number % 2 == 0
+    claims = checkpointed(revenue_claims(spark, sf_dir).withColumns({"measure_raw": F.when(even, "Net result").otherwise(F.col("measure_raw")), "measure_key": F.when(even, "net_result").otherwise(F.col("measure_key"))}))
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    times = lambda factor: {c: factor * F.col(c) for c in ("low", "high", "canonical_low", "canonical_high")}
+    changes.apply(store, claims.where("doc_id <> 'C'"))
+    changes.apply(store, claims.where("doc_id = 'C'"))
+    changes.apply(store, claims.where((F.col("doc_id") == "B") & (number % 7 == 0)).withColumns(times(1.5)).unionByName(claims.where((F.col("doc_id") == "C") & (number % 3 < 2)).withColumns(times(3.0))))
+    changes.apply(store, claims.limit(0), claims.where((F.col("doc_id") == "C") & (number % 5 == 0)))
+    loss = claims.where("measure_key = 'net_result'").orderBy("id").limit(1).withColumns({"id": F.lit("loss"), "subject_raw": F.lit("Elsewhere"), **times(-1.0)})
+    changes.apply(store, loss)
+    return store.read("relations").select("claim_a_id", "claim_b_id", "verdict", "confidence", "cross_doc")
+
+
+@query(sql.ASKED)
+def q_request_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each page's request ended, by a stand-in for a model that answers by the length of the page; whole pages are shown.
+
+    Replies for each fourth document are in the cache. By the length modulo 5, the stand-in's replies are valid, prose
+    and then valid, without quotes twice, missing, or valid in a fence.
+    """
+    valid = '{"claims": [{"measure": "m", "quote": "q"}]}'
+    requests = checkpointed(extract.page_requests(_pages(spark, sf_dir).withColumn("printed_page", F.lit(None).cast("string")), "stand-in", most_chars=None))
+    cache = requests.where("page_no % 4 = 0").select("key", F.lit(valid).alias("response"))
+
+    def provider(prompt: str) -> str | None:
+        page, _, repair = prompt.removeprefix(extract.CLAIM_PROMPT).partition(extract.REPAIR_PROMPT)
+        return (valid, valid if repair else "I can't.", '{"claims": [{"measure": "m"}]}', None, f"```json\n{valid}\n```")[len(page) % 5]
+
+    return extract.ask(requests, cache, provider, extract.no_claims).select("page_no", "outcome", F.col("response").isNotNull().alias("answered"))
+
+
+@query(sql.AUDITED)
+def q_audit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counting tables of the audit, from one pass over claims that have every fault."""
+    found = views.audit(ledger_claims(spark, sf_dir))
+    long = lambda name, a, n, b=F.lit(None), c=F.lit(None): found[name].select(F.lit(name).alias("audit"), a.cast("string").alias("a"), b.cast("string").alias("b"), c.cast("string").alias("c"), n.cast("long").alias("n"))
+    col, n = F.col, F.col("n")
+    missing = found["missing_qualifiers"].select(F.explode(F.array(*(F.struct(F.lit(x).alias("a"), col(x).alias("n")) for x in ("n", *(f"no_{q}" for q in views.MAY_MISS))))).alias("x"))
+    parts = [
+        long("by_status", col("status"), n, col("grounding"), col("value_kind")), missing.select(F.lit("missing_qualifiers"), "x.a", F.lit(None).cast("string"), F.lit(None).cast("string"), col("x.n").cast("long")),
+        long("dropped_qualifiers", col("qualifier"), n, col("value")), long("unparsed_periods", col("period_label"), n), long("unknown_units", col("unit"), n), long("generic_measures", col("measure_key"), col("values")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+@query(sql.PAGED)
+def q_deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages from the middle of the review queue: the first by its offset, the next by the cursor that the first ends with."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    found = checkpointed(reconcile.reconcile(revenue_claims(spark, sf_dir)))
+    paging.write_pages(found, path, file_rows=10_000)
+    one = checkpointed(paging.page_at(spark, path, found.count() // 2, 100))
+    cursor = one.orderBy(*(F.desc(k) for k in paging.KEYS)).first()
+    two = paging.page_after(spark, path, cursor, 100)
+    shown = ["id", "claim_a_id", "claim_b_id", "verdict", "confidence", "cross_doc"]
+    return one.select(F.lit(1).alias("page"), *shown).unionByName(two.select(F.lit(2).alias("page"), *shown))
+
+
+@query(sql.FROM_FILES)
+def q_pages_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are written as text files with form feeds between them, and read again by chunks of 100,000 bytes."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", "\f").text(folder)
+    _, pages = read_text_documents(spark, folder, chunk=100_000)
+    return pages.where("text <> ''").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("pages"), F.max(F.length("text")).cast("long").alias("chars"))

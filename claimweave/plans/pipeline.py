@@ -13,8 +13,9 @@ from claimweave.functions.schema import CLAIM, conform
 from claimweave.functions.text import normalise_subject
 from claimweave.functions.units import canonicalise, parse_unit
 from claimweave.operators import extract, ground, reconcile, registry, triage
+from claimweave.plans import changes
 from claimweave.sources.pages import Parser, parse_text, read_documents
-from claimweave.sources.store import Store, checkpointed, unseen_documents
+from claimweave.sources.store import Store, bounded, checkpointed, unseen_documents
 
 
 @dataclass(frozen=True)
@@ -23,13 +24,15 @@ class Settings:
     min_score: float = triage.MIN_SCORE
     budget: int | None = None
     fiscal_start: int = periods.FISCAL_START
+    cap: int | None = reconcile.BLOCK_CAP
 
 
 def ingest(spark: SparkSession, store: Store, path: str, provider: Callable[[str], str | None] | None, parser: Parser = parse_text, glob: str = "*.txt", settings: Settings = Settings(), force: bool = False, decisions: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Read files, extract, ground and canonicalise their claims, compare them with the stored ones; returns a report.
 
-    Documents that are stored are left out unless force is set; their claims have the same ids again and replace the
-    old ones. The provider is also asked which measure names are the same, once for each pair: its answers are stored.
+    Documents that are stored are left out unless force is set; then their claims replace the old ones, those that they
+    don't state any more go, and relations follow. Only such claims are written, and those whose measure's key changed.
+    The provider is also asked which measure names are the same, once for each pair: its answers are stored.
     """
     documents, pages = read_documents(spark, path, parser, glob)
     new = documents if force else unseen_documents(documents, store)
@@ -38,41 +41,43 @@ def ingest(spark: SparkSession, store: Store, path: str, provider: Callable[[str
     chosen = triage.choose(scored, settings.min_score, settings.budget)
 
     cache = store.read("responses")
-    profile_answers = checkpointed(extract.ask(extract.profile_requests(pages, settings.model), cache, provider))
+    profile_answers = checkpointed(extract.ask(extract.profile_requests(pages, settings.model), cache, provider, extract.no_profile))
     new = new.join(extract.profiles(profile_answers), "doc_id", "left").join(pages.groupBy("doc_id").agg(F.max("title").alias("title"), F.count("*").cast("int").alias("pages")), "doc_id", "left").withColumn("ingested_at", F.current_timestamp())
     new = checkpointed(new)
-    page_answers = checkpointed(extract.ask(extract.page_requests(chosen, settings.model), cache, provider))
+    page_answers = checkpointed(extract.ask(extract.page_requests(chosen, settings.model), cache, provider, extract.no_claims))
     rows, _ = extract.raw_claims(page_answers)
-    answers = profile_answers.select("key", "response").unionByName(page_answers.select("key", "response")).where("response is not null")
-    store.upsert("responses", answers)
+    store.upsert("responses", extract.replies(profile_answers).unionByName(extract.replies(page_answers)))
 
     claims = checkpointed(ground.ground(extract.build_claims(rows, new), pages))
-    old = checkpointed(store.read("claims").join(new.select("doc_id"), "doc_id", "left_anti"))
+    stored = store.read("claims")
+    mine = bounded(new.select("doc_id"))
+    of_mine = checkpointed(stored.join(mine, "doc_id", "left_semi"))  # of a forced run, or one that was cut off
+    others = stored.select("id", "doc_id", "page_no", "measure_raw", "measure_key").join(mine, "doc_id", "left_anti")
     said = store.read("decisions") if decisions is None else store.read("decisions").unionByName(decisions.select("a", "b", "same"))
-    keyed, measures, questions = registry.canonicalise_claims(old.unionByName(claims), said)
+    names = checkpointed(registry.first_names(others.unionByName(claims.select(*others.columns))))
+    measures, keys, questions = registry.resolve(names, said)
     if provider is not None and not (answers := checkpointed(registry.adjudicate(questions, registry.adjudicator(provider)))).isEmpty():
         store.upsert("decisions", answers)
-        keyed, measures, _ = registry.canonicalise_claims(old.unionByName(claims), said.unionByName(answers))
-    keyed = checkpointed(keyed)
-    fresh = keyed.join(new.select("doc_id"), "doc_id", "left_semi").select(*keyed.columns)
-    # A merge of names can bring stored claims together: those with another key than before are compared as new ones.
-    was = old.select(F.col("id").alias("_id"), F.col("measure_key").alias("_was"))
-    stored = checkpointed(keyed.join(new.select("doc_id"), "doc_id", "left_anti").join(was, F.col("id") == F.col("_id"), "left").withColumn("_moved", ~F.col("measure_key").eqNullSafe(F.col("_was"))))
-    moved, known = (stored.where(c).select(*keyed.columns) for c in (F.col("_moved"), ~F.col("_moved")))
-    found = checkpointed(reconcile.reconcile_incremental(fresh.unionByName(moved), known, store.read("relations")))
+        measures, keys, _ = registry.resolve(names, said.unionByName(answers))
+    keys = checkpointed(keys)
+    # A merge of names can bring stored claims together: those with another key than before change too.
+    renamed = bounded(others.select("measure_raw", "measure_key").distinct().join(registry.with_keys(others.select("measure_raw").distinct(), keys).withColumnRenamed("measure_key", "_key"), "measure_raw").where(~F.col("measure_key").eqNullSafe(F.col("_key"))).select("measure_raw").distinct())
+    moved = stored.join(mine, "doc_id", "left_anti").join(renamed, "measure_raw", "left_semi").select(*stored.columns)
+    fresh = checkpointed(registry.with_keys(claims.unionByName(moved), keys))
+    found = changes.apply(store, fresh, of_mine, settings.cap)
 
     store.upsert("documents", new)
-    store.write("claims", keyed)
-    store.write("measures", measures)
-    store.upsert("relations", found)
-    return report(new, scored, fresh, found, settings.min_score, page_answers)
+    old_measures = store.read("measures")
+    store.upsert("measures", checkpointed(measures.exceptAll(old_measures.select(*measures.columns))), gone=old_measures.join(bounded(measures.select("key")), "key", "left_anti"))
+    return report(new, scored, fresh.join(mine, "doc_id", "left_semi"), found, settings.min_score, page_answers)
 
 
 def report(documents: DataFrame, scored: DataFrame, claims: DataFrame, relations: DataFrame, min_score: float, answers: DataFrame | None = None) -> DataFrame:
-    """One row about a run; pages_skipped are those that were chosen but got no response."""
+    """One row about a run; pages_skipped are those that were chosen but got no valid response, calls what the model was asked for them."""
     parts = [documents.agg(F.count("*").alias("documents")), triage.coverage(scored, min_score), ground.report(claims), relations.agg(F.count("*").alias("relations"), F.count_if("cross_doc").alias("cross_doc"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("corroborates", "contradicts", "complementary", "supersedes", "underspecified")))]
     if answers is not None:
-        parts.append(answers.agg(F.count_if(F.col("response").isNull()).alias("pages_skipped")))
+        calls = F.when(F.col("outcome").isin("repaired", "failed"), 2).when(F.col("outcome") == "first", 1).otherwise(0)
+        parts.append(answers.agg(F.count_if(F.col("response").isNull()).alias("pages_skipped"), F.coalesce(F.sum(calls), F.lit(0)).alias("calls"), F.count_if(F.col("outcome") == "repaired").alias("repaired"), F.count_if(F.col("outcome") == "failed").alias("failed")))
     out = None
     for part in parts:
         row = part.withColumn("_one", F.lit(1))

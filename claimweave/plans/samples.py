@@ -58,6 +58,19 @@ def balance_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(customers.unionByName(suppliers).withColumns({"doc_id": F.lit("balances"), "value_kind": F.lit("number"), "high": F.col("low"), "unit_raw": F.lit("USD"), "period_label": F.lit(None).cast("string")}))
 
 
+def ledger_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances with what goes wrong in extraction: unknown units, periods without dates, missing and dropped qualifiers, quarantine."""
+    k = F.col("c_custkey")
+    text = lambda n, at, value: F.when(k % n == at, F.lit(value))
+    return finished(table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("ledger-"), k.cast("string")).alias("id"), F.lit("ledger").alias("doc_id"), F.col("c_name").alias("subject_raw"), F.concat(F.lit("balance "), F.lower("c_mktsegment")).alias("measure_raw"),
+        F.lit("number").alias("value_kind"), F.col("c_acctbal").alias("low"), F.col("c_acctbal").alias("high"), F.coalesce(text(7, 0, "florins"), text(9, 0, "guilders"), F.lit("USD")).alias("unit_raw"),
+        F.coalesce(text(10, 0, "in the time under review"), text(10, 1, "FY2024")).alias("period_label"), text(2, 0, "group").alias("scope"), text(5, 0, "audited").alias("basis"), text(4, 0, "2024-05-01").cast("date").alias("as_of"),
+        F.when(k % 11 == 0, "quarantined").otherwise("active").alias("status"), F.when(k % 11 == 0, "not_found").when(k % 3 == 0, "exact").otherwise("fuzzy").alias("grounding"),
+        F.when(k % 13 == 0, F.create_map(F.lit("dropped_scope"), F.lit("standalone"), F.lit("page"), F.lit("7"))).alias("extra"),
+    ))
+
+
 def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each user was last seen doing on a day, as a state with the day as its as-of date."""
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("day"), "ts", "event_id", "event_type")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.ground import dropped_qualifiers, report
 from claimweave.operators.reconcile import display_value
-from claimweave.sources.store import bounded
+from claimweave.sources.store import bounded, checkpointed
 
 #: The order of review.
 ORDER = ("contradicts", "corroborates", "supersedes", "complementary")
@@ -136,18 +136,46 @@ def contradictions(stored: DataFrame, claims: DataFrame, limit: int = 15) -> Dat
     return found.orderBy(*review_order()).select("id", "claim_a_id", "claim_b_id", "cross_doc", *(f"{s}_{c}" for s in "ab" for c in shown))
 
 
-def audit(claims: DataFrame, measures: DataFrame | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables that show where extraction went wrong; with the relations, also their contradictions and verdicts."""
-    active = claims.where("status = 'active'")
-    missing = {c: F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("period_label", "scope", "basis", "as_of", "unit_raw")}
+def tallies(claims: DataFrame) -> DataFrame:
+    """(audit, a, b, c, n): all that audit() counts about claims, from one pass over them and one shuffle of counts.
+
+    Each claim becomes a row for each table that it counts in, and these are counted by what the table groups by.
+    """
+    text = F.lit(None).cast("string")
+    row = lambda name, a, b=text, c=text: F.struct(F.lit(name).alias("audit"), a.cast("string").alias("a"), b.cast("string").alias("b"), c.cast("string").alias("c"))
+    c, active = F.col, F.col("status") == "active"
     value = F.coalesce(F.round("canonical_low", 4).cast("string"), F.lit("none"))
+    rows = F.array(
+        row("by_status", c("status"), c("grounding"), c("value_kind")), F.when(active, row("missing_qualifiers", F.lit("n"))),
+        *(F.when(active & c(q).isNull(), row("missing_qualifiers", F.lit(f"no_{q}"))) for q in MAY_MISS),
+        F.when(active & c("period_label").isNotNull() & c("period_start").isNull(), row("unparsed_periods", c("period_label"))),
+        F.when(active & c("low").isNotNull() & c("canonical_low").isNull(), row("unknown_units", F.coalesce("unit_raw", F.lit("(none)")))),
+        F.when(active & (F.length("measure_key") < 22), row("generic_measures", c("measure_key"), value)),
+    )
+    dropped = F.filter(F.map_entries(F.coalesce("extra", F.expr("cast(map() as map<string, string>)"))), lambda e: F.startswith(e["key"], F.lit("dropped_")))
+    marked = F.transform(dropped, lambda e: row("dropped_qualifiers", F.substring(e["key"], 9, 1_000), e["value"]))
+    return claims.select(F.explode(F.concat(F.array_compact(rows), marked)).alias("x")).select("x.*").groupBy("audit", "a", "b", "c").agg(F.count("*").alias("n"))
+
+
+#: Qualifiers whose absence audit() counts.
+MAY_MISS = ("period_label", "scope", "basis", "as_of", "unit_raw")
+
+
+def audit(claims: DataFrame, measures: DataFrame | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables that show where extraction went wrong; with the relations, also their contradictions and verdicts.
+
+    The claims are scanned once for all of the counts, whose distinct rows are written, and once for the listing.
+    """
+    counted = checkpointed(tallies(claims))
+    of = lambda name: counted.where(F.col("audit") == name)
+    missing = [F.coalesce(F.sum(F.when(F.col("a") == name, F.col("n"))), F.lit(0)).alias(name) for name in ("n", *(f"no_{q}" for q in MAY_MISS))]
     out = {
-        "by_status": claims.groupBy("status", "grounding", "value_kind").agg(F.count("*").alias("n")),
-        "missing_qualifiers": active.agg(F.count("*").alias("n"), *missing.values()),
-        "dropped_qualifiers": dropped_qualifiers(claims, 12),
-        "unparsed_periods": active.where("period_label is not null and period_start is null").groupBy("period_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "period_label").limit(15),
-        "unknown_units": active.where("low is not null and canonical_low is null").groupBy(F.coalesce("unit_raw", F.lit("(none)")).alias("unit")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "unit").limit(15),
-        "generic_measures": active.where(F.length("measure_key") < 22).groupBy("measure_key").agg(F.count_distinct(value).alias("values")).where(F.col("values") > 12).orderBy(F.desc("values"), "measure_key"),
+        "by_status": of("by_status").select(F.col("a").alias("status"), F.col("b").alias("grounding"), F.col("c").alias("value_kind"), "n"),
+        "missing_qualifiers": of("missing_qualifiers").agg(*missing),
+        "dropped_qualifiers": of("dropped_qualifiers").select(F.col("a").alias("qualifier"), F.col("b").alias("value"), "n").orderBy(F.desc("n"), "qualifier", "value").limit(12),
+        "unparsed_periods": of("unparsed_periods").select(F.col("a").alias("period_label"), "n").orderBy(F.desc("n"), "period_label").limit(15),
+        "unknown_units": of("unknown_units").select(F.col("a").alias("unit"), "n").orderBy(F.desc("n"), "unit").limit(15),
+        "generic_measures": of("generic_measures").groupBy(F.col("a").alias("measure_key")).agg(F.count("*").alias("values")).where(F.col("values") > 12).orderBy(F.desc("values"), "measure_key"),
         "quarantined": quarantined(claims, 20),
     }
     if measures is not None:

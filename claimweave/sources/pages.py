@@ -1,14 +1,23 @@
-"""Files to pages: whole files as binaries, a parser for each, one row for each page."""
+"""Files to pages, one row for each page: text files by chunks, others as whole binaries with a parser for each kind."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from pathlib import Path
+from typing import BinaryIO
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from claimweave.operators.triage import printed_page
+from claimweave.sources.store import checkpointed
 
 #: From a file's bytes to (title, pages' texts).
 Parser = Callable[[bytes], tuple[str | None, list[str]]]
@@ -30,10 +39,136 @@ def parse_pdf(content: bytes) -> tuple[str | None, list[str]]:
         return (doc.metadata or {}).get("title", "").strip() or None, [page.get_text() for page in doc]
 
 
+#: Bytes of a text file in which a task looks for the starts of pages, and bytes read at a time.
+CHUNK, STEP = 64 << 20, 1 << 20
+
+
+def as_uri(path: str) -> str:
+    return path if re.match(r"[A-Za-z][\w+.-]*:/", path) else Path(path).absolute().as_uri()
+
+
+def opened(uri: str) -> BinaryIO:
+    files, path = fs.FileSystem.from_uri(uri)
+    return files.open_input_file(path)
+
+
+def pages_between(f: BinaryIO, start: int, end: int) -> Iterator[bytes]:
+    """The pages of a text file that start from byte start on and before end, each with what follows of it; held one at a time.
+
+    A page starts with the file and after each form feed, so a file that ends with one has an empty last page.
+    """
+    at, held, ended = start, b"", False
+    if start:
+        f.seek(start - 1)
+        at, found = start - 1, -1
+        while found < 0:
+            held = f.read(STEP)
+            if not held or at >= end:
+                return
+            found = held.find(b"\f")
+            at += len(held) if found < 0 else found + 1
+        held = held[found + 1 :]
+    else:
+        f.seek(0)
+    while at < end:
+        parts = []
+        while (found := held.find(b"\f")) < 0:
+            parts.append(held)
+            held = f.read(STEP)
+            if not held:
+                ended = True
+                break
+        page = b"".join(parts) + (b"" if ended else held[:found])
+        yield page
+        if ended:
+            return
+        held = held[found + 1 :]
+        at += len(page) + 1
+
+
+@dataclass
+class Chunk(InputPartition):
+    path: str
+    number: int
+    start: int
+    end: int
+
+
+class PageSource(DataSource):
+    """Text files as pages, (path, chunk, place, text): a partition for each chunk bytes of a file, so that large files are split.
+
+    place numbers the pages that start in a chunk from 0. Options: path, a folder's or a file's URI; suffix, .txt by
+    itself; chunk.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "formfeed_pages"
+
+    def schema(self) -> str:
+        return "path string, chunk int, place int, text string"
+
+    def reader(self, schema) -> PageReader:
+        return PageReader(self.options)
+
+
+class PageReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.suffix, self.chunk = options["path"], options.get("suffix", ".txt"), int(options.get("chunk", CHUNK))
+
+    def partitions(self) -> list[Chunk]:
+        uri = urlsplit(as_uri(self.path))
+        files, path = fs.FileSystem.from_uri(uri.geturl())
+        there = files.get_file_info(path)
+        found = files.get_file_info(fs.FileSelector(path, recursive=True)) if there.type == fs.FileType.Directory else [there]
+        sizes = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(self.suffix))
+        lead = lambda name: f"{uri.scheme}://{uri.netloc if name.startswith('/') else ''}"
+        return [Chunk(lead(name) + name, k, k * self.chunk, min((k + 1) * self.chunk, size + 1)) for name, size in sizes for k in range(-(-(size + 1) // self.chunk))]
+
+    def read(self, part: Chunk) -> Iterator[tuple]:
+        with opened(part.path) as f:
+            for place, page in enumerate(pages_between(f, part.start, part.end)):
+                yield part.path, part.number, place, page.decode("utf-8", "replace")
+
+
+def read_text_documents(spark: SparkSession, path: str, suffix: str = ".txt", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages) of the text files under path, by chunks of them; the rows are those of read_documents with parse_text.
+
+    Files are hashed in steps, so no task holds one; a page's number is its place in its chunk after the pages of the
+    chunks before it, which are counted.
+    """
+    spark.dataSource.register(PageSource)
+    found = spark.read.format(PageSource.name()).option("suffix", suffix).option("chunk", chunk).load(path)
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            digests = []
+            for name in frame["path"]:
+                with opened(name) as f:
+                    own = hashlib.sha256()
+                    while part := f.read(STEP):
+                        own.update(part)
+                digests.append(own.hexdigest())
+            yield pd.DataFrame({"path": frame["path"], "sha256": digests})
+
+    counted = found.groupBy("path", "chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = checkpointed(counted.withColumn("before", before))
+    files = counted.select("path").distinct().mapInPandas(hashed, "path string, sha256 string")
+    kept = checkpointed(files.groupBy("sha256").agg(F.min("path").alias("path")))
+    documents = kept.select(F.substring("sha256", 1, 12).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "sha256")
+    numbered = found.join(documents.select("doc_id", "path"), "path").join(counted.select("path", "chunk", "before"), ["path", "chunk"])
+    pages = numbered.select("doc_id", (F.col("before") + F.col("place") + 1).cast("int").alias("page_no"), "text")
+    first = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    titles = pages.where("page_no = 1").select("doc_id", F.get(first, 0).alias("title"))
+    return documents, with_printed_page(pages.join(titles, "doc_id").select("doc_id", "title", "page_no", "text"))
+
+
 def read_documents(spark: SparkSession, path: str, parser: Parser = parse_text, glob: str = "*.txt") -> tuple[DataFrame, DataFrame]:
     """(documents, pages) of the files under path. A document's id is the start of its content's hash.
 
-    Files that hold the same bytes are one document, that with the first path.
+    Files that hold the same bytes are one document, that with the first path. A file is parsed in one piece; text
+    files without bound are read_text_documents' work.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     hashed = files.withColumn("sha256", F.sha2("content", 256))

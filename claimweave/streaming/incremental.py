@@ -7,16 +7,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from claimweave.functions.schema import CLAIM
-from claimweave.operators.reconcile import reconcile_incremental
-from claimweave.sources.store import Store, checkpointed
+from claimweave.plans.changes import apply
+from claimweave.sources.store import Store
 
 
 def add_claims(store: Store, batch: DataFrame) -> None:
-    """Reconcile a batch with the stored claims. A batch that is run again changes nothing: ids and pairs are the same."""
-    new = checkpointed(batch.dropDuplicates(["id"]))
-    old = store.read("claims").join(new.select("id"), "id", "left_anti").select(*new.columns)
-    store.upsert("relations", checkpointed(reconcile_incremental(new, old, store.read("relations"))))
-    store.upsert("claims", new)
+    """Put a batch into the store; relations follow, also of claims that arrive again with other values.
+
+    Of repeated ids one row counts. A batch that is run again changes nothing.
+    """
+    apply(store, batch)
 
 
 def stream_claims(spark: SparkSession, path: str, store: Store, checkpoint: str) -> StreamingQuery:

@@ -243,7 +243,12 @@ def test_candidates_equal_all_pairs(spark):
     frame = spark.createDataFrame(sorted({(" ".join(r.choices(words, k=r.randint(1, 5))),) for _ in range(60)}), "norm string")
     pairs = frame.crossJoin(frame.withColumnRenamed("norm", "candidate")).where("norm <> candidate").withColumn("s", similarity(F.col("norm"), F.col("candidate"))).where("s >= 0.45")
     got = {(x.norm, x.candidate): x.similarity for x in registry.candidates(frame, frame, most=None).collect()}
-    assert got == {(x.norm, x.candidate): x.s for x in pairs.collect()} and len(got) > 50
+    want = {(x.norm, x.candidate): x.s for x in pairs.collect()}
+    assert got == want and len(got) > 50
+    best = lambda pairs: {(n, c) for n in {n for n, _ in pairs} for _, c in sorted((-s, c) for (m, c), s in pairs.items() if m == n)[:2]}
+    assert {(x.norm, x.candidate) for x in registry.candidates(frame, frame).collect()} == best(want)
+    out = frame.select("norm", F.lit("net income").alias("candidate"))
+    assert {(x.norm, x.candidate) for x in registry.candidates(frame, frame, without=out).collect()} == best({k: s for k, s in want.items() if k[1] != "net income"})
     assert registry.candidates(frame, frame.limit(0)).isEmpty()
 
 
@@ -268,19 +273,46 @@ def test_changes_are_merged_and_old_versions_go(spark, tmp_path):
         store.upsert("responses", spark.createDataFrame(rows, "key string, response string"))
     got = {r.key: r.response for r in store.read("responses").collect()}
     assert got == {"same": f"v{n}"} | {f"k{i}": f"v{i}" for i in range(n + 1)}
-    assert [whole for _, whole in store._versions("responses")] == [True, False, False]
+    assert [whole for _, whole, _ in store._versions("responses")] == [True, False, False]
+    kept = {folder for _, _, folder in store._versions("responses")}
     store.write("responses", spark.createDataFrame([("a", "b")], "key string, response string"))
-    folders = {f.name for f in (tmp_path / "responses").iterdir()}
-    assert f"v{stores.MERGE_AFTER}" not in folders and f"v{stores.MERGE_AFTER + 1}" in folders  # the last whole version but one stays
+    folders = {f.name for f in (tmp_path / "responses").iterdir()} - {"log"}
+    assert folders == kept | {folder for _, _, folder in store._versions("responses")}  # the last whole version but one stays
     assert [tuple(r) for r in store.read("responses").collect()] == [("a", "b")]
 
 
-def test_replies_without_json_are_asked_for_again(spark):
-    requests = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "none")], "key string, prompt string")
-    cache = spark.createDataFrame([], "key string, response string")
-    provider = lambda p: None if p == "none" else '{"claims": []}' if p == "good" or p.endswith(extract.REPAIR_PROMPT) else "sorry"
-    got = {r.key: r.response for r in extract.ask(requests, cache, provider).collect()}
-    assert got == {"1": '{"claims": []}', "2": '{"claims": []}', "3": None}
+def test_invalid_replies_are_asked_for_again(spark):
+    good, bad = '{"claims": [{"measure": "m", "quote": "q"}]}', '{"claims": [{"measure": "m"}]}'
+    replies = {"good": good, "prose": "sorry", "lame": bad, "hopeless": bad, "none": None, "silent": "no", "fixed": '{"claim": []}'}
+
+    def provider(prompt):
+        name, _, rest = prompt.partition(extract.REPAIR_PROMPT)
+        if not rest:
+            return replies[name]
+        wrong = rest.removesuffix(extract.REPAIR_END)
+        assert {"prose": "there is no JSON in it", "fixed": "there is no list named claims"}.get(name, wrong) == wrong
+        return {"hopeless": bad, "silent": None}.get(name, good)
+
+    requests = spark.createDataFrame([(n, n) for n in [*replies, "held", "held", "good"]], "key string, prompt string")
+    cache = spark.createDataFrame([("held", good), ("prose", None)], "key string, response string")
+    answered = extract.ask(requests, cache, provider, extract.no_claims)
+    got = {r.key: (r.outcome, r.response) for r in answered.collect()}
+    assert answered.count() == len(requests.collect())
+    assert got == {"good": ("first", good), "prose": ("repaired", good), "lame": ("repaired", good), "hopeless": ("failed", None), "none": ("unanswered", None), "silent": ("failed", None), "fixed": ("repaired", good), "held": ("cached", good)}
+    assert {r.key for r in extract.replies(answered).collect()} == {"good", "prose", "lame", "fixed"}
+    assert {r.key: r.outcome for r in extract.ask(requests, cache, None).collect()} == {n: "unanswered" for n in replies} | {"held": "cached"}
+    wrong = spark.createDataFrame([("[1]",), ("{}",), ("x",)], "t string").select(extract.no_profile(F.col("t"))).collect()
+    assert [r[0] for r in wrong] == ["the JSON is no object", None, "there is no JSON in it"]
+
+
+def test_many_names_with_common_words_make_few_pairs(spark):
+    names = spark.createDataFrame([(f"revenue item{i}", i) for i in range(3000)], "norm string, ord int")
+    often = registry._features(names).groupBy("kind", "f").agg(F.count("*").alias("often"))
+    sets = registry._ranked(names, often).cache()
+    assert registry.alike_pairs(sets, sets, 0.75).count() < 200_000  # of 9 million
+    asked = registry.candidates(names, names)
+    assert asked.groupBy("norm").count().where("count = 2").count() == 3000
+    assert {r.candidate for r in asked.where("norm = 'revenue item1234'").collect()} == {"revenue item123", "revenue item124"}
 
 
 def test_limits_can_be_lifted(spark):
