@@ -90,7 +90,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     """(id_col, figures, base_failed, kept), one row for each row of docs.
 
     Null texts have no words and fail the base rule; texts without a host are judged by the base rule alone;
-    repeated rows each get theirs; other columns are not read.
+    repeated rows each get theirs. Very long texts are read whole. A rate equal to the limit, the one tie there can be,
+    keeps its host. An empty table gives no rows; other columns are not read.
     """
     judged = _judged(docs, id_col, host_col, text_col)
     joined = judged.join(_rejected(judged, limit), "host", "left")

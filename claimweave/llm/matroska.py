@@ -107,6 +107,19 @@ class Parsed:
     error: str | None = None
 
 
+def _number(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise Malformed("a number has more than eight bytes")
+    return int.from_bytes(data[at:end], "big")
+
+
+def _fits(*values: int) -> tuple[int, ...]:
+    """The values, which tables hold as signed 64-bit numbers."""
+    if any(not -(1 << 63) <= v < 1 << 63 for v in values):
+        raise Malformed("a value is beyond 64 bits")
+    return values
+
+
 def _block(data: bytes, at: int, end: int, base: int, cluster: int, out: Parsed, key_frame: bool | None, frame_ns: dict[int, int]) -> None:
     """List a block's frames. key_frame: whether they are, or None where the block's flags say it."""
     track, at, _ = read_vint(data, at, end)
@@ -115,13 +128,13 @@ def _block(data: bytes, at: int, end: int, base: int, cluster: int, out: Parsed,
     relative, flags = struct.unpack_from(">hB", data, at)
     time = (base + relative) * out.scale
     for k, (offset, size) in enumerate(laces(data, at + 3, end, flags >> 1 & 3)):
-        out.packets.append((track, time + k * frame_ns.get(track, 0), offset, size, cluster, bool(flags & 0x80) if key_frame is None else key_frame))
+        out.packets.append((*_fits(track, time + k * frame_ns.get(track, 0)), offset, size, cluster, bool(flags & 0x80) if key_frame is None else key_frame))
 
 
 def parse(data: bytes) -> Parsed:
     """Tables of a whole file. What stands before damage is kept, and error says where reading ended."""
     out, frame_ns = Parsed(), {}
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
+    number = lambda a, b: _number(data, a, b)
 
     def cluster(at: int, end: int, index: int) -> int:
         base = 0
@@ -164,7 +177,7 @@ def parse(data: bytes) -> Parsed:
                     for x, p, q in own:
                         if x == CUE_TRACK_POSITIONS:
                             place = {y: number(r, s) for y, r, s, _ in elements(data, p, q)}
-                            out.cues.append((time * out.scale, place.get(CUE_TRACK, 0), origin + place.get(CUE_CLUSTER_POSITION, 0)))
+                            out.cues.append(_fits(time * out.scale, place.get(CUE_TRACK, 0), origin + place.get(CUE_CLUSTER_POSITION, 0)))
             at = b
 
     try:
@@ -248,7 +261,9 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packets(media: DataFrame, keys: list[str], media_col: str = "media") -> DataFrame:
     """(keys, media, packets array, cues array, error): the tables of each row's file; explode them for rows.
 
-    A null file has no packets and no error. Damaged files keep what stands before the damage.
+    A null file has no packets and no error. Damaged files, also those with times or places beyond 64 bits, keep what
+    stands before the damage. Repeated rows each keep their row, an empty table gives none; a file is parsed in one
+    piece, however long. keys may have any name but those of the results.
     """
     kinds = [pa.list_(pa.struct([("track", pa.int64()), ("time_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("cluster", pa.int32()), ("key_frame", pa.bool_())])), pa.list_(pa.struct([("time_ns", pa.int64()), ("track", pa.int64()), ("cluster_offset", pa.int64())]))]
 

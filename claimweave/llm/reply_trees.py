@@ -103,7 +103,8 @@ def format_trees(messages: DataFrame, tree: str, node: str, parent: str, role: s
     as empty, null scores as 0. A message whose parent is null or isn't in its tree is a root. Rows with the same
     tree and node are one message, the one with the least parent, role, text and score; rows without a node id count
     as one message of their tree, and rows without a tree are one tree. Messages that hang on a cycle of replies are
-    on no path. Other columns are not read; an empty table gives no rows.
+    on no path. Paths of equal score rank by their leaf; very long texts stay whole. Other columns are not read; an empty
+    table gives no rows.
     """
     named = messages.select(
         F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(F.col(role), F.lit("")).alias("role"),

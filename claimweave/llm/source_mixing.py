@@ -77,7 +77,8 @@ def mixed(docs: DataFrame, levels: dict[str, Column], tokens: Column, weights: D
     all tokens. copies: how often the text occurs, once for each epoch that takes it. A null level is a node of its
     own; null ids share one place in each order; rows of one leaf with the same id are taken together or not at all;
     null token counts are 0. Texts without tokens cost nothing and go with the prefix that they stand in; those of a
-    leaf without any tokens are taken once.
+    leaf without any tokens are taken once. Repeated rows are rows of one id, and very long texts rows of many tokens.
+    Ties, equal places in an order, are of equal ids alone. An empty table gives no rows.
     """
     names = list(levels)
     if taken := {"doc", "id", "tokens", "copies", "quota", "epochs", "rest", "h", "range", "border"} & set(names):

@@ -105,7 +105,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, special: dict[str, in
 
     path: a ranks file of a byte-level BPE; pattern: its pre-tokenizer's; special: strings that are single tokens
     wherever they stand. Null texts count as empty; empty texts have no tokens; null ids stay null; repeated rows
-    each keep their row; other columns, whatever their names, are not read.
+    each keep their row; an empty table gives no rows; very long texts are counted whole, in pieces. There are no ties.
+    Other columns, whatever their names, are not read.
     """
     marks = tuple(sorted((special or {}).items()))
     overlap = max(overlap, 4 * MARGIN)

@@ -86,7 +86,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     A null URL, or one without ://, has an empty host and path and no rule; it is scored by its characters, a null as
     an empty URL. Repeated rows get equal verdicts; null ids stay; without allowed or blocked URLs in the table the
-    scores are those of the counts that there are, against a threshold of 0. Other columns are not read.
+    scores are those of the counts that there are, against a threshold of 0. A score equal to the threshold allows. Very
+    long URLs are scored whole, their score being a mean over characters; an empty table gives no rows. Other columns
+    are not read.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))

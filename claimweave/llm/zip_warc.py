@@ -19,6 +19,8 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -84,6 +86,8 @@ def directory(fetch: Fetch, size: int) -> dict[str, Member]:
         if record[:4] != b"PK\x06\x06":
             raise BadArchive("no ZIP64 end of central directory")
         count, length, start = struct.unpack_from("<3Q", record, 32)
+    if start + length > size:
+        raise BadArchive("the central directory lies beyond the end")
     listing, at, members = fetch(start, length), 0, {}
     for _ in range(count):
         if listing[at : at + 4] != b"PK\x01\x02":
@@ -209,46 +213,28 @@ def _indexed(fetch: Fetch, members: dict[str, Member]) -> dict[str, list[tuple[i
     return {k: sorted(v) for k, v in found.items()}
 
 
-def _members_of_gzip(fetch: Fetch, at: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member of a range, fetched step by step."""
+def _members_of_gzip(fetch: Fetch, at: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of each gzip member of a range, fetched step by step; what is inflated isn't kept."""
     begin = read = 0
-    held, out, parser = b"", [], zlib.decompressobj(31)
+    held, started, parser = b"", False, zlib.decompressobj(31)
     while held or read < size:
         if not held:
             held = fetch(at + read, min(step, size - read))
+            if not held:
+                raise BadArchive("an archive is longer than its package")
             read += len(held)
-        out.append(parser.decompress(held))
+        parser.decompress(held)
+        started = True
         held = parser.unused_data if parser.eof else b""
         if parser.eof:
-            yield begin, read - len(held) - begin, b"".join(out)
-            begin, out, parser = read - len(held), [], zlib.decompressobj(31)
-    if out:
+            yield begin, read - len(held) - begin
+            begin, started, parser = read - len(held), False, zlib.decompressobj(31)
+    if started:
         raise BadArchive("the last record is cut off")
 
 
-def records(fetch: Fetch, size: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """(WARC file, offset, length, record) of a package, each record of an indexed file by one range of it."""
-    members = directory(fetch, size)
-    index = _indexed(fetch, members)
-    for name, member in members.items():
-        if not name.startswith(ARCHIVES) or not name.removesuffix(".gz").endswith(".warc"):
-            continue
-        at, short = stored_at(fetch, member), name.removeprefix(ARCHIVES)
-        if short in index:
-            for offset, length in index[short]:
-                if offset + length > member.size:
-                    raise BadArchive(f"the index names bytes beyond the end of {name}")
-                raw = fetch(at + offset, length)
-                yield short, offset, length, gzip.decompress(raw) if name.endswith(".gz") else raw
-        elif name.endswith(".gz"):
-            for offset, length, raw in _members_of_gzip(fetch, at, member.size):
-                yield short, offset, length, raw
-        else:
-            yield from ((short, *found) for found in _plain_records(fetch, at, member.size))
-
-
-def _plain_records(fetch: Fetch, at: int, size: int) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of an uncompressed WARC file: each head says how long its record is."""
+def _plain_records(fetch: Fetch, at: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of an uncompressed WARC file: each head says how long its record is."""
     begin = 0
     while begin < size:
         step = 4096
@@ -256,12 +242,71 @@ def _plain_records(fetch: Fetch, at: int, size: int) -> Iterator[tuple[int, int,
             if step >= size - begin:
                 raise BadArchive("the last record is cut off")
             step *= 2
-        fields, _ = _head(head)
-        length = head.index(b"\r\n\r\n") + 4 + int(fields.get("content-length", 0)) + 4
-        yield begin, length, fetch(at + begin, length)
+        said = _head(head)[0].get("content-length", "0")
+        if not (said.isascii() and said.isdigit()):
+            raise BadArchive("a record's length isn't a number")
+        length = head.index(b"\r\n\r\n") + 4 + int(said) + 4
+        if begin + length > size:
+            raise BadArchive("the last record is cut off")
+        yield begin, length
         begin += length
 
 
+class Place(NamedTuple):
+    """Where a record lies: its WARC file, offset and length there, and where that is in the package."""
+
+    member: str
+    offset: int
+    length: int
+    start: int
+    packed: bool
+
+
+#: What the libraries raise on damaged bytes.
+DAMAGE = (struct.error, zlib.error, gzip.BadGzipFile, EOFError, KeyError, IndexError, ValueError, TypeError, AttributeError, OverflowError, RecursionError)
+
+
+def _as_bad(rows: Iterator) -> Iterator:
+    """The rows, with all that damage raises as BadArchive."""
+    try:
+        yield from rows
+    except BadArchive:
+        raise
+    except DAMAGE as e:
+        raise BadArchive(f"damaged: {type(e).__name__}: {e}") from e
+
+
+def places(fetch: Fetch, size: int) -> Iterator[Place]:
+    """The records of a package: by its indexes, and of WARC files without one by going through them."""
+    return _as_bad(_places(fetch, size))
+
+
+def _places(fetch: Fetch, size: int) -> Iterator[Place]:
+    members = directory(fetch, size)
+    index = _indexed(fetch, members)
+    for name, member in members.items():
+        if not name.startswith(ARCHIVES) or not name.removesuffix(".gz").endswith(".warc"):
+            continue
+        at, short, packed = stored_at(fetch, member), name.removeprefix(ARCHIVES), name.endswith(".gz")
+        if at + member.size > size:
+            raise BadArchive(f"{name} lies beyond the end")
+        found = index[short] if short in index else (_members_of_gzip if packed else _plain_records)(fetch, at, member.size)
+        for offset, length in found:
+            if offset < 0 or length < 0 or offset + length > member.size:
+                raise BadArchive(f"the index names bytes beyond the end of {name}")
+            yield Place(short, offset, length, at + offset, packed)
+
+
+def record_at(fetch: Fetch, start: int, length: int, packed: bool) -> bytes:
+    raw = fetch(start, length)
+    return gzip.decompress(raw) if packed else raw
+
+
+def records(fetch: Fetch, size: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """(WARC file, offset, length, record) of a package, each by one range of it; damage is BadArchive."""
+    return _as_bad((p.member, p.offset, p.length, record_at(fetch, p.start, p.length, p.packed)) for p in _places(fetch, size))
+
+
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """(id, url, payload, payload_bytes, digest, refers_to): refers_to is the largest id of an equal payload, for all but that row itself."""
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
@@ -297,11 +342,11 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             return pa.RecordBatch.from_arrays([pa.array([path], pa.string())], ["path"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                ident, url, payload, length, digest, refers_to = (batch.column(k)[i].as_py() for k in range(6))
+            columns = [batch.column(k).cast(pa.binary()) if k == 2 else batch.column(k) for k in range(6)]
+            for ident, url, payload, length, digest, refers_to in zip(*(c.to_pylist() for c in columns), strict=True):
                 name = f"urn:page:{'' if ident is None else ident}"
                 kind = "response" if refers_to is None else "revisit"
-                body = payload.encode() if refers_to is None else b""
+                body = payload if refers_to is None else b""
                 held.append((url, record(kind, name, url, digest, length, body, None if refers_to is None else f"urn:page:{refers_to}")))
                 size += len(held[-1][1])
                 if size >= PACKAGE_BYTES or len(held) >= PACKAGE_RECORDS:
@@ -317,34 +362,63 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 RECORD = {"path": "string", "member": "string", "offset": "long", "length": "long", "record_id": "string", "uri": "string", "date": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "string"}
+#: Bytes of a package whose records one task reads together, and rows of one batch.
+WINDOW, ROWS = 64 << 20, 2000
+
+
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def list_records(packages: DataFrame, path_col: str = "path") -> DataFrame:
+    """Files by their URIs to (path, member, offset, length, start, packed), a row for each record, from directories and indexes."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path in (x for batch in batches for x in batch.column(0).to_pylist() if x is not None):
+            with _open(path) as f:
+                for place in places(lambda at, n, f=f: f.read_at(n, at), f.size()):
+                    yield (path, *place)
+
+    names = ["path", "member", "offset", "length", "start", "packed"]
+    return packages.select(path_col).mapInArrow(lambda batches: _batches(rows(batches), names, kinds), "path string, member string, offset long, length long, start long, packed boolean")
 
 
 def read_packages(packages: DataFrame, path_col: str = "path") -> DataFrame:
     """Files by their URIs to RECORD, a row for each record of their WARC files, from ranges that are read by seeking.
 
-    Digests are lower-case hexadecimal digits. A response's length and digest are those of the payload that was read,
-    and it is an error if its head says another digest; a revisit's are those that its heads say, or null. Packages
-    without records give no rows, null paths neither; a path that is listed twice is read twice; damage is an error.
+    Records are listed first and dealt out by windows of WINDOW bytes, so that several tasks read a large package, each
+    holding one record at a time. Digests are lower-case hexadecimal digits. A response's length and digest are those of
+    the payload that was read, and it is an error if its head says another digest; a revisit's are those that its heads
+    say, or null. Packages without records give no rows, null paths neither; a path that is listed twice is read twice;
+    a very long record is read whole; damage is an error, BadArchive. An empty table gives no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string() if kind == "string" else pa.int64() for kind in RECORD.values()]
-        for path in (x for batch in batches for x in batch.column(0).to_pylist() if x is not None):
-            with _open(path) as f:
-                rows = []
-                for member, offset, length, found in records(lambda at, n, f=f: f.read_at(n, at), f.size()):
-                    head, http, payload = parse_record(found)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last, f = None, None
+        try:
+            for batch in batches:
+                for path, member, offset, length, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if path != last:
+                        if f is not None:
+                            f.close()
+                        last, f = path, _open(path)
+                    head, http, payload = parse_record(record_at(lambda at, n, f=f: f.read_at(n, at), start, length, packed))
                     kind, said = head["warc-type"], hex_digest(head.get("warc-payload-digest", "")) or None
                     full = http.get("content-length", "")
                     size, digest = (int(full) if full.isdigit() else None, said) if kind == "revisit" else (len(payload), hashlib.sha1(payload).hexdigest())
                     if said and said != digest:
                         raise BadArchive(f"{head.get('warc-record-id')} in {path} doesn't hold what its head says")
                     strip = lambda k, head=head: head[k].strip("<>") if k in head else None
-                    rows.append((path, member, offset, length, strip("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), kind, size, digest, strip("warc-refers-to")))
-            for at in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], list(RECORD))
-
-    return packages.select(path_col).mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in RECORD.items()))
+                    yield (path, member, offset, length, strip("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), kind, size, digest, strip("warc-refers-to"))
+        finally:
+            if f is not None:
+                f.close()
+
+    kinds = [pa.string() if kind == "string" else pa.int64() for kind in RECORD.values()]
+    dealt = list_records(packages, path_col).repartition("path", F.floor(F.col("start") / WINDOW)).sortWithinPartitions("path", "start")
+    return dealt.mapInArrow(lambda batches: _batches(_as_bad(rows(batches)), list(RECORD), kinds), ", ".join(f"{name} {kind}" for name, kind in RECORD.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,3 +333,76 @@ def test_components_of_chains_and_stars(spark):
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 5 for i in range(5, 40)}, 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def damaged(r, whole):
+    """Copies of whole with bytes changed, cut out or put in, or the end cut off."""
+    for _ in range(300):
+        raw = bytearray(whole)
+        for _ in range(r.choice([1, 1, 2, 8])):
+            at = r.randrange(len(raw))
+            kind = r.random()
+            if kind < 0.5:
+                raw[at] = r.choice([0, 1, 0x7F, 0x80, 0xFF, r.randrange(256)])
+            elif kind < 0.7:
+                del raw[at : at + r.randint(1, 40)]
+            elif kind < 0.9:
+                raw[at:at] = r.choice([b"\xff" * r.randint(1, 12), r.randbytes(r.randint(1, 12)), b"-500"])
+            elif at:
+                del raw[at:]
+        yield bytes(raw)
+
+
+def test_damaged_media_never_stop_a_job(spark):
+    e, m, r = matroska.element, matroska, random.Random(20)
+    cluster = lambda time: e(m.CLUSTER, e(m.CLUSTER_TIMESTAMP, time) + e(m.SIMPLE_BLOCK, m.lace_block(1, 2, [b"abc"])))
+    head = e(m.EBML, b"")
+    beyond = [e(m.SEGMENT, cluster(1) + cluster(b"\xff" * 12)), e(m.SEGMENT, e(m.INFO, e(m.TIMESTAMP_SCALE, 1 << 63)) + cluster(1)), e(m.SEGMENT, cluster(1) + e(m.CUES, e(m.CUE_POINT, e(m.CUE_TIME, b"\x01" + bytes(8)) + e(m.CUE_TRACK_POSITIONS, e(m.CUE_TRACK, 1))))), e(m.SEGMENT, cluster(1) + e(m.CUES, e(m.CUE_POINT, e(m.CUE_TIME, 1) + e(m.CUE_TRACK_POSITIONS, e(m.CUE_TRACK, (1 << 64) - 1)))))]
+    kept = [len(m.parse(head + x).packets) for x in beyond]
+    assert kept == [1, 0, 1, 1] and all(m.parse(head + x).error for x in beyond)
+    limit = m.parse(head + e(m.SEGMENT, e(m.INFO, e(m.TIMESTAMP_SCALE, 1)) + cluster((1 << 63) - 3)))
+    assert limit.error is None and limit.packets[0][1] == (1 << 63) - 1
+    files = [head + x for x in beyond] + list(damaged(r, m.write_sound(r.randbytes(9000)))) + [b"", b"\x1a", r.randbytes(500)]
+    media = spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(None, None)], "i long, media binary")
+    found = m.packets(media, ["i"]).select("i", "error", F.size("packets").alias("n")).collect()
+    assert len(found) == len(files) + 1 and sum(x.error is not None for x in found) > 50 and any(x.error and x.n for x in found)
+
+
+def test_damaged_packages_end_in_one_kind_of_error():
+    r = random.Random(21)
+    body = b"".join(a_record(i) for i in range(3))
+    whole = [zip_warc.package([("http://a.b/c", a_record(i)) for i in range(4)], zip64=True), zip_warc.stored_zip([("archive/plain.warc", body)], False), zip_warc.stored_zip([("archive/x.warc.gz", b"".join(gzip.compress(a_record(i)) for i in range(3)))], False)]
+    shrunk = body.replace(b"Content-Length: ", b"Content-Length: -", 1)
+    fine = bad = 0
+    for raw in [zip_warc.stored_zip([("archive/plain.warc", shrunk)], False), *(d for w in whole for d in damaged(r, w))]:
+        steps = 0
+
+        def fetch(at, n, raw=raw):
+            nonlocal steps
+            steps += 1
+            assert steps < 5000, "reading doesn't end"
+            return raw[at : at + n]
+
+        try:
+            for _, _, _, found in zip_warc.records(fetch, len(raw)):
+                zip_warc.parse_record(found)
+            fine += 1
+        except (zip_warc.BadArchive, ValueError):
+            bad += 1
+    assert fine > 50 and bad > 200
+
+
+def test_records_of_a_large_package_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Windows of a package go to several tasks, and rows are those of the whole."""
+    monkeypatch.setattr(zip_warc, "WINDOW", 2000)
+    many = [(f"http://a.b/{i}", a_record(i)) for i in range(60)]
+    (tmp_path / "one.wacz").write_bytes(zip_warc.package(many))
+    files = spark.createDataFrame([(f"file://{tmp_path}/one.wacz",), (None,)], "path string")
+    found = zip_warc.read_packages(files)
+    assert found.count() == 60 and found.select(F.spark_partition_id()).distinct().count() > 1
+    assert found.select("offset").distinct().count() == 60
+    long = "<p>" + "long words " * 400_000
+    pages = spark.createDataFrame([(1, "http://a.b/", long), (2, None, long), (3, "http://a.b/", None)], "page_id long, url string, html string")
+    (tmp_path / "long").mkdir()
+    back = {x.record_id: (x.payload_bytes, x.record_type) for x in zip_warc.read_packages(zip_warc.write_packages(pages, f"file://{tmp_path}/long")).collect()}
+    assert back == {"urn:page:1": (len(long), "revisit"), "urn:page:2": (len(long), "response"), "urn:page:3": (0, "response")}
