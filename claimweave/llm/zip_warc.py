@@ -417,7 +417,9 @@ def read_packages(packages: DataFrame, path_col: str = "path") -> DataFrame:
                 f.close()
 
     kinds = [pa.string() if kind == "string" else pa.int64() for kind in RECORD.values()]
-    dealt = list_records(packages, path_col).repartition("path", F.floor(F.col("start") / WINDOW)).sortWithinPartitions("path", "start")
+    # With a number of its own, adaptive execution doesn't merge the partitions, whose rows are small but name much to read.
+    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = list_records(packages, path_col).repartition(parts, "path", F.floor(F.col("start") / WINDOW)).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(lambda batches: _batches(_as_bad(rows(batches)), list(RECORD), kinds), ", ".join(f"{name} {kind}" for name, kind in RECORD.items()))
 
 
