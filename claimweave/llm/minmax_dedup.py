@@ -260,9 +260,8 @@ def _labels(links: DataFrame) -> DataFrame:
     return now
 
 
-def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Of (key, node, n), those in buckets that links leave in several components, with these."""
-    labels = components(links).withColumnRenamed("node", "of")
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of (key, node, n), those in buckets whose members have several components (of, component), with these."""
     here = members.join(labels, members["node"] == labels["of"], "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return cut(here.join(several, "key", "left_semi"))
@@ -284,24 +283,27 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
     # Of a bucket's members, the one that meets most others in all of its buckets stands in the middle of its group.
     meets = members.groupBy("node").agg(F.sum("many").alias("meets"))
     middle = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    firsts = members.join(middle, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    firsts = members.join(middle, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()  # one order ranks all hubs: no pair comes both ways
     links = texts.links(texts.likely(cut(firsts)))
     tidy(docs.sparkSession)
-    here = _mixed(members.select("key", "node", "n"), links)
+    found = components(links).withColumnRenamed("node", "of")
+    here = _mixed(members.select("key", "node", "n"), found)
     if not here.isEmpty():
         sets = cut(texts.sets(here.select("node").distinct()))
         # Each member with the least one that it may be linked with; then what that leaves apart.
         sizes = cut(here.select("node", "n", "component").distinct())
         pairs = texts.likely(cut(rare_pairs(cut(sets.join(sizes, "node", "left_semi")), sizes, percent)))
         some = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links = links.union(texts.links_by(sets, some))
+        more = texts.links_by(sets, some)
+        # Components so far go on as stars, which are near their end already.
+        links = found.where("of <> component").select(F.col("of").alias("a"), F.col("component").alias("b")).union(more)
         labels = cut(_labels(links))
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         rest = pairs.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = ~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))
         links = links.union(texts.links_by(sets, cut(rest.where(apart).select("a", "b"))))
+        found = components(links).withColumnRenamed("node", "of")
     tidy(docs.sparkSession)
-    found = components(links).withColumnRenamed("node", "of")
     grouped = classes.select("class", "node", "id").join(found, classes["node"] == found["of"], "left")
     return signed, cut(grouped.select("class", "id", F.coalesce("component", "node").alias("component")))
 
