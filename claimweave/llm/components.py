@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import cut
+from claimweave.llm.common import cut, tidy
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         now = cut(_stars(_stars(now, small=False), small=True))
+        tidy(edges.sparkSession)
         last, seen = seen, state(now)
         if seen == last:
             break

@@ -212,7 +212,10 @@ def by_hub(pairs: DataFrame, values: DataFrame, opener, fits) -> DataFrame:
     hubs = parts.join(values, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     others = pairs.join(parts, "a").join(values, F.col("b") == F.col("node")).select("a", "b", "value", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     dealt = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    return cut(dealt.select("a", "b", "value").mapInArrow(run, "a long, b long"))
+    found = cut(dealt.select("a", "b", "value").mapInArrow(run, "a long, b long"))
+    del parts, hubs, others, dealt
+    tidy(pairs.sparkSession)
+    return found
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -279,20 +282,24 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
     members = cut(owned.join(shared, "key"))
     within = cut(classes.select("node", "id", "mark", "n", "bits").join(members.select("node"), "node", "left_semi"))
     texts = Texts(docs, within, shingle, percent)
+    tidy(docs.sparkSession)
 
     # Of a bucket's members, the one that meets most others in all of its buckets stands in the middle of its group.
     meets = members.groupBy("node").agg(F.sum("many").alias("meets"))
     middle = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    firsts = members.join(middle, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()  # one order ranks all hubs: no pair comes both ways
-    links = texts.links(texts.likely(cut(firsts)))
-    tidy(docs.sparkSession)
+    # One order ranks all hubs: no pair comes both ways.
+    firsts = cut(members.join(middle, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = texts.links(texts.likely(firsts))
     found = components(links).withColumnRenamed("node", "of")
     here = _mixed(members.select("key", "node", "n"), found)
     if not here.isEmpty():
         sets = cut(texts.sets(here.select("node").distinct()))
         # Each member with the least one that it may be linked with; then what that leaves apart.
         sizes = cut(here.select("node", "n", "component").distinct())
-        pairs = texts.likely(cut(rare_pairs(cut(sets.join(sizes, "node", "left_semi")), sizes, percent)))
+        tidy(docs.sparkSession)
+        pairs = cut(rare_pairs(sets, sizes, percent))
+        tidy(docs.sparkSession)
+        pairs = texts.likely(pairs)
         some = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         more = texts.links_by(sets, some)
         # Components so far go on as stars, which are near their end already.
@@ -301,7 +308,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, permutations: int, row
         of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         rest = pairs.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         apart = ~F.coalesce("c_a", "a").eqNullSafe(F.coalesce("c_b", "b"))
-        links = links.union(texts.links_by(sets, cut(rest.where(apart).select("a", "b"))))
+        apart = cut(rest.where(apart).select("a", "b"))
+        tidy(docs.sparkSession)
+        links = links.union(texts.links_by(sets, apart))
         found = components(links).withColumnRenamed("node", "of")
     tidy(docs.sparkSession)
     grouped = classes.select("class", "node", "id").join(found, classes["node"] == found["of"], "left")
