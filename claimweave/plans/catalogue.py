@@ -169,6 +169,13 @@ def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.ground(*_quotes(spark, sf_dir), highlight=False).select("id", "grounding", "status", place.alias("char_start"))
 
 
+@query(sql.ANCHORS)
+def q_quote_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each quote is highlighted: in whole if it is exact, else by the longest block that it shares with its page."""
+    place = [F.col(c).cast("long").alias(c) for c in ("char_start", "char_end")]
+    return ground.ground(*_quotes(spark, sf_dir), highlight=True).select("id", "grounding", *place)
+
+
 #: Words in a row that a document must share with a passage to be checked for it, and the most shingles to broadcast.
 SHINGLE, BROADCAST_SHINGLES = 8, 1_000_000
 

@@ -120,6 +120,11 @@ s AS (SELECT *, CASE WHEN grounding IN ('exact', 'fuzzy', 'gapped') THEN 'active
 d AS (SELECT *, status = 'active' AND NOT (contains(lower(text), 'group') OR contains(lower(text), 'consolidated') OR contains(lower(text), 'consolidation')) AS d_scope, status = 'active' AND NOT contains(lower(text), 'audited') AS d_basis,
   status = 'active' AND doc_id % 2 = 0 AND NOT (contains(lower(text), 'projection') OR contains(lower(text), 'projected') OR contains(lower(text), 'forecast') OR contains(lower(text), 'expected')) AS d_estimate FROM s)"""
 GROUNDING = f"WITH {_QUOTES} SELECT id, grounding, status, CASE WHEN grounding = 'exact' THEN place ELSE -1 END::BIGINT AS char_start FROM d"
+#: Every block of the quote from eight characters on that the page holds; the longest, of these the first in the quote.
+ANCHORS = f"""WITH {_QUOTES}, c AS (SELECT id, text, raw, unnest(range(1, length(raw) - 6)) AS i FROM d WHERE grounding IN ('fuzzy', 'gapped')),
+b AS (SELECT id, text, raw, i, unnest(range(8, length(raw) - i + 2)) AS n FROM c), f AS (SELECT id, i, n, strpos(text, substr(raw, i, n)) - 1 AS place FROM b WHERE contains(text, substr(raw, i, n))),
+best AS (SELECT id, place, n FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, i) = 1)
+SELECT d.id, d.grounding, CASE WHEN d.grounding = 'exact' THEN d.place ELSE best.place END::BIGINT AS char_start, CASE WHEN d.grounding = 'exact' THEN d.place + length(d.quote) ELSE best.place + n END::BIGINT AS char_end FROM d LEFT JOIN best ON d.id = best.id"""
 STATUS = f"WITH {_QUOTES} SELECT status, grounding, count(*) AS n FROM d GROUP BY ALL"
 GROUNDING_REPORT = f"""WITH {_QUOTES} SELECT count(*) AS total, count(*) FILTER (grounding = 'exact') AS exact, count(*) FILTER (grounding = 'fuzzy') AS fuzzy, count(*) FILTER (grounding = 'gapped') AS gapped, count(*) FILTER (grounding = 'not_found') AS not_found,
   count(*) FILTER (grounding = 'unverifiable') AS unverifiable, count(*) FILTER (status = 'quarantined') AS quarantined, sum(d_scope::INT + d_basis::INT + d_estimate::INT)::BIGINT AS qualifiers_dropped,
