@@ -254,6 +254,16 @@ def q_registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("name", "key")
 
 
+@query(sql.LISTED)
+def q_registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of q_registry_merge, written to JSON files, read again and listed."""
+    names = _part_names(spark, sf_dir)
+    turned = names.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"), (F.col("ord") + 1_000_000_000).alias("ord"))
+    folder = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    registry.save_json(folder, registry.resolve(names.unionByName(turned))[0], spark.createDataFrame([], "a string, b string, same boolean"))
+    return views.registry(registry.load_json(spark, folder)[0]).select("key", "canonical_name", "n_forms")
+
+
 @query(sql.SUMMARY)
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = revenue_claims(spark, sf_dir)

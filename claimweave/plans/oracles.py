@@ -143,6 +143,8 @@ s AS (SELECT a.n AS norm, b.n AS candidate, greatest(len(list_intersect(a.g, b.g
 SELECT norm, candidate, round(sim, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY sim DESC, candidate) AS rank FROM s WHERE sim >= 0.45) WHERE rank <= 2"""
 MERGED = """WITH n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), two AS (SELECT p_name AS name, p_name AS first FROM n UNION ALL SELECT array_to_string(list_reverse(string_split(p_name, ' ')), ' '), p_name FROM n)
 SELECT name, replace(first, ' ', '_') AS key FROM two"""
+LISTED = """WITH n AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1), two AS (SELECT p_name AS name, p_name AS first FROM n UNION ALL SELECT array_to_string(list_reverse(string_split(p_name, ' ')), ' '), p_name FROM n)
+SELECT replace(first, ' ', '_') AS key, first AS canonical_name, count(DISTINCT name)::INT AS n_forms FROM two GROUP BY ALL"""
 SALVAGED = "SELECT conv_id, turn, CASE WHEN conv_id % 4 <> 3 THEN turn::VARCHAR END AS found FROM conversations"
 
 _LABEL = "regexp_extract(claim_{x}_id, '(Q[1-4] )?FY[0-9]+$')"
