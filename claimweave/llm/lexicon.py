@@ -13,6 +13,7 @@ import tempfile
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"MATL0001"
 _BYTES = [bytes([b]) for b in range(256)]
@@ -118,11 +119,14 @@ class Lexicon:
         return rank if self.map[self.final + state] else -1
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """number() of each word, byte by byte for all words together."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat, start = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size) - size
-        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        live = np.arange(len(words))
+        """number() of each word."""
+        return self.numbers_flat(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def numbers_flat(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """number() of each word of size bytes in flat, byte by byte for all words together."""
+        start = np.cumsum(size) - size
+        state, rank = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        live = np.arange(len(size))
         for p in range(int(size.max(initial=0))):
             live = live[size[live] != p] if p else live[size[live] > 0]
             wanted = state[live] << 8 | flat[start[live] + p]
@@ -143,5 +147,10 @@ class Lexicon:
         """get() of each word."""
         return [self._ids(k) for k in self.numbers(words).tolist()]
 
+    def all_ids(self) -> pa.LargeBinaryArray:
+        """The ids of each number."""
+        starts = np.frombuffer(self.starts, "<u4").astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(4 * starts), pa.py_buffer(self.map[self.ids : self.ids + 4 * int(starts[-1])])])
+
     def _ids(self, k: int) -> bytes | None:
         return None if k < 0 else self.map[self.ids + 4 * self.starts[k] : self.ids + 4 * self.starts[k + 1]]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -106,3 +107,49 @@ def test_words_merge_alike_together():
     r = random.Random(4)
     words = ["".join(r.choices(r.choice(["the ing", "aaaab", "aé中 1.", "etaoinshrdlu"]), k=r.randint(1, 40))).encode() for _ in range(3000)] + [b"a" * k for k in range(1, 40)]
     assert own._alike and own.merge_all(words) == [b"".join(i.to_bytes(4, "little") for i in own.merge(w)) for w in words] and own.merge_all([]) == []
+
+
+@pytest.mark.parametrize("pattern", [PATTERN, r"\p{L}{1,3}|\s+|[^\s\p{L}]"])
+def test_texts_are_split_as_the_pattern_does(pattern):
+    r = random.Random(5)
+    parts = ["'s", "'re", "'r", "'ll", "'", "s", "e", "Ⅷ", "1", " ", "  ", "\n", "　", "\x85", "\x1c", "é", "中", "😀", "́", "!", "<|endoftext|>", "<|endof", "text|>"]
+    rows = [None, "", *("".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(4000)), "it's", "'s's ''s 's\n's 've're'l", "<|endof", "text|>", ""]
+    own = bpe_codec.codec(JSON, pattern)
+    words, before = bpe_codec.words_of(own, pa.array(["left out", *rows, "too"]).slice(1, len(rows)))
+    got = [bytes(w).decode() for w in words.to_pylist()]
+    assert len(words.dictionary) == len(set(got)) and before[0] == 0 and before[-1] == len(got)
+    for text, a, b in zip(rows, before, before[1:]):
+        want, at = [], 0
+        for m in own.any_special.finditer(text or ""):
+            want += [*own.words(text[at : m.start()]), m[0]]
+            at = m.end()
+        assert got[a:b] == [*want, *own.words((text or "")[at:])], repr(text)
+    for empty in ([], [None, ""]):
+        assert bpe_codec.words_of(own, pa.array(empty, pa.string()))[1].tolist() == [0] * (len(empty) + 1)
+
+
+def test_words_of_a_portion_are_merged_together_and_once(library, monkeypatch):
+    """None of them by itself, where there are no long ones; those of the portion before are remembered."""
+    r = random.Random(6)
+    rows = [" ".join(f"{''.join(r.choices('aeinorst', k=6))}-{r.randint(0, 999)}!" for _ in range(40)) for _ in range(300)]
+    asked = []
+    flat = bpe_codec.Codec.merge_flat
+    monkeypatch.setattr(bpe_codec.Codec, "merge", lambda *_: pytest.fail("a word is merged by itself"))
+    monkeypatch.setattr(bpe_codec.Codec, "merge_flat", lambda self, x, size: asked.append(len(size)) or flat(self, x, size))
+    monkeypatch.setattr(bpe_codec, "PORTION", 40_000)
+    shared = type("Shared", (), {"value": compile_lexicon([(b"-", (12,))])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(rows * 2)], ["doc_id", "text"])
+    made = [x for b in bpe_codec._encoder(shared, JSON, PATTERN, ["doc_id", "ids"])(iter([batch])) for x in b.to_pylist()]
+    assert [x["doc_id"] for x in made] == list(range(600)) and [x["ids"] for x in made] == [library.encode(x).ids for x in rows] * 2
+    own = bpe_codec.codec(JSON, PATTERN)
+    assert len(asked) > 3 and sum(asked) == len({w for x in rows for w in own.words(x)} - {"-"})
+
+
+def test_portions_hold_each_row_once(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "PORTION", 1000)
+    texts = ["x" * n for n in (1, 5000, 10, 400, 400, 400, 0, 999)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(texts[a:b])], ["id", "text"]) for a, b in ((0, 3), (3, 3), (3, 8))]
+    got = list(bpe_codec.portions(iter(batches)))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts and all(b.num_rows == 1 or b.nbytes <= 1100 for b in got)
+    empty = pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([""])], ["id", "text"])
+    assert sum(b.num_rows for b in bpe_codec.portions(iter([empty, empty]))) == 2 and not list(bpe_codec.portions(iter([])))
