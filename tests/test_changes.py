@@ -141,3 +141,21 @@ def test_hot_blocks_are_grids(spark, monkeypatch):
     new, old = blocked.where("id < 'c060'"), blocked.where("id >= 'c060'")
     across = [tuple(r) for r in reconcile.incremental_pairs(new, old).select("a_id", "b_id").collect()]
     assert len(across) == len(set(across)) == 60 * 59 // 2 + 60 * 90
+
+
+def test_cells_of_a_hot_block_go_to_several_tasks(spark, monkeypatch):
+    """As the join deals them, where adaptive execution doesn't put small partitions together again."""
+    hot = made(spark, [(f"c{i:03d}", f"d{i % 3}", "North Mill", "output", i % 5, "FY2021", 0.5) for i in range(150)])
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    tasks = {}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for cell in (40, 1000):
+            monkeypatch.setattr(reconcile, "CELL", cell)
+            tasks[cell] = reconcile.block_pairs(reconcile.with_blocks(hot)).select(F.spark_partition_id()).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks[40] > 1 and tasks[1000] == 1
