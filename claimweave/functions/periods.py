@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,14 +147,22 @@ def with_period(df, label_col: str, out: str = "period", fiscal_start: int = FIS
     return df.join(parsed, F.col(label_col) == F.col("_label"), "left").drop("_label")
 
 
-def relate(a: Column, b: Column) -> Column:
-    """How period a lies to period b: equals, contains, during, before, after or overlaps; null if a date is missing."""
+#: How a period can lie to another one.
+RELATIONS = ("equals", "contains", "during", "before", "after", "overlaps")
+
+
+def relate(a: Column, b: Column, names: Sequence = RELATIONS) -> Column:
+    """How period a lies to period b: equals, contains, during, before, after or overlaps; null if a date is missing.
+
+    names: what to call them.
+    """
+    equals, contains, during, before, after, overlaps = names
     return (
         F.when(a["start"].isNull() | a["end"].isNull() | b["start"].isNull() | b["end"].isNull(), None)
-        .when((a["start"] == b["start"]) & (a["end"] == b["end"]), "equals")
-        .when((a["start"] <= b["start"]) & (a["end"] >= b["end"]), "contains")
-        .when((b["start"] <= a["start"]) & (b["end"] >= a["end"]), "during")
-        .when(a["end"] < b["start"], "before")
-        .when(b["end"] < a["start"], "after")
-        .otherwise("overlaps")
+        .when((a["start"] == b["start"]) & (a["end"] == b["end"]), equals)
+        .when((a["start"] <= b["start"]) & (a["end"] >= b["end"]), contains)
+        .when((b["start"] <= a["start"]) & (b["end"] >= a["end"]), during)
+        .when(a["end"] < b["start"], before)
+        .when(b["end"] < a["start"], after)
+        .otherwise(overlaps)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,21 +22,35 @@ def relate_scope(a: Column, b: Column) -> Column:
     return relate_normal_scopes(normalise_scope(a), normalise_scope(b))
 
 
+#: How a scope can lie to another one.
+RELATIONS = ("same", "subsumes", "subsumed_by", "disjoint", "unknown")
+GROUP, OWN, WHOLE, NAMED = range(4)
+
+
+def scope_class(s: Column) -> Column:
+    """The group, the company itself, the whole, or a part that is named; null if it isn't stated."""
+    return F.when(s.isin(*CONSOLIDATED), GROUP).when(s.isin(*STANDALONE), OWN).when(s.isin(*TOTAL), WHOLE).when(s.isNotNull(), NAMED)
+
+
 def relate_normal_scopes(x: Column, y: Column) -> Column:
     """The same for scopes that are normalised already."""
-    group, own, all_ = (lambda s, names=names: s.isin(*names) for names in (CONSOLIDATED, STANDALONE, TOTAL))
-    named = lambda s: ~s.isin(*CONSOLIDATED, *STANDALONE, *TOTAL)
-    wide = lambda s: group(s) | all_(s)
+    return relate_classed_scopes(x, y, scope_class(x), scope_class(y))
+
+
+def relate_classed_scopes(x: Column, y: Column, of_x: Column, of_y: Column, names: Sequence = RELATIONS) -> Column:
+    """The same where the classes of both are there already; names: what to call the relations."""
+    same, subsumes, subsumed_by, disjoint, unknown = names
+    wide = lambda s: s.isin(GROUP, WHOLE)
     return (
-        F.when(x.isNull() & y.isNull(), "same")
-        .when(x.isNull() | y.isNull(), "unknown")
-        .when(x == y, "same")
-        .when(group(x) & own(y) | wide(x) & named(y), "subsumes")
-        .when(own(x) & group(y) | wide(y) & named(x), "subsumed_by")
-        .when(F.contains(y, x), "subsumes")
-        .when(F.contains(x, y), "subsumed_by")
-        .when(named(x) & named(y), "disjoint")
-        .otherwise("unknown")
+        F.when(x.isNull() & y.isNull(), same)
+        .when(x.isNull() | y.isNull(), unknown)
+        .when(x == y, same)
+        .when((of_x == GROUP) & (of_y == OWN) | wide(of_x) & (of_y == NAMED), subsumes)
+        .when((of_x == OWN) & (of_y == GROUP) | wide(of_y) & (of_x == NAMED), subsumed_by)
+        .when(F.contains(y, x), subsumes)
+        .when(F.contains(x, y), subsumed_by)
+        .when((of_x == NAMED) & (of_y == NAMED), disjoint)
+        .otherwise(unknown)
     )
 
 

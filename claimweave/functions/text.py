@@ -58,7 +58,7 @@ def normalise_subject(name: Column) -> Column:
     raw = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", "")
     plain = F.regexp_replace(F.lower(F.regexp_replace(raw, rf"(?iU)^\s*({'|'.join(HONORIFICS)})\.?\s+", "")), "[^a-z0-9 ]+", " ")
     out = F.array_join(words(F.regexp_replace(plain, rf"\b({'|'.join(COMPANY_SUFFIXES)})\b", " ")), " ")
-    return F.when(out != "", out).otherwise(F.lower(raw))
+    return F.coalesce(F.nullif(out, F.lit("")), F.lower(raw))  # out is computed once, which a condition on it would not
 
 
 def normalise_scope(scope: Column) -> Column:

@@ -33,12 +33,13 @@ def finished(claims: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def revenue_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's revenue as three documents state it: by fiscal year in INR million and in Rs. Cr, and by quarter.
 
-    Sums are decimals, so they don't depend on the order of rows.
+    Sums are decimals, so they don't depend on the order of rows. The quarters' are written, as all three documents and
+    their distinct labels are made from them.
     """
     net = (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
     sold = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"), net.alias("net"))
     turned = F.add_months("day", 9)  # a fiscal year that starts in April is a year from here
-    sums = sold.select("l_suppkey", F.year(turned).alias("fy"), F.quarter(turned).alias("q"), "net").groupBy("l_suppkey", "fy", "q").agg(F.sum("net").alias("net"))
+    sums = checkpointed(sold.select("l_suppkey", F.year(turned).alias("fy"), F.quarter(turned).alias("q"), "net").groupBy("l_suppkey", "fy", "q").agg(F.sum("net").alias("net")))
     years = sums.groupBy("l_suppkey", "fy").agg(F.sum("net").alias("net"))
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat("s_name", F.lit(" Limited")).alias("subject_raw"))
 
