@@ -298,7 +298,7 @@ def q_dropped_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.HIGHLIGHTS)
 def q_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.highlights(reconcile.reconcile(revenue_claims(spark, sf_dir))).select("case", "claim_a_id", "claim_b_id")
+    return views.highlights(reconcile.outlined(revenue_claims(spark, sf_dir))).select("case", "claim_a_id", "claim_b_id")
 
 
 @query(sql.REFRESHED)

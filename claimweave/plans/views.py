@@ -95,29 +95,65 @@ def summary(claims: DataFrame, stored: DataFrame) -> DataFrame:
     return c.withColumn("_one", F.lit(1)).join(r.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def met(found: DataFrame, check: str, outcomes: tuple[str, ...]) -> Column:
+    """Whether the derivation has the check with one of the outcomes; found: relations, or their outlines (reconcile.outlines)."""
+    if "trace" in found.columns:
+        return F.exists("trace", lambda s: (s["check"] == check) & s["outcome"].isin(*outcomes))
+    out = F.lit(False)
+    for name in found.schema["outcomes"].dataType.names:
+        if name.partition(":")[0] == check:
+            out = out | F.coalesce(F.col("outcomes")[name].isin(*outcomes), F.lit(False))
+    return out
+
+
+def firsts(found: DataFrame, cases: dict[str, Column], preferred: dict[str, Column] | None = None) -> DataFrame:
+    """Each case's first relation in the order of review, those that are preferred before the others: (case, relation columns).
+
+    One pass over relations or their outlines; those that are in no case are left out before anything else is computed
+    of them. Of outlines only the columns that are used are carried along.
+    """
+    better = F.lit(False)
+    for name, condition in (preferred or {}).items():
+        better = F.when(F.col("case") == name, condition).otherwise(better)
+    fitting = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in cases.items())))
+    fits = found.where(F.greatest(*(condition.cast("int") for condition in cases.values()), F.lit(0)) > 0).select("*", F.explode(fitting).alias("case"))
+    kept = [c for c in found.columns if c != "outcomes"]
+    order = F.struct(~better, review_rank(F.col("verdict")), ~F.col("cross_doc"), -F.col("confidence"), F.col("id"))
+    return fits.groupBy("case").agg(F.min_by(F.struct(*kept), order).alias("r")).select("case", "r.*")
+
+
 def pick(stored: DataFrame, verdict: str, cross_doc: bool | None = None, check: str | None = None, outcomes: tuple[str, ...] = ("pass", "info", "fail", "blocked"), fall_back: bool = False) -> DataFrame:
     """The first relation in the order of review whose trace has the check with one of the outcomes; with fall_back the first of all if none has."""
     found = stored.where(F.col("verdict") == verdict)
     found = found if cross_doc is None else found.where(F.col("cross_doc") == cross_doc)
-    meets = F.exists("trace", lambda s: (s["check"] == check) & s["outcome"].isin(*outcomes)) if check else F.lit(True)
+    meets = met(stored, check, outcomes) if check else F.lit(True)
     order = review_order() if not fall_back else [F.desc(meets), *review_order()]
     return (found if fall_back else found.where(meets)).orderBy(*order).limit(1)
 
 
-def highlights(stored: DataFrame) -> DataFrame:
+def picks(found: DataFrame, requests: dict[str, tuple[str, dict]]) -> DataFrame:
+    """What pick() gives for each request (verdict, its other arguments), from one pass over relations or their outlines: (case, relation columns)."""
+    cases, preferred = {}, {}
+    for name, (verdict, asked) in requests.items():
+        meets = met(found, asked["check"], asked.get("outcomes", ("pass", "info", "fail", "blocked"))) if asked.get("check") else F.lit(True)
+        within = F.col("verdict") == verdict
+        within = within if asked.get("cross_doc") is None else within & (F.col("cross_doc") == asked["cross_doc"])
+        cases[name] = within if asked.get("fall_back") else within & meets
+        if asked.get("fall_back"):
+            preferred[name] = meets
+    return firsts(found, cases, preferred)
+
+
+def highlights(found: DataFrame) -> DataFrame:
     """One relation for each way that claims can relate, chosen by how it was derived: (case, relation columns).
 
-    Each case's first relation in the order of review, from one pass over the relations.
+    Each case's first relation in the order of review, from one pass over relations or their outlines.
     """
-    step = lambda check, outcome: F.exists("trace", lambda s: (s["check"] == check) & (s["outcome"] == outcome))
     verdict = lambda v: F.col("verdict") == v
-    cases = {
-        "corroborated across documents": verdict("corroborates") & F.col("cross_doc"), "contradicted": verdict("contradicts"), "part of a period": verdict("complementary") & step("period-containment", "pass"),
-        "another basis": verdict("complementary") & step("basis", "info"), "another scope": verdict("complementary") & step("scope", "info"),
-    }
-    fits = stored.select(F.explode(F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in cases.items())))).alias("case"), F.struct("*").alias("r"))
-    order = F.struct(review_rank(F.col("r.verdict")), ~F.col("r.cross_doc"), -F.col("r.confidence"), F.col("r.id"))
-    return fits.groupBy("case").agg(F.min_by("r", order).alias("r")).select("case", "r.*")
+    return firsts(found, {
+        "corroborated across documents": verdict("corroborates") & F.col("cross_doc"), "contradicted": verdict("contradicts"), "part of a period": verdict("complementary") & met(found, "period-containment", ("pass",)),
+        "another basis": verdict("complementary") & met(found, "basis", ("info",)), "another scope": verdict("complementary") & met(found, "scope", ("info",)),
+    })
 
 
 def quarantine_case(claims: DataFrame, documents: DataFrame, shown: int = 6, invented: int = 8) -> dict[str, DataFrame]:
