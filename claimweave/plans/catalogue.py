@@ -416,9 +416,11 @@ def q_profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.PICKED)
 def q_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each of two requests the relation that a reader is shown."""
-    found = checkpointed(reconcile.reconcile(revenue_claims(spark, sf_dir)))
-    part = views.pick(found, "complementary", check="period-containment", outcomes=("pass",)).select(F.lit("part").alias("case"), "claim_a_id", "claim_b_id")
-    return part.unionByName(views.pick(found, "corroborates", cross_doc=False, fall_back=True).unionByName(views.pick(found, "corroborates", cross_doc=True)).select(F.lit("same").alias("case"), "claim_a_id", "claim_b_id"))
+    found = views.picks(reconcile.outlined(revenue_claims(spark, sf_dir)), {
+        "part": ("complementary", {"check": "period-containment", "outcomes": ("pass",)}),
+        "same within": ("corroborates", {"cross_doc": False, "fall_back": True}), "same across": ("corroborates", {"cross_doc": True}),
+    })
+    return found.select(F.substring("case", 1, 4).alias("case"), "claim_a_id", "claim_b_id")
 
 
 @query(sql.FOLLOWED)
