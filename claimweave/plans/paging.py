@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import LongType
 
 from claimweave.plans.views import review_rank
-from claimweave.sources.store import checkpointed
 
 #: Relations of one file, and the most of a page.
 FILE_ROWS, PAGE_ROWS = 100_000, 500
+#: Files that a task sorts and writes, and the bits that Spark's row numbers have for the row.
+TASK_FILES, ROW_BITS = 64, (1 << 33) - 1
 KEYS = ("rank", "within", "doubt", "id")
 
 
@@ -22,21 +25,33 @@ def _keyed(relations: DataFrame) -> DataFrame:
 def write_pages(relations: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """Write relations under path, dealt by range of the order of review and sorted in it, with how many each file holds.
 
-    What was written there before is replaced; no relations give an empty table.
+    What was written there before is replaced; no relations give an empty table. A task sorts the rows of TASK_FILES
+    files and cuts them into these. Relations are computed once: they are written as they come, then read for the sort.
     """
-    found = checkpointed(_keyed(relations))
-    files = max(1, -(-found.count() // file_rows))
-    dealt = found.repartitionByRange(files, *KEYS).withColumn("file", F.spark_partition_id()).sortWithinPartitions("file", *KEYS)
-    dealt.write.mode("overwrite").partitionBy("file").parquet(f"{path}/rows")
+    spark, staged = relations.sparkSession, f"{path}/staged-{uuid.uuid4().hex}"
+    _keyed(relations).write.parquet(staged)
+    found = spark.read.parquet(staged)
+    tasks = max(1, -(-found.count() // (file_rows * TASK_FILES)))
+    dealt = found.repartitionByRange(tasks, *KEYS).sortWithinPartitions(*KEYS).withColumn("at", F.monotonically_increasing_id())
+    row = F.col("at").bitwiseAND(F.lit(ROW_BITS))
+    cut = dealt.withColumn("file", F.col("at") - row + F.floor(row / file_rows)).drop("at").sortWithinPartitions("file", *KEYS)
+    cut.write.mode("overwrite").partitionBy("file").parquet(f"{path}/rows")
     found.limit(0).write.mode("overwrite").parquet(f"{path}/columns")  # an empty table has no other file
-    rows = _rows(relations.sparkSession, path)
+    rows = _rows(spark, path)
     last = F.max(F.struct(*KEYS)).alias("last")
     rows.groupBy("file").agg(F.count("*").alias("n"), last).write.mode("overwrite").parquet(f"{path}/index")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def total(spark: SparkSession, path: str) -> int:
+    """How many relations there are, by the index."""
+    return spark.read.parquet(f"{path}/index").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     columns = spark.read.parquet(f"{path}/columns").schema
-    return spark.read.schema(columns.add("file", IntegerType())).parquet(f"{path}/rows")
+    return spark.read.schema(columns.add("file", LongType())).parquet(f"{path}/rows")
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, list[Row]]:
